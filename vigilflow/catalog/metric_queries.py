@@ -33,7 +33,8 @@ def _summary_sql(source: str, by: str = "") -> str:
     return f"""SELECT {lead}CAST(sum(support) AS BIGINT) AS "rows", round(sum(hits) / sum(support), 6) AS accuracy,
        round(sum(p * support) / sum(support), 6) AS precision_weighted, round(sum(r * support) / sum(support), 6) AS recall_weighted,
        round(sum(f * support) / sum(support), 6) AS f1_weighted, round(avg(f), 6) AS f1_macro,
-       round(sum(support * (r + (total - support - predicted + hits) / (total - support)) / 2) / sum(support), 6) AS auc,
+       CASE WHEN min(support) > 0 AND min(total - support) > 0 THEN
+       round(sum(support * (r + (total - support - predicted + hits) / (total - support)) / 2) / sum(support), 6) END AS auc,
        round(max(CASE WHEN class = 'BENIGN' THEN 1 - hits / support END), 6) AS false_alarm_rate
        FROM (SELECT *, {total} AS total, {_P} AS p, {_R} AS r, {_F1} AS f FROM {_classes_sql(source, by=by)}) {group}"""
 

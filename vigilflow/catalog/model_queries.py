@@ -56,7 +56,7 @@ def m8(spark, sf):
 
 @query(
     "O6_sorted_probabilities",
-    """SELECT id, CASE WHEN id % 2 = 0 THEN 'DDoS' ELSE 'DDoS Volumetric' END AS first_class, 0.7 AS first_value,
+    """SELECT id, CASE WHEN id % 2 = 0 THEN 'DDoS' ELSE 'DDoS Volumetric' END AS first_class, 0.7::DOUBLE AS first_value,
        CASE WHEN id % 2 = 0 THEN 'DDoS Volumetric' ELSE 'DDoS' END AS second_class, 3 AS entries, 'b,c,a' AS features FROM pred""",
 )
 def o6(spark, sf):
@@ -76,7 +76,7 @@ def o6(spark, sf):
 
 @query(
     "F22_finite_maps",
-    """SELECT id, CASE WHEN id % 3 = 0 THEN 0.0 ELSE confidence END AS a, 0.0 AS b, confidence AS back FROM pred""",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 0.0 ELSE confidence END AS a, 0.0::DOUBLE AS b, confidence AS back FROM pred""",
 )
 def f22(spark, sf):
     a = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("confidence"))
@@ -184,8 +184,7 @@ _TRAINED: dict[tuple[str, str], tuple] = {}
 def _trained(spark, sf):
     slot = (spark.sparkContext.applicationId, sf)
     if slot not in _TRAINED:
-        rows = _scored(spark, sf).withColumnRenamed("attack_type", "Label")
-        rows = rows.select(*V.FLOW_KEY, *[f"`{c}`" for c in V.FLOW_FEATURES], "Label")
+        rows = V.learnable_flows(spark, sf)
         _TRAINED[slot] = train_classifier(rows, V.FLOW_FEATURES, V.FLOW_KEY, space=_SMALL, largest=2000, smallest=200)
     return _TRAINED[slot]
 

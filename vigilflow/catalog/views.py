@@ -157,8 +157,8 @@ def sql_rank(severity: str) -> str:
 
 
 def sql_fixed(value: str, digits: int) -> str:
-    """Decimal text with fixed digits of an already scaled value."""
-    return f"CAST(CAST(round({value}, {digits}) AS DECIMAL(18, {digits})) AS VARCHAR)"
+    """Decimal text with fixed digits, rounded half-up on the shortest decimal form."""
+    return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DECIMAL(18, {digits})) AS VARCHAR)"
 
 
 def _projection(columns: dict[str, str]) -> str:
@@ -255,6 +255,18 @@ def labelled_flows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def learnable_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows whose class follows from their features."""
+    label = """CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_returnflag = 'R' THEN 'DDoS' WHEN l_discount > 0.05 THEN 'DDoS Amplification' ELSE 'DDoS Volumetric' END
+       WHEN l_tax > 0.06 THEN 'PortScan'
+       WHEN l_returnflag = 'R' THEN CASE WHEN l_quantity > 35 THEN 'DoS Hulk' WHEN l_quantity > 15 THEN 'DoS GoldenEye' ELSE 'DoS Slow' END
+       WHEN l_discount > 0.07 THEN CASE WHEN l_quantity > 25 THEN 'FTP-Patator' ELSE 'SSH-Patator' END
+       WHEN l_extendedprice > 60000 THEN 'Bot' ELSE 'BENIGN' END"""
+    return table(spark, sf, "lineitem").select(
+        *[F.expr(sql).alias(name) for name, sql in FLOW.items()], F.expr(label).alias("Label")
+    )
+
+
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     rows = predictions(spark, sf).filter("id % 7 = 0 AND is_attack")
     return rows.select(

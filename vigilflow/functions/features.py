@@ -159,7 +159,8 @@ def netflow_features(df: DataFrame) -> dict[str, Column]:
     _shared(features, fwd, bwd, fwd_bytes, bwd_bytes, field("duration_ms"),
             field("proto").cast("int"))
     mean = {"Fwd": ratio(fwd_bytes, fwd), "Bwd": ratio(bwd_bytes, bwd)}
-    overall = ratio(fwd_bytes + bwd_bytes, fwd + bwd)
+    # A record without packets still shows its bytes, as if of one packet.
+    overall = F.try_divide(fwd_bytes + bwd_bytes, F.when(fwd + bwd > 0, fwd + bwd).otherwise(F.lit(1.0)))
     for side in mean:
         for stat in STATISTICS:
             features[f"{side} Packet Length {stat}"] = F.lit(0.0) if stat == "Std" else mean[side]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -13,6 +13,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def literal_map(table: Mapping) -> Column:
     """A constant table as one folded map literal."""
     return F.create_map(*[F.lit(item) for pair in table.items() for item in pair])

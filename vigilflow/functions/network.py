@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from vigilflow import lookups as L
-from vigilflow.functions.lookup import as_col, literal_map, lookup, one_of
+from vigilflow.functions.lookup import as_col, bind, literal_map, lookup, one_of
 
 _BYTE = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^({_BYTE}\.){{3}}{_BYTE}$"
@@ -16,40 +18,37 @@ IPV4 = rf"^({_BYTE}\.){{3}}{_BYTE}$"
 def ipv4_number(ip: Column | str) -> Column:
     """IPv4 address as an integer; null when the text is no address."""
     c = as_col(ip)
-    part = F.split(c, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.get(part, i).try_cast("long")
+    zero = F.lit(0).cast("long")
+    value = F.aggregate(F.split(c, r"\."), zero, lambda n, part: n * 256 + part.try_cast("long"))
     return F.when(c.rlike(IPV4), value)
 
 
 def in_networks(ip: Column | str, networks: tuple[str, ...] = L.INTERNAL_NETWORKS) -> Column:
     """Whether the address lies in any of the (few, literal) CIDR ranges."""
-    number = ipv4_number(ip)
-    hit = F.lit(False)
-    for cidr in networks:
-        net = ipaddress.ip_network(cidr)
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(hit, F.lit(False))
+    nets = [ipaddress.ip_network(cidr) for cidr in networks]
+
+    def inside(n: Column) -> Column:
+        hits = [n.between(int(net.network_address), int(net.broadcast_address)) for net in nets]
+        return reduce(lambda a, b: a | b, hits)
+
+    return F.coalesce(bind(ipv4_number(ip), inside), F.lit(False))
 
 
 def flow_direction(src_ip: Column | str, dst_ip: Column | str) -> Column:
     """INBOUND, OUTBOUND, LATERAL or UNKNOWN; bad addresses count as external."""
-    src, dst = in_networks(src_ip), in_networks(dst_ip)
-    return (
-        F.when(~src & dst, "INBOUND")
-        .when(src & ~dst, "OUTBOUND")
-        .when(src & dst, "LATERAL")
-        .otherwise("UNKNOWN")
-    )
+    names = F.array(*[F.lit(n) for n in ("UNKNOWN", "INBOUND", "OUTBOUND", "LATERAL")])
+    return names[in_networks(src_ip).cast("int") * 2 + in_networks(dst_ip).cast("int")]
 
 
-def _site(ip: Column | str) -> tuple[Column, Column, Column]:
-    """(is a 10.x address with numeric middle parts, base, building)."""
-    part = F.split(as_col(ip), r"\.")
-    base, building = F.get(part, 1).try_cast("int"), F.get(part, 2).try_cast("int")
-    usable = (F.size(part) == 4) & (part[0] == "10") & base.isNotNull() & building.isNotNull()
-    return F.coalesce(usable, F.lit(False)), base, building
+def _by_site(ip: Column | str, choose: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``choose(base, building)`` for a 10.x address with numeric middle parts, else null."""
+
+    def decide(part: Column) -> Column:
+        base, building = F.get(part, 1).try_cast("int"), F.get(part, 2).try_cast("int")
+        usable = (F.size(part) == 4) & (F.get(part, 0) == "10") & base.isNotNull() & building.isNotNull()
+        return F.when(usable, choose(base, building)).cast(kind)
+
+    return bind(F.split(as_col(ip), r"\."), decide)
 
 
 def _in_building(base: Column, building: Column) -> Column:
@@ -58,18 +57,18 @@ def _in_building(base: Column, building: Column) -> Column:
 
 def vlan_from_ip(ip: Column | str) -> Column:
     """VLAN implied by the address plan, 0 when unknown."""
-    usable, base, building = _site(ip)
-    return (
-        F.when(usable & _in_building(base, building), building * 100 + base)
-        .when(usable & base.isin(list(L.GLOBAL_VLAN_BASES)), base)
-        .otherwise(F.lit(0))
-    )
+
+    def choose(base: Column, building: Column) -> Column:
+        return F.when(_in_building(base, building), building * 100 + base).when(
+            base.isin(list(L.GLOBAL_VLAN_BASES)), base
+        )
+
+    return F.coalesce(_by_site(ip, choose, "int"), F.lit(0))
 
 
 def building_from_ip(ip: Column | str) -> Column:
     """Building 1..4 implied by the address plan, 0 otherwise."""
-    usable, base, building = _site(ip)
-    return F.when(usable & _in_building(base, building), building).otherwise(F.lit(0))
+    return F.coalesce(_by_site(ip, lambda base, b: F.when(_in_building(base, b), b), "int"), F.lit(0))
 
 
 def resolve_vlans(src_ip, dst_ip, vlan, src_vlan, dst_vlan) -> dict[str, Column]:
@@ -103,12 +102,14 @@ def console_vlan(vlan: Column | str) -> tuple[Column, Column]:
 
 def switch_for_ip(ip: Column | str) -> Column:
     """Management address of the switch in charge of a source, else null."""
-    usable, base, building = _site(ip)
-    access = usable & base.isin(list(L.ACCESS_SWITCH_BASES)) & building.between(1, 4)
-    core = usable & base.isin(list(L.CORE_SWITCH_BASES))
-    return F.when(
-        access, F.concat(F.lit("10.99."), building.cast("string"), F.lit(".1"))
-    ).when(core, F.lit(L.CORE_SWITCH_IP))
+
+    def choose(base: Column, building: Column) -> Column:
+        access = F.concat(F.lit("10.99."), building.cast("string"), F.lit(".1"))
+        return F.when(base.isin(list(L.ACCESS_SWITCH_BASES)) & building.between(1, 4), access).when(
+            base.isin(list(L.CORE_SWITCH_BASES)), F.lit(L.CORE_SWITCH_IP)
+        )
+
+    return _by_site(ip, choose, "string")
 
 
 def parse_switch_map(text: Column | str) -> Column:

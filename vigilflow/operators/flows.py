@@ -15,14 +15,9 @@ KEY = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 
 def bidirectional_key(df: DataFrame) -> DataFrame:
     """Append a key that is equal for both directions of a conversation."""
-    one, two = F.struct("src_ip", "src_port"), F.struct("dst_ip", "dst_port")
-    low, high = F.least(one, two), F.greatest(one, two)
-    return df.withColumns(
-        {
-            "ip_a": low["src_ip"], "port_a": low["src_port"],
-            "ip_b": high["src_ip"], "port_b": high["src_port"],
-        }
-    )
+    ends = [F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in ("src", "dst")]
+    low, high = F.least(*ends), F.greatest(*ends)
+    return df.withColumns({"ip_a": low["ip"], "port_a": low["port"], "ip_b": high["ip"], "port_b": high["port"]})
 
 
 def assign_flows(
@@ -48,8 +43,8 @@ def assign_flows(
     gaps = lagged.withColumn(
         "_idle", F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > int(idle * _US))
     )
-    starts = greedy_marks(gaps, keys, "_t", int(active * _US), forced="_idle", **tuning)
-    flagged = timed.join(starts.withColumn("_s", F.col("_t")), [*keys, "_t"], "left")
+    starts = greedy_marks(gaps, keys, "_t", int(active * _US), tie, forced="_idle", **tuning)
+    flagged = timed.join(starts.select(*keys, "_t", F.col("_t").alias("_s")), [*keys, "_t"], "left")
     return carry_forward(flagged, keys, ["_t", tie], "_s", "_b", "flow_start").drop("_s", "_b")
 
 

@@ -9,7 +9,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def planned_bytes(df: DataFrame) -> int:
     """Spark's size estimate of a frame (files for scans, upper bounds above)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup_join(

@@ -88,7 +88,7 @@ def summary(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     def weighted(c: Column) -> Column:
         return F.sum(c * weight) / F.sum(weight)
 
-    benign = F.col("class") == L.BENIGN
+    benign = F.col("class").cast("string") == L.BENIGN
     return rows.groupBy(*by).agg(
         F.sum("support").alias("rows"),
         (F.sum("hits") / F.sum("support")).alias("accuracy"),

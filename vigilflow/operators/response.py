@@ -38,13 +38,12 @@ def suppress_repeats(
     """First event per key, then nothing until strictly more than ``seconds`` later.
 
     Suppressed events do not extend the block.  Of events at the same time the
-    one with the smallest ``tie`` counts.
+    one with the smallest ``tie`` counts.  Gives the keys, time and tie (row id) of
+    the events that fire; wider columns can be joined to these few rows.
     """
-    stamped = df.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    marks = greedy_marks(stamped, keys, "_t", seconds * 1_000_000, **tuning)
-    lead = stamped.groupBy(*keys, "_t").agg(F.min(tie).alias(tie))
-    chosen = marks.join(lead, [*keys, "_t"]).select(tie)
-    return df.join(chosen, tie, "left_semi")
+    stamped = df.select(*keys, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
+    marks = greedy_marks(stamped, keys, "_t", seconds * 1_000_000, tie, **tuning)
+    return marks.select(tie, *keys, F.timestamp_micros("_t").cast(df.schema[at].dataType).alias(at))
 
 
 def plan(df: DataFrame, at: Column, interface: Column | None = None) -> DataFrame:

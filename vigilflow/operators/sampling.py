@@ -67,7 +67,7 @@ def balance_classes(
     draws = (
         small.groupBy(label)
         .agg(F.first("group_rows").alias("_n"))
-        .select(label, "_n", F.explode(F.sequence(F.lit(1), F.lit(smallest))).cast("long").alias("copy"))
+        .select(label, "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(smallest).cast("long"))).alias("copy"))
         .select(label, "copy", draw_index(seed, label, "copy", F.col("_n")).alias("_i"))
     )
     drawn = numbered.join(draws, [label, "_i"]).select(*df.columns, "copy")

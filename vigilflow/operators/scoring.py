@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilflow import lookups as L
 from vigilflow.functions.lookup import class_severity, lookup
 from vigilflow.functions.numbers import finite_or
-from vigilflow.operators.harmonise import union_all
 
 UNRANKED = 999
 
@@ -53,30 +52,37 @@ def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
 # -- hierarchical prediction -----------------------------------------------
 
 
+Level2 = Callable[[DataFrame, str, str], DataFrame]
+
+
 def hierarchical(
     df: DataFrame,
     level1: Callable[[DataFrame], DataFrame],
-    level2: dict[str, Callable[[DataFrame], DataFrame]],
+    level2: dict[str, Level2],
     groups: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Append ``group_pred``, ``attack_type`` and ``probabilities``.
+    """Append ``group_pred``, ``attack_type`` and ``probabilities`` in one pass.
 
-    ``level1`` appends ``group_pred``; a level-2 model appends ``attack_type`` and
-    ``probabilities`` (map).  Each row goes only to its own group's model.  Groups
-    with one class, or without a model, give their first class with certainty.
+    ``level1`` appends ``group_pred``; a level-2 model appends its class and its
+    probability map under the two given names.  Of these a row keeps those of its
+    own group.  (One branch per group would read the input and run level 1 once per
+    group.)  Groups with one class, or without a model, give their first class
+    with certainty.
     """
     groups = groups or L.GROUP_MEMBERS
-    routed = level1(df)
+    scored = level1(df)
     sure = lookup("group_pred", {g: members[0] for g, members in groups.items()})
-    modelled = [g for g, members in groups.items() if len(members) > 1 and g in level2]
-    rest = routed.filter(~F.col("group_pred").isin(modelled)) if modelled else routed
-    parts = [
-        rest.withColumn("attack_type", sure).withColumn(
-            "probabilities", F.create_map(F.col("attack_type"), F.lit(1.0))
-        )
-    ]
-    parts += [level2[g](routed.filter(F.col("group_pred") == g)) for g in modelled]
-    return union_all(parts)
+    label, chances = sure, F.create_map(sure, F.lit(1.0))
+    helpers = []
+    for i, (group, members) in enumerate(groups.items()):
+        if len(members) > 1 and group in level2:
+            names = f"_class{i}", f"_chance{i}"
+            scored = level2[group](scored, *names)
+            own = F.col("group_pred") == group
+            label = F.when(own, F.col(names[0])).otherwise(label)
+            chances = F.when(own, F.col(names[1])).otherwise(chances)
+            helpers += names
+    return scored.withColumns({"attack_type": label, "probabilities": chances}).drop(*helpers)
 
 
 def probability_map(probability: Column, classes: list[str]) -> Column:
@@ -177,17 +183,17 @@ def rule_level1(df: DataFrame) -> DataFrame:
     return df.withColumn("group_pred", group)
 
 
-def rule_level2(group: str) -> Callable[[DataFrame], DataFrame]:
-    """Rules that choose a class within a group by flow rate."""
+def rule_level2(group: str) -> Level2:
+    """Rules that choose a class within a group by flow length."""
     classes = sorted(L.GROUP_MEMBERS[group])
 
-    def score(df: DataFrame) -> DataFrame:
+    def score(df: DataFrame, label: str, chances: str) -> DataFrame:
         size = F.col("duration_log").cast("double")
         slot = F.floor(size).cast("int") % len(classes)
         share = F.round(0.5 + (size - F.floor(size)) / 2, 4)
         other = F.round((1 - share) / (len(classes) - 1), 4)
-        return df.withColumn("attack_type", F.array(*[F.lit(c) for c in classes])[slot]).withColumn(
-            "probabilities",
+        return df.withColumn(label, F.array(*[F.lit(c) for c in classes])[slot]).withColumn(
+            chances,
             F.map_from_arrays(
                 F.array(*[F.lit(c) for c in classes]),
                 F.array(*[F.when(slot == i, share).otherwise(other) for i in range(len(classes))]),

@@ -8,7 +8,7 @@ size depends on the time span and not on the number of events.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,54 +73,52 @@ def greedy_marks(
     keys: Sequence[str],
     at: str,
     ttl: int,
+    tie: str,
     forced: str | None = None,
     whole_key_rows: int = 10_000,
     block: int | None = None,
 ) -> DataFrame:
-    """Marked points (keys, ``at``) of integer times ``at``.
+    """Marked points (keys, ``at``, ``tie``) of integer times ``at``.
 
-    Keys with few rows are folded in one piece in the JVM.  Larger ones are cut
-    into time blocks: each block condenses to a step function from "last mark
-    before the block" to "last mark after it", these few steps are chained per
-    key, and every block then marks its own points from its known start.
+    Of rows at the same time the smallest ``tie`` stands for the point.  Keys with
+    few rows are folded in one piece in the JVM.  Larger ones are cut into time
+    blocks: each block condenses to a step function from "last mark before the
+    block" to "last mark after it", these few steps are chained per key, and every
+    block then marks its own points from its known start.
     """
     keys = list(keys)
-    flag = F.col(forced) if forced else F.lit(False)
-    points = df.select(*keys, F.col(at).cast("long").alias(at), F.coalesce(flag, F.lit(False)).alias("_f"))
+    flag = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    points = df.select(*keys, F.col(at).cast("long").alias(at), tie, flag.alias("_f"))
     hot = (
         points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > whole_key_rows).select(*keys)
     )
-    return _fold_whole(points.join(hot, keys, "left_anti"), keys, at, ttl).unionByName(
-        _fold_blocks(points.join(hot, keys, "left_semi"), keys, at, ttl, block or 4 * max(ttl, 1))
+    return _fold_whole(points.join(hot, keys, "left_anti"), keys, at, ttl, tie).unionByName(
+        _fold_blocks(points.join(hot, keys, "left_semi"), keys, at, ttl, tie, block or 4 * max(ttl, 1))
     )
 
 
-def _fold_whole(points: DataFrame, keys: list[str], at: str, ttl: int) -> DataFrame:
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("marks")
-    )
+def _fold_whole(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str) -> DataFrame:
+    mark = f"array<struct<{at}: bigint, {tie}: {points.schema[tie].dataType.simpleString()}>>"
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(mark).alias("marks"))
 
     def step(state: Column, point: Column) -> Column:
         late = state["last"].isNull() | (point[at] > state["last"] + ttl)
         push = point["_f"] & (point[at] > state["last"])
-        marked = F.struct(
-            point[at].alias("last"), F.concat(state["marks"], F.array(point[at])).alias("marks")
-        )
+        new = F.struct(point[at].alias(at), point[tie].alias(tie))
+        marked = F.struct(point[at].alias("last"), F.concat(state["marks"], F.array(new)).alias("marks"))
         return F.when(late | push, marked).otherwise(state)
 
-    series = F.sort_array(F.collect_set(F.struct(at, "_f")))
-    return (
-        points.groupBy(*keys)
-        .agg(series.alias("_s"))
-        .select(*keys, F.explode(F.aggregate("_s", start, step, lambda s: s["marks"])).alias(at))
-    )
+    series = F.sort_array(F.collect_list(F.struct(at, tie, "_f")))
+    marks = F.explode(F.aggregate("_s", start, step, lambda s: s["marks"]))
+    # A forced row may follow an unforced one of the same time; the point stays one.
+    return points.groupBy(*keys).agg(series.alias("_s")).select(*keys, marks.alias("_m")).select(*keys, "_m.*")
 
 
-def _fold_blocks(points: DataFrame, keys: list[str], at: str, ttl: int, block: int) -> DataFrame:
+def _fold_blocks(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str, block: int) -> DataFrame:
     distinct = (
         points.withColumn("_b", F.floor(F.col(at) / block).cast("long"))
         .groupBy(*keys, "_b", at)
-        .agg(F.max("_f").alias("_f"))
+        .agg(F.max("_f").alias("_f"), F.min(tie).alias(tie))
     )
     key_fields = [f for f in points.schema.fields if f.name in keys]
     long_list = T.ArrayType(T.LongType())
@@ -129,31 +127,27 @@ def _fold_blocks(points: DataFrame, keys: list[str], at: str, ttl: int, block: i
         [*key_fields, block_field, T.StructField("_limit", long_list), T.StructField("_exit", long_list)]
     )
     carry_schema = T.StructType([*key_fields, block_field, T.StructField("_last", T.LongType())])
-    mark_schema = T.StructType([*key_fields, T.StructField(at, T.LongType())])
+    mark_schema = T.StructType([*key_fields, T.StructField(at, T.LongType()), points.schema[tie]])
+    key_names = [f.name for f in key_fields]
 
-    def condense(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        limit, exit_ = block_steps(*_sorted_points(pdf, at), ttl, int(key[-1]) * block)
-        return pd.DataFrame([[*key, limit, exit_]], columns=steps_schema.names)
+    def condense(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        limit, exit_ = block_steps(*_sorted_points(pdf, at), ttl, int(first["_b"]) * block)
+        return pd.DataFrame([[*first[key_names], first["_b"], limit, exit_]], columns=steps_schema.names)
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b")
         last, out = None, []
-        for b, limit, exit_ in zip(pdf["_b"], pdf["_limit"], pdf["_exit"]):
+        for limit, exit_ in zip(pdf["_limit"], pdf["_exit"]):
             out.append(last)
             last = step_through(last, np.asarray(limit), np.asarray(exit_), ttl)
-        frame = pd.DataFrame({"_b": pdf["_b"].to_numpy(), "_last": pd.array(out, dtype="Int64")})
-        for name, value in zip(keys, key):
-            frame[name] = value
-        return frame[carry_schema.names]
+        return pdf[[*key_names, "_b"]].assign(_last=pd.array(out, dtype="Int64"))
 
-    def mark(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times, pushed = _sorted_points(pdf, at)
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
         first = pdf["_last"].iloc[0]
-        chosen = marks_after(times, pushed, ttl, None if pd.isna(first) else int(first))
-        frame = pd.DataFrame({at: chosen})
-        for name, value in zip(keys, key):
-            frame[name] = value
-        return frame[mark_schema.names]
+        chosen = marks_after(*_sorted_points(pdf, at), ttl, None if pd.isna(first) else int(first))
+        return pdf.iloc[chosen][mark_schema.names]
 
     carried = (
         distinct.groupBy(*keys, "_b").applyInPandas(condense, steps_schema)
@@ -214,7 +208,7 @@ def step_through(last: int | None, limit: np.ndarray, exits: np.ndarray, ttl: in
 
 
 def marks_after(times, pushed, ttl: int, last: int | None) -> list[int]:
-    """All marks of a block, given the last mark before it."""
+    """Places of all marks of a block, given the last mark before it."""
     size = len(times)
     follow = _next_index(times, pushed, ttl)
     i = 0
@@ -224,6 +218,6 @@ def marks_after(times, pushed, ttl: int, last: int | None) -> list[int]:
             i = min(i, int(np.flatnonzero(pushed)[0]))
     chosen = []
     while i < size:
-        chosen.append(int(times[i]))
+        chosen.append(i)
         i = int(follow[i])
     return chosen

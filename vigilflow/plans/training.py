@@ -52,12 +52,12 @@ class FlowClassifier:
         classes = sorted(L.GROUP_MEMBERS[group])
         names = F.array(*[F.lit(c) for c in classes])
 
-        def score(df: DataFrame) -> DataFrame:
+        def score(df: DataFrame, label: str, chances: str) -> DataFrame:
             scored = self.level2[group].transform(df)
             return scored.withColumns(
                 {
-                    "attack_type": names[F.col("prediction").cast("int")],
-                    "probabilities": scoring.probability_map(F.col("probability"), classes),
+                    label: names[F.col("prediction").cast("int")],
+                    chances: scoring.probability_map(F.col("probability"), classes),
                 }
             ).drop("rawPrediction", "probability", "prediction")
 
@@ -139,7 +139,7 @@ def train_classifier(
     base = [c for c in features if c not in L.ENGINEERED_FEATURES]
     names = [*base, *L.ENGINEERED_FEATURES]
     balanced = balance_classes(df, "Label", key, largest, smallest, seed, class_bound=len(L.TARGET_CLASSES))
-    engineered = engineer(balanced)
+    engineered = engineer(cut_lineage(spark, balanced))
     split = stratified_split(engineered, "Label", [*key, "copy"], seed, class_bound=len(L.TARGET_CLASSES))
     rows = cut_lineage(spark, split)
     scaler = scoring.fit_scaler(rows, names)

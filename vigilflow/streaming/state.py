@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """Rows of one key and micro-batch in time order (a timer-only call brings none)."""
+    chunks = [chunk for chunk in rows if len(chunk)]
+    if not chunks:
+        return pd.DataFrame(columns=order)
+    return pd.concat(chunks).sort_values(order, kind="stable")
+
+
 class _Suppress(StatefulProcessor):
     """Last fired time per key; forgotten when the watermark has passed its block."""
 
@@ -25,10 +33,12 @@ class _Suppress(StatefulProcessor):
         self._last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["_t", "id"])
+        batch = _in_order(rows, ["at_us", "id"])
+        if batch.empty:
+            return
         last = int(self._last.get()[0]) if self._last.exists() else None
         chosen = []
-        for place, at in enumerate(batch["_t"].tolist()):
+        for place, at in enumerate(batch["at_us"].tolist()):
             if last is None or at > last + self._ttl:
                 chosen.append(place)
                 last = at
@@ -53,12 +63,12 @@ def suppress_repeats(stream: DataFrame, seconds: int = 300, keys: tuple[str, ...
     The stream has ``id`` and a watermarked ``created_at``.  An event fires by event
     time; late rows beyond the watermark are dropped by Spark.
     """
-    timed = stream.withColumn("_t", F.unix_micros("created_at"))
-    fields = [f for f in timed.schema.fields if f.name in (*keys, "id", "_t")]
+    timed = stream.withColumn("at_us", F.unix_micros("created_at"))
+    fields = [f for f in timed.schema.fields if f.name in (*keys, "id", "at_us")]
     schema = T.StructType(fields)
     processor = _Suppress(seconds, schema.names)
     fired = timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
-    return fired.withColumn("created_at", F.timestamp_micros("_t")).drop("_t")
+    return fired.withColumn("created_at", F.timestamp_micros("at_us")).drop("at_us")
 
 
 class _LateTruth(StatefulProcessor):
@@ -72,17 +82,17 @@ class _LateTruth(StatefulProcessor):
         self._seen = handle.getValueState("seen", T.StructType([T.StructField("attack_type", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("_t", kind="stable")
+        batch = _in_order(rows, ["at_us"])
         out = []
         for row in batch.to_dict("records"):
             if not self._seen.exists():
                 self._seen.update((row["attack_type"],))
-                self._handle.registerTimer(int(row["_t"]) // 1000 + self._keep)
+                self._handle.registerTimer(int(row["at_us"]) // 1000 + self._keep)
                 out.append(row)
             elif row["ground_truth"] is not None:
                 out.append({**row, "attack_type": self._seen.get()[0]})
         for row in out:
-            row["version"] = int(row["_t"])
+            row["version"] = int(row["at_us"])
         yield pd.DataFrame(out, columns=self._names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -99,7 +109,7 @@ def merge_late_truth(stream: DataFrame, keep_hours: int = 24) -> DataFrame:
     Input: id, attack_type, ground_truth, watermarked created_at.  The highest
     ``version`` of an id is its current row.
     """
-    timed = stream.select("id", "attack_type", "ground_truth", "created_at", F.unix_micros("created_at").alias("_t"))
+    timed = stream.select("id", "attack_type", "ground_truth", "created_at", F.unix_micros("created_at").alias("at_us"))
     schema = T.StructType(
         [timed.schema["id"], timed.schema["attack_type"], timed.schema["ground_truth"], T.StructField("version", T.LongType())]
     )
@@ -120,7 +130,7 @@ class _Templates(StatefulProcessor):
         self._known = handle.getMapState("templates", key, value)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["recv_ts", "packet_no", "set_no"])
+        batch = _in_order(rows, ["recv_ts", "packet_no", "set_no"])
         out = []
         for row in batch.to_dict("records"):
             slot = (int(row["template_id"]),)
