@@ -66,12 +66,12 @@ def main() -> int:
             if not same:
                 bad += 1
                 print("   spark", dict(frame.dtypes), "\n   duck ", kinds)
-                missing, extra = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+                missing, extra = sorted(set(a) - set(b))[:3], sorted(set(b) - set(a))[:3]
                 print(f"   rows {len(a)} / {len(b)}\n   only spark {missing}\n   only duck  {extra}", flush=True)
         except Exception as error:  # a failing query is reported, the others still run
             bad += 1
             text = traceback.format_exc() if os.environ.get("TRACE") else str(error)
-            print(f"FAIL  {name}: {text[:1500]}", flush=True)
+            print(f"FAIL  {name}: {text[:6000]}", flush=True)
     print("bad:", bad)
     return 1 if bad else 0
 

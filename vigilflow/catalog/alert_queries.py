@@ -288,7 +288,7 @@ def t5_day(spark, sf):
 
 @query("T5_suppression_split_keys", _repeat_sql(86_400))
 def t5_split(spark, sf):
-    return _repeats(spark, sf, 86_400, whole_key_rows=10)
+    return _repeats(spark, sf, 86_400, whole_key_rows=20, block=10 * 86_400_000_000)
 
 
 @query(

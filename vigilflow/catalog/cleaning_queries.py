@@ -116,9 +116,7 @@ def p7(spark, sf):
     f"SELECT {_KEYS}, " + ", ".join(f'coalesce({sql}, 0) AS "{n}"' for n, sql in _CANON.items()) + f', {_LABEL} AS "Label" {_KEPT}',
 )
 def m1(spark, sf):
-    rows = H.rename_columns(dirty(spark, sf)).withColumn("Bwd Avg Bulk Rate", F.lit("0"))
-    # The constant column must fall to the spread rule; it also counts as a filled cell.
-    cleaned, _ = H.preprocess(rows.drop("Bwd Avg Bulk Rate"), L.TARGET_CLASSES, tuple(V.FLOW_KEY))
+    cleaned, _ = H.preprocess(H.rename_columns(dirty(spark, sf)), L.TARGET_CLASSES, tuple(V.FLOW_KEY))
     return cleaned
 
 

@@ -42,8 +42,7 @@ KEYS = ", ".join(V.FLOW_KEY)
 
 @query("F4_engineered_features", f"SELECT {KEYS}, {ENGINEERED_SELECT} FROM flows_v")
 def f4(spark, sf):
-    rows = V.flows(spark, sf)
-    return rows.select(*V.FLOW_KEY, *[c.alias(n) for n, c in X.engineered_columns(rows).items()])
+    return X.engineer(V.flows(spark, sf)).select(*V.FLOW_KEY, *L.ENGINEERED_FEATURES)
 
 
 # Mirror-flow records from line items: one gap in every kind of field.

@@ -177,7 +177,7 @@ def m12(spark, sf):
 
 
 # One small forest per session and data folder serves the learned-model queries.
-_SMALL = [{"numTrees": 8, "maxDepth": 6}, {"numTrees": 4, "maxDepth": 4}]
+_SMALL = [{"numTrees": 4, "maxDepth": 5}, {"numTrees": 3, "maxDepth": 3}]
 _TRAINED: dict[tuple[str, str], tuple] = {}
 
 

@@ -22,17 +22,33 @@ UNMEASURED = [
 TCP_FLAG_BITS = {"FIN": 0, "SYN": 1, "RST": 2, "PSH": 3, "ACK": 4, "URG": 5}
 
 
-def engineered_columns(df: DataFrame) -> dict[str, Column]:
-    """The 20 engineered features as expressions over ``df``.
+# Base features the engineered ones are computed from.
+BASE_FEATURES = [
+    "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Total Length of Bwd Packets",
+    "Flow Duration", "SYN Flag Count", "ACK Flag Count", "FIN Flag Count", "RST Flag Count", "PSH Flag Count",
+    "URG Flag Count", "Min Packet Length", "Max Packet Length", "Flow IAT Mean", "Flow IAT Std",
+    "Fwd Packet Length Mean", "Fwd Packet Length Std", "Fwd Header Length", "Active Mean", "Idle Mean",
+]
+
+
+def engineer(df: DataFrame) -> DataFrame:
+    """Append (or replace) the 20 engineered features.
 
-    Columns that ``df`` lacks, and null or non-finite cells, count as 0.
+    Columns that ``df`` lacks, and null or non-finite cells, count as 0.  The base
+    cells are cleaned once in a projection of their own.
     """
-    have = set(df.columns)
+    present = {name: f"_base{i}" for i, name in enumerate(BASE_FEATURES) if name in df.columns}
+    cleaned = df.withColumns(
+        {alias: finite_or(F.col(f"`{name}`").cast("double"), F.lit(0.0)) for name, alias in present.items()}
+    )
+    return cleaned.withColumns(_engineered(present)).drop(*present.values())
+
+
+def _engineered(present: dict[str, str]) -> dict[str, Column]:
+    """Feature expressions over the cleaned base columns; absent ones are 0."""
 
     def base(name: str) -> Column:
-        if name not in have:
-            return F.lit(0.0)
-        return finite_or(F.col(f"`{name}`").cast("double"), F.lit(0.0))
+        return F.col(present[name]) if name in present else F.lit(0.0)
 
     def flag(name: str) -> Column:
         return base(f"{name} Flag Count")
@@ -70,11 +86,6 @@ def engineered_columns(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def engineer(df: DataFrame) -> DataFrame:
-    """Append (or replace) the engineered features in a single projection."""
-    return df.withColumns(engineered_columns(df))
-
-
 def _shared(features: dict, fwd, bwd, fwd_bytes, bwd_bytes, duration_ms, protocol) -> None:
     """Features that every source derives in the same way."""
     seconds = duration_ms / 1000.0

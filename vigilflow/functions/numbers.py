@@ -6,35 +6,30 @@ import sys
 
 from pyspark.sql import Column, functions as F
 
-from vigilflow.functions.lookup import as_col
+from vigilflow.functions.lookup import as_col, bind
 
 _LARGEST = sys.float_info.max
-_PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_PLAIN_NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 
 
 def finite_or(value: Column, default: Column | None = None) -> Column:
     """``value`` when finite; NaN, infinities and null give ``default``."""
-    kept = F.when(value.between(F.lit(-_LARGEST), F.lit(_LARGEST)), value)
+    kept = F.when(F.abs(value) <= _LARGEST, value)
     return kept if default is None else F.coalesce(kept, default)
 
 
-def text_to_number(text: Column | str) -> Column:
-    """Number from text; anything unparsable or not finite becomes null.
+def parse_number(text: Column | str) -> Column:
+    """Number from plain decimal text, else null (an overflow gives an infinity).
 
     The pattern guard keeps out what a plain cast would accept ("1d", "NaN").
     """
     c = as_col(text)
-    parsed = F.when(c.rlike(_PLAIN_NUMBER), F.trim(c).try_cast("double"))
-    return finite_or(parsed)
+    return F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
 
 
-def to_number(df, name: str) -> Column:
-    """Numeric form of a column of any type (quoted name, so dots are safe)."""
-    kind = dict(df.dtypes)[name]
-    c = F.col(f"`{name}`")
-    if kind == "string":
-        return text_to_number(c)
-    return finite_or(c.cast("double"))
+def text_to_number(text: Column | str) -> Column:
+    """Number from text; anything unparsable or not finite becomes null."""
+    return bind(parse_number(text), lambda v: finite_or(v))
 
 
 def safe_float(value: Column, default: float = 0.0) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow import lookups as L
 from vigilflow.functions.lookup import normalise_label
-from vigilflow.functions.numbers import to_number
+from vigilflow.functions.numbers import finite_or, parse_number
 
 VARIANCE_FLOOR = 1e-6
 KEEP_SHARE = 0.7
@@ -67,17 +67,40 @@ def keep_classes(df: DataFrame, classes: list[str], label: str = "Label") -> Dat
     return df.filter(F.col(label).isin(list(classes)))
 
 
+def number_cells(df: DataFrame, columns: list[str]) -> tuple[list[str], Column]:
+    """The columns as one array of numbers (bad text and non-finite become null).
+
+    Returns the column order of the array.  Flow tables have some eighty columns;
+    one lambda over an array keeps the generated code small, where eighty inlined
+    parsers would outgrow what the JVM compiles.
+    """
+    kinds = dict(df.dtypes)
+    texts = [c for c in columns if kinds[c] == "string"]
+    plain = [c for c in columns if kinds[c] != "string"]
+    parsed = F.transform(F.array(*[F.col(f"`{c}`") for c in texts]), parse_number)
+    cast = F.array(*[F.col(f"`{c}`").cast("double") for c in plain])
+    both = [cells for names, cells in ((texts, parsed), (plain, cast)) if names]
+    return texts + plain, F.transform(F.concat(*both), lambda v: finite_or(v))
+
+
 def coerce_numbers(df: DataFrame, keep: tuple[str, ...] = ("Label",)) -> DataFrame:
     """All columns but ``keep`` to double; bad text and non-finite values to null."""
-    return df.select(
-        *[F.col(f"`{c}`") if c in keep else to_number(df, c).alias(c) for c in df.columns]
+    names, cells = number_cells(df, [c for c in df.columns if c not in keep])
+    slot = {name: i for i, name in enumerate(names)}
+    return df.withColumn("_cells", cells).select(
+        *[F.col(f"`{c}`") if c in keep else F.col("_cells")[slot[c]].alias(c) for c in df.columns]
     )
 
 
+def needed_cells(columns: list[str]) -> int:
+    """Filled cells a row needs: 70 % (rounded down) of the columns, label included."""
+    return int(len(columns) * KEEP_SHARE)
+
+
 def drop_sparse_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Drop rows with fewer than 70 % (rounded down) filled cells, label included."""
+    """Drop rows with too few filled cells (NaN counts as empty)."""
     columns = columns or df.columns
-    return df.dropna(thresh=int(len(columns) * KEEP_SHARE), subset=[f"`{c}`" for c in columns])
+    return df.dropna(thresh=needed_cells(columns), subset=[f"`{c}`" for c in columns])
 
 
 def fill_zero(df: DataFrame, keep: tuple[str, ...] = ("Label",)) -> DataFrame:
@@ -108,9 +131,17 @@ def clean(
     labelled = with_label(df, eleven_classes)
     if classes is not None:
         labelled = keep_classes(labelled, classes)
-    fixed = ("Label", *keep)
-    cells = [c for c in labelled.columns if c not in keep]
-    return fill_zero(drop_sparse_rows(coerce_numbers(labelled, fixed), cells), fixed)
+    columns = [c for c in labelled.columns if c not in keep]
+    names, cells = number_cells(labelled, [c for c in columns if c != "Label"])
+    slot = {name: i for i, name in enumerate(names)}
+    filled = F.size(F.filter("_cells", lambda v: v.isNotNull())) + F.col("Label").isNotNull().cast("int")
+    rows = labelled.withColumn("_cells", cells).filter(filled >= needed_cells(columns))
+    return rows.select(
+        *[
+            F.coalesce(F.col("_cells")[slot[c]], F.lit(0.0)).alias(c) if c in slot else F.col(f"`{c}`")
+            for c in labelled.columns
+        ]
+    )
 
 
 def preprocess(

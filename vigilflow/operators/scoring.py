@@ -52,7 +52,9 @@ def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
 # -- hierarchical prediction -----------------------------------------------
 
 
-Level2 = Callable[[DataFrame, str, str], DataFrame]
+# A level-2 model gives the frame (with columns of its own, if it needs any), the
+# class and the probability map.
+Level2 = Callable[[DataFrame], tuple[DataFrame, Column, Column]]
 
 
 def hierarchical(
@@ -63,26 +65,23 @@ def hierarchical(
 ) -> DataFrame:
     """Append ``group_pred``, ``attack_type`` and ``probabilities`` in one pass.
 
-    ``level1`` appends ``group_pred``; a level-2 model appends its class and its
-    probability map under the two given names.  Of these a row keeps those of its
-    own group.  (One branch per group would read the input and run level 1 once per
-    group.)  Groups with one class, or without a model, give their first class
+    ``level1`` appends ``group_pred``; of the level-2 results a row takes those of
+    its own group.  (One branch per group would read the input and run level 1 once
+    per group.)  Groups with one class, or without a model, give their first class
     with certainty.
     """
     groups = groups or L.GROUP_MEMBERS
     scored = level1(df)
-    sure = lookup("group_pred", {g: members[0] for g, members in groups.items()})
-    label, chances = sure, F.create_map(sure, F.lit(1.0))
-    helpers = []
-    for i, (group, members) in enumerate(groups.items()):
+    keep = scored.columns
+    label = lookup("group_pred", {g: members[0] for g, members in groups.items()})
+    chances = F.create_map(label, F.lit(1.0))
+    for group, members in groups.items():
         if len(members) > 1 and group in level2:
-            names = f"_class{i}", f"_chance{i}"
-            scored = level2[group](scored, *names)
+            scored, own_label, own_chances = level2[group](scored)
             own = F.col("group_pred") == group
-            label = F.when(own, F.col(names[0])).otherwise(label)
-            chances = F.when(own, F.col(names[1])).otherwise(chances)
-            helpers += names
-    return scored.withColumns({"attack_type": label, "probabilities": chances}).drop(*helpers)
+            label = F.when(own, own_label).otherwise(label)
+            chances = F.when(own, own_chances).otherwise(chances)
+    return scored.select(*[F.col(f"`{c}`") for c in keep], label.alias("attack_type"), chances.alias("probabilities"))
 
 
 def probability_map(probability: Column, classes: list[str]) -> Column:
@@ -187,18 +186,16 @@ def rule_level2(group: str) -> Level2:
     """Rules that choose a class within a group by flow length."""
     classes = sorted(L.GROUP_MEMBERS[group])
 
-    def score(df: DataFrame, label: str, chances: str) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in classes])
+    slots = F.array(*[F.lit(i) for i in range(len(classes))])
+
+    def score(df: DataFrame) -> tuple[DataFrame, Column, Column]:
         size = F.col("duration_log").cast("double")
-        slot = F.floor(size).cast("int") % len(classes)
-        share = F.round(0.5 + (size - F.floor(size)) / 2, 4)
-        other = F.round((1 - share) / (len(classes) - 1), 4)
-        return df.withColumn(label, F.array(*[F.lit(c) for c in classes])[slot]).withColumn(
-            chances,
-            F.map_from_arrays(
-                F.array(*[F.lit(c) for c in classes]),
-                F.array(*[F.when(slot == i, share).otherwise(other) for i in range(len(classes))]),
-            ),
-        )
+        sized = df.withColumns({"_whole": F.floor(size).cast("int"), "_share": F.round(0.5 + (size - F.floor(size)) / 2, 4)})
+        slot = F.col("_whole") % len(classes)
+        other = F.round((1 - F.col("_share")) / (len(classes) - 1), 4)
+        chances = F.transform(slots, lambda i: F.when(i == slot, F.col("_share")).otherwise(other))
+        return sized, names[slot], F.map_from_arrays(names, chances)
 
     return score
 

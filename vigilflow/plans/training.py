@@ -52,14 +52,12 @@ class FlowClassifier:
         classes = sorted(L.GROUP_MEMBERS[group])
         names = F.array(*[F.lit(c) for c in classes])
 
-        def score(df: DataFrame, label: str, chances: str) -> DataFrame:
-            scored = self.level2[group].transform(df)
-            return scored.withColumns(
-                {
-                    label: names[F.col("prediction").cast("int")],
-                    chances: scoring.probability_map(F.col("probability"), classes),
-                }
-            ).drop("rawPrediction", "probability", "prediction")
+        code, chances = f"_code_{group}", f"_chances_{group}"
+
+        def score(df: DataFrame):
+            scored = self.level2[group].transform(df).drop("rawPrediction")
+            scored = scored.withColumnsRenamed({"prediction": code, "probability": chances})
+            return scored, names[F.col(f"`{code}`").cast("int")], scoring.probability_map(F.col(f"`{chances}`"), classes)
 
         return score
 
@@ -148,6 +146,8 @@ def train_classifier(
         scoring.scale(align_features(rows, names, ("Label", "split")), scaler)
     ).select("Label", "split", VECTOR)
     ready = ready.withColumn("_group", lookup(class_group("Label"), class_codes(groups)).cast("double"))
+    # Every trial of every model reads these vectors, so they are stored once.
+    ready = cut_lineage(spark, ready)
     train, validation = (ready.filter(F.col("split") == s) for s in ("train", "validation"))
     level1, log = fit_best(train, validation, "_group", space, seed)
     trial_log = [{"model": "level1", **entry} for entry in log]
