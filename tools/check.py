@@ -71,7 +71,8 @@ def main() -> int:
         except Exception as error:  # a failing query is reported, the others still run
             bad += 1
             text = traceback.format_exc() if os.environ.get("TRACE") else str(error)
-            print(f"FAIL  {name}: {text[:6000]}", flush=True)
+            causes = "\n".join(line for line in text.splitlines() if "Caused by" in line or "- " in line[:4] or "object (class" in line)
+            print(f"FAIL  {name}: {text[:1500]}\n{causes[:3000]}", flush=True)
     print("bad:", bad)
     return 1 if bad else 0
 

@@ -11,7 +11,7 @@ from vigilflow.operators import scoring as S
 from vigilflow.operators.metrics import confusion, per_class
 from vigilflow.plans.catalogue import class_table, feature_table
 from vigilflow.plans.training import FlowClassifier, train_classifier
-from vigilflow.session import checkpoint_root
+from vigilflow.session import checkpoint_root, cut_lineage
 
 _ENGINEERED = f"(SELECT {KEYS}, {ENGINEERED_SELECT} FROM flows_v)"
 _GROUP = """CASE WHEN syn_flag_ratio > 0.5 THEN 'DDoS-family' WHEN fwd_bwd_pkt_ratio > 1000 THEN 'DoS-family' WHEN ack_syn_ratio > 3e8 THEN 'Brute-force'
@@ -189,11 +189,15 @@ def _trained(spark, sf):
     return _TRAINED[slot]
 
 
+def _judged(spark, model, test):
+    """Truth and prediction of the test rows, stored: each report reads them several times."""
+    return cut_lineage(spark, model.transform(test.drop(*L.ENGINEERED_FEATURES)).select("Label", "attack_type"))
+
+
 @query("M2_M3_trained_classifier")
 def m2(spark, sf):
     model, test, _ = _trained(spark, sf)
-    scored = model.transform(test.drop(*L.ENGINEERED_FEATURES))
-    return per_class(confusion(scored, "Label", "attack_type"))
+    return per_class(confusion(_judged(spark, model, test), "Label", "attack_type"))
 
 
 @query("M4_search_log")
@@ -220,6 +224,5 @@ def m11(spark, sf):
     model, test, _ = _trained(spark, sf)
     path = f"{checkpoint_root(spark)}/model-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
     model.save(path)
-    scored = FlowClassifier.load(path).transform(test.drop(*L.ENGINEERED_FEATURES))
-    save_evaluation(evaluate(scored, "Label", "attack_type"), f"{path}/report")
+    save_evaluation(evaluate(_judged(spark, FlowClassifier.load(path), test), "Label", "attack_type"), f"{path}/report")
     return spark.read.json(f"{path}/report/summary")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -99,7 +100,28 @@ def search_space(trials: int, seed: int) -> list[dict]:
 
 
 def macro_f1(scored: DataFrame, truth: str, pred: str) -> float:
-    return float(metrics.summary(metrics.confusion(scored, truth, pred)).first()["f1_macro"] or 0.0)
+    """Mean F1 over the classes on either side.
+
+    One distributed count; its table (classes² rows) is small enough for the driver.
+    """
+    cells = [(r["truth"], r["pred"], r["n"]) for r in metrics.confusion(scored, truth, pred).collect()]
+    support, predicted, hits = Counter(), Counter(), Counter()
+    for real, said, n in cells:
+        support[real] += n
+        predicted[said] += n
+        hits[real] += n if real == said else 0
+    classes = support.keys() | predicted.keys()
+    return sum(2 * hits[c] / (support[c] + predicted[c]) for c in classes) / max(len(classes), 1)
+
+
+def _without_summary(model: RandomForestClassificationModel) -> RandomForestClassificationModel:
+    """Drop the training summary of a model.
+
+    The summary of a two-class forest holds the session, which cannot be shipped to
+    tasks once the session has observed metrics.
+    """
+    model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def fit_best(
@@ -108,7 +130,7 @@ def fit_best(
     """Forest with the best macro-F1 on the validation rows, and all trials."""
     forest = RandomForestClassifier(labelCol=label, featuresCol=VECTOR, seed=seed)
     maps = [{getattr(forest, k): v for k, v in params.items()} for params in trials]
-    models: dict[int, RandomForestClassificationModel] = dict(forest.fitMultiple(train, maps))
+    models = {i: _without_summary(model) for i, model in forest.fitMultiple(train, maps)}
     log = [
         {**trials[i], "trial": i, "f1_macro": macro_f1(models[i].transform(validation), label, "prediction")}
         for i in sorted(models)
