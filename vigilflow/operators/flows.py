@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow.operators.timeline import carry_forward, greedy_marks, with_previous
+from vigilflow.session import cut_lineage
 
 IDLE_SECONDS = 15
 ACTIVE_SECONDS = 30
@@ -43,6 +44,8 @@ def assign_flows(
     gaps = lagged.withColumn(
         "_idle", F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > int(idle * _US))
     )
+    # The marks read these narrow rows several times; stored, the two shuffles run once.
+    gaps = cut_lineage(packets.sparkSession, gaps.select(*keys, "_t", tie, "_idle"))
     starts = greedy_marks(gaps, keys, "_t", int(active * _US), tie, forced="_idle", **tuning)
     flagged = timed.join(starts.select(*keys, "_t", F.col("_t").alias("_s")), [*keys, "_t"], "left")
     return carry_forward(flagged, keys, ["_t", tie], "_s", "_b", "flow_start").drop("_s", "_b")
