@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat
+from vigilflow.llm import chat, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,48 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
     turns = chat.canonical(chat.as_records(rows.unionByName(control)))
     return chat.read_back(chat.formatted(turns, "conv_id"), "conv_id")
+
+
+@query(
+    "op8_quality_rules",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+    ), split_ AS (
+      SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+    ), windows AS (
+      SELECT r, i, array_to_string(words[i:i + 4], ' ') AS w
+      FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM split_ WHERE len(words) >= 5)
+    ), repeated AS (
+      SELECT r, count(DISTINCT i + k) AS n_repeat_words
+      FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows), range(0, 5) t(k) WHERE n > 1 GROUP BY r
+    ), counts AS (
+      SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM split_ LEFT JOIN repeated USING (r)
+    ), ruled AS (
+      SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+    ), failed AS (
+      SELECT *, base_failed OR n_symbols > n_words OR 4 * n_dup_lines > n_words
+        OR word_chars / greatest(n_words, 1)::DOUBLE > 20 AS bad FROM ruled
+    ), hosts AS (
+      SELECT source, count(*) AS n, count(*) FILTER (bad) AS bad FROM failed GROUP BY source
+    ), prior AS (
+      SELECT sum(bad) / sum(n)::DOUBLE AS mean, var_pop(bad / n::DOUBLE) AS spread, avg(1.0::DOUBLE / n) AS chance FROM hosts
+    ), strength AS (
+      SELECT mean, CASE WHEN spread - mean * (1 - mean) * chance > 0
+        THEN greatest(1, least(1e4, mean * (1 - mean) / (spread - mean * (1 - mean) * chance) - 1)) ELSE 1e4 END AS s FROM prior
+    ), judged AS (
+      SELECT source, (bad + mean * s) / (n + s) AS host_rate FROM hosts, strength
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND host_rate <= 0.5 AS kept, round(host_rate, 6) AS host_rate
+    FROM failed JOIN judged ON failed.source IS NOT DISTINCT FROM judged.source
+    """,
+)
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_rules(table(spark, folder, "documents"))
