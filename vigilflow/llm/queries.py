@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, quality
+from vigilflow.llm import chat, licences, line_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,66 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns, "conv_id"), "conv_id")
 
 
+@query(
+    "op2_line_dedup",
+    """
+    WITH lines AS (
+      SELECT doc_id, i, lines[i] AS line, len(lines) AS n
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+    ), windows AS (
+      SELECT doc_id, i, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS w
+      FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ), later AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS copy FROM windows WHERE w IS NOT NULL)
+      WHERE copy > 1
+    ), gone AS (
+      SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 3) t(k)
+    ), marked AS (
+      SELECT l.doc_id, l.i, l.line, l.n, g.i IS NOT NULL AS cut FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i
+    ), runs AS (
+      SELECT *, cut AND coalesce(NOT lag(cut) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins FROM marked
+    )
+    SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN line END, chr(10) ORDER BY i), '') AS text,
+      n AS n_lines, count(*) FILTER (cut) AS n_removed, count(*) FILTER (begins) AS n_runs
+    FROM runs GROUP BY doc_id, n
+    """,
+)
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _canonical_sql(column: str) -> str:
+    out = f"regexp_replace(lower(coalesce({column}, '')), '{licences.COPYRIGHT_LINE}', '\\1', 'g')"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g')"
+    for old, new in licences.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "op6_licence_scan",
+    f"""
+    WITH known(licence, body) AS (VALUES {", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in licences.KNOWN)}),
+    digests AS (
+      SELECT body, min(licence) AS licence FROM (SELECT licence, array_to_string({_canonical_sql("body")}, ' ') AS body FROM known) GROUP BY body
+    ), lines AS (
+      SELECT doc_id, {_canonical_sql("text")} AS lines FROM documents
+    ), parts AS (
+      SELECT doc_id, 'text' AS scope, array_to_string(lines, ' ') AS body FROM lines
+      UNION ALL SELECT doc_id, 'line', unnest(lines) FROM lines
+    )
+    SELECT doc_id, scope, licence, count(*) AS n FROM parts JOIN digests USING (body) GROUP BY doc_id, scope, licence
+    """,
+)
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 @query(
     "op8_quality_rules",
     r"""
