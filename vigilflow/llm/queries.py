@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, licences, line_dedup, quality
+from vigilflow.llm import chat, licences, line_dedup, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,17 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def word_encoder() -> packing.WordEncoder:
+    import public_tokenizers
+
+    return packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_hierarchical_packing")
+def op4_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), word_encoder)
+
+
 def _canonical_sql(column: str) -> str:
     out = f"regexp_replace(lower(coalesce({column}, '')), '{licences.COPYRIGHT_LINE}', '\\1', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g')"
