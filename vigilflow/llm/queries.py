@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, licences, line_dedup, packing, quality
+from vigilflow.llm import chat, licences, line_dedup, packing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,17 @@ def op4_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), word_encoder)
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), byte_tokenizer)
+
+
 def _canonical_sql(column: str) -> str:
     out = f"regexp_replace(lower(coalesce({column}, '')), '{licences.COPYRIGHT_LINE}', '\\1', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g')"
