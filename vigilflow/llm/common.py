@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,14 +21,16 @@ BLOCK_BYTES = 1 << 20
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to a fresh folder of the shared checkpoint folder, read again.
 
-    Cuts the lineage: a lost executor costs the running stage only.  The folder goes
-    when the driver ends.
+    Cuts the lineage: a lost executor costs the running stage only.  Shuffle files of the steps before
+    can go, which a collection of the driver's garbage allows.  The folder goes when the driver ends.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, licences, line_dedup, packing, quality, token_counts
+from vigilflow.llm import chat, licences, line_dedup, packing, quality, radix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,11 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op3_radix_dedup")
+def op3_radix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return radix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def word_encoder() -> packing.WordEncoder:
     import public_tokenizers
 
