@@ -64,8 +64,6 @@ class WordEncoder:
                 begin = stop
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         cache, bases, marked, odd = self.cache, set(), [], []
         for word in words:
             base = word[:-1] if word[-1:] in ".," else word
@@ -84,6 +82,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         split = [text.replace("\n", " ").split(" ") for text in texts]
         self.cache.setdefault("", b"")
         new = {word for words in split for word in words} - self.cache.keys()
