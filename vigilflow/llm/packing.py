@@ -24,7 +24,7 @@ from vigilflow.llm.common import blocks
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 1 << 17
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class WordEncoder:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, licences, line_dedup, packing, quality, radix_dedup, token_counts
+from vigilflow.llm import chat, dart_minhash, licences, line_dedup, packing, quality, radix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,3 +187,8 @@ def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents"))
+
+
+@query("op9_dart_minhash")
+def op9_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, folder, "documents"))
