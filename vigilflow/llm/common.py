@@ -70,11 +70,14 @@ def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (no ASCII white space inside) and the number of its text."""
-    inside = np.ones(len(raw) + 1, bool)
-    inside[:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    inside[-1] = False
+NO_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(raw: np.ndarray, ends: np.ndarray, letters: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word and the number of its text; ``letters`` says which bytes words have."""
+    inside = np.zeros(len(raw) + 1, bool)
+    inside[:-1] = letters[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[ends] = True
     before = np.zeros_like(inside)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, dart_minhash, licences, line_dedup, packing, quality, radix_dedup, token_counts
+from vigilflow.llm import chat, dart_minhash, decontaminate, licences, line_dedup, packing, quality, radix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,3 +192,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_dart_minhash")
 def op9_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_string_tiling")
+def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
