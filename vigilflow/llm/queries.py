@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, dart_minhash, decontaminate, licences, line_dedup, packing, quality, radix_dedup, token_counts
+from vigilflow.llm import chat, dart_minhash, decontaminate, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +197,9 @@ def op9_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_string_tiling")
 def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
