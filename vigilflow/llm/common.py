@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vigilflow.session import checkpoint_root
 
@@ -18,20 +18,34 @@ SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to a fresh folder of the shared checkpoint folder, read again.
 
     Cuts the lineage: a lost executor costs the running stage only.  Shuffle files of the steps before
-    can go, which a collection of the driver's garbage allows.  The folder goes when the driver ends.
+    can go, which a collection of the driver's garbage allows.  The folder goes by ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
     df.write.parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files, path = _file_system(spark, folder)
+    files.deleteOnExit(path.getParent())
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_at = folder
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of frames from ``stored`` that no frame in use depends on any more."""
+    for frame in frames:
+        files, path = _file_system(frame.sparkSession, frame.stored_at)
+        files.delete(path.getParent(), True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

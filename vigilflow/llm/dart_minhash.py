@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vigilflow.llm.common import blocks, mix, span_hashes, stored, utf8, word_spans
+from vigilflow.llm.common import blocks, mix, release, span_hashes, stored, utf8, word_spans
 
 WORDS = 5
 ROWS, BANDS = 4, 24
@@ -126,7 +126,7 @@ def with_bands(texts: DataFrame, text: str, words: int, weighted: bool, rows: in
 
 
 def checked(edges: DataFrame, texts: DataFrame, words: int, weighted: bool, similarity: float, label: str) -> DataFrame:
-    """Of the pairs (_center, _id), those with a Jaccard similarity of shingles of ``similarity`` or more.
+    """Of the pairs (_center, _id), those (stored) with a Jaccard similarity of shingles of ``similarity`` or more.
 
     A text travels once, with the list of its centers (at most one per band and round); then its elements (32 bits
     each) meet those of each center.  A popular center is no hot spot: AQE splits the join.
@@ -161,7 +161,9 @@ def checked(edges: DataFrame, texts: DataFrame, words: int, weighted: bool, simi
             yield batch.select(["_center", "_id"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(centers.hint("merge"), "_center").select("_center", "_id", "_set", "_other")
-    return joined.mapInArrow(similar, "_center binary, _id binary")
+    links = stored(joined.mapInArrow(similar, "_center binary, _id binary"), f"{label}-links")
+    release(sets)
+    return links
 
 
 def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
@@ -175,11 +177,12 @@ def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
         every = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = every.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = every.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), f"{label}-{turn}l")
+        large, old = stored(large.where("u <> v").distinct(), f"{label}-{turn}l"), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), f"{label}-{turn}s")
+        release(old, large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -200,7 +203,9 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
     edges = places.join(top.hint("merge"), "_key").where("_id <> _center").select("_center", "_id").distinct()
     links, used, turn = None, None, 0
     while True:
-        found = stored(checked(stored(edges, f"edges{turn}"), texts, words, weighted, similarity, f"round{turn}"), f"links{turn}")
+        edges = stored(edges, f"edges{turn}")
+        found = checked(edges, texts, words, weighted, similarity, f"round{turn}")
+        release(edges)
         links = found if links is None else links.union(found)
         if links.isEmpty():
             return None
@@ -247,10 +252,13 @@ def near_duplicates(
     signed = stored(with_bands(texts, "_text", words, weighted, rows, bands), "bands")
     places = signed.dropDuplicates(["_id"]).select("_id", F.explode("_bands").alias("_key"))
     places = stored(places, "places")
+    release(signed)
     counts = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    shared = stored(places.join(counts.hint("merge"), "_key"), "shared")
-    popular = shared.groupBy("_id").agg(F.sum("_n").alias("_p"))
-    shared = stored(shared.join(popular.hint("merge"), "_id").drop("_n"), "popular")
+    counted = stored(places.join(counts.hint("merge"), "_key"), "shared")
+    release(places)
+    popular = counted.groupBy("_id").agg(F.sum("_n").alias("_p"))
+    shared = stored(counted.join(popular.hint("merge"), "_id").drop("_n"), "popular")
+    release(counted)
     roots = same_class(shared, texts, words, weighted, similarity)
 
     members = body.select(key, "_id")

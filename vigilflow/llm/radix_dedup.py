@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilflow.llm.common import INVERSE, MULTIPLIER, blocks, byte_table, mix, powers, stored, utf8
+from vigilflow.llm.common import INVERSE, MULTIPLIER, blocks, byte_table, mix, powers, release, stored, utf8
 
 DEPTH = 200
 GRAMS = (100, 184)
@@ -150,7 +150,8 @@ def second_digits(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame
 
 
 def radix_pass(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Splits anchors by gram and context: those repeated with their context, and one row per context that stays open.
+    """Splits anchors (stored, released here) by gram and context: those repeated with their context, and one row per
+    context that stays open.
 
     Counts are combined on the map side; the joins are ones that AQE splits where a digit is hot.  A gram with one
     context only is settled; one where all contexts are repeated as well.
@@ -158,11 +159,17 @@ def radix_pass(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     names = [c for c in rows.columns if c not in ("_gram", "_context")]
     counts = rows.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_gram")
     shared = stored(rows.join(counts.hint("merge"), "_gram", "left_semi"), f"{label}-shared")
+    release(rows)
     contexts = shared.groupBy("_gram", "_context").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*names)).alias("_one"))
     contexts = stored(contexts, f"{label}-contexts")
-    settled = shared.join(contexts.where("_n > 1").select("_gram", "_context").hint("merge"), ["_gram", "_context"], "left_semi")
+    names = [c for c in names if c not in ("_left", "_right")]
+    known = contexts.where("_n > 1").select("_gram", "_context")
+    settled = shared.join(known.hint("merge"), ["_gram", "_context"], "left_semi").select(*names)
+    settled = stored(settled, f"{label}-settled")
     split = contexts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_m")).where("_c > 1 and _m = 1")
     still = contexts.join(split.select("_gram").hint("merge"), "_gram", "left_semi").select("_gram", "_one.*")
+    still = stored(still, f"{label}-open")
+    release(shared, contexts)
     return settled, still
 
 
@@ -171,18 +178,21 @@ def _span(key: str, start: Column, stop: Column) -> list[Column]:
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """(key, _h, start, stop): byte spans that cover exactly the repeated strings; they may overlap and pass the text's ends."""
+    """(key, _h, start, stop), stored: byte spans that cover exactly the repeated strings; they may overlap and pass the ends."""
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = texts.select("*", F.xxhash64("_text").alias("_h"))
     long = texts.where(F.octet_length("_text") >= depth)
     settled, still = radix_pass(stored(first_digits(long, key, "_text", depth), "first"), "first")
+    done = [settled]
     spans = settled.select(*_span(key, F.col("_at") - (depth - GRAMS[0]), F.col("_at") + depth))
 
     # The open anchors of a text in one list, next to the text.
     lists = still.groupBy(F.col(key).alias("_key"), F.col("_h").alias("_hash")).agg(F.collect_list("_at").alias("_open"))
     both = long.join(lists.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")))
     second = stored(second_digits(both.select(key, "_h", "_text", "_open"), key, "_text", depth), "second")
+    release(still)
     settled, still = radix_pass(second, "second")
+    done.append(settled)
     reach = depth - GRAMS[1]
     spans = spans.unionByName(settled.select(*_span(key, F.col("_at") - reach, F.col("_at") + depth)))
 
@@ -192,10 +202,14 @@ def repeated_spans(docs: DataFrame, key: str, text: str, depth: int) -> DataFram
     prefixes = prefixes.where((F.octet_length("_left") >= before) & (F.octet_length("_right") >= after))
     parts = [F.col("_gram"), before, F.substring("_left", F.octet_length("_left") - before + 1, before), F.substring("_right", F.lit(1), after)]
     prefixes = stored(prefixes.select(key, "_h", "_at", "_o", *(F.xxhash64(F.lit(s), *parts).alias(n) for s, n in ((1, "_a"), (2, "_b")))), "third")
+    release(still)
     equal = prefixes.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b")
     repeated = prefixes.join(equal.hint("merge"), ["_a", "_b"], "left_semi")
     ends = repeated.groupBy(key, "_h", "_at").agg(F.min("_o").alias("_least"), F.max("_o").alias("_most"))
-    return spans.unionByName(ends.select(*_span(key, F.col("_at") - F.col("_most"), F.col("_at") - F.col("_least") + depth)))
+    last = ends.select(*_span(key, F.col("_at") - F.col("_most"), F.col("_at") - F.col("_least") + depth))
+    spans = stored(spans.unionByName(last), "spans")
+    release(*done, prefixes)
+    return spans
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -220,7 +234,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     if depth <= GRAMS[1]:
         raise ValueError(f"depth must be over {GRAMS[1]}")
     kind = docs.schema[key].dataType.simpleString()
-    spans = stored(repeated_spans(docs, key, text, depth), "spans")
+    spans = repeated_spans(docs, key, text, depth)
     lists = spans.groupBy(F.col(key).alias("_key"), F.col("_h").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_hash"))
