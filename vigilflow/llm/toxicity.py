@@ -288,7 +288,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 30)
 def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 150, batch: int = 64, seed: int = 7) -> Model:
     """A model of the given texts; ``base_rate``: share of label 1 among all labelled rows.
 
-    The first numbers of the word and run vectors start as log odds and stay.  The other weights are trained by Adam, ``steps`` steps
+    The first numbers of the word and run vectors are log odds; in training, those of the other half of the texts.  The other weights are trained by Adam, ``steps`` steps
     or four epochs, on the worst window of each text (the first time: the one with the strongest words), the vectors by
     Adagrad once per epoch.  With one label only, or none, the score is the smoothed base rate.
     """
@@ -303,8 +303,14 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
     _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     words = buckets(raw, starts[index], stops[index])
     cuts = np.searchsorted(text, np.arange(1, len(texts)))
-    x, counts, begins = model.inputs(words)
-    model.word[:, 0], model.char[:, 0] = log_odds(words, begins, [np.unique(p) for p in np.split(inverse, cuts)], labels)
+    _, counts, begins = model.inputs(words)
+    own, fold = [np.unique(p) for p in np.split(inverse, cuts)], np.arange(len(texts)) % 2
+    odds = [log_odds(words, begins, [own[d] for d in np.flatnonzero(use)], labels[use]) for use in (fold == 1, fold == 0, fold >= 0)]
+
+    def inputs_of(part: int) -> np.ndarray:
+        model.word[:, 0], model.char[:, 0] = odds[part]
+        return model.inputs(words)[0]
+
     first, size, owner = windows(text, len(texts))
     window_begins = np.searchsorted(owner, np.arange(len(texts) + 1))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.weights.items()}
@@ -313,13 +319,14 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
 
     def gates_of(some: np.ndarray) -> tuple:
         numbers, mask = layout(first[some], size[some], inverse)
-        taken = x[numbers]
+        taken = x[fold[owner[some]][None, :], numbers]
         return numbers, mask, taken, tuple(taken @ model.weights[f"{w}x"] + model.weights[f"{w}0"] for w in "fb")
 
     epochs = max(4, -(-steps * batch // len(texts)))
     for epoch in range(epochs):
-        x = model.inputs(words)[0]
-        slopes = np.zeros_like(x)
+        # A text's log odds come from the other half of the texts, as those of unseen texts do.
+        x = np.stack([inputs_of(0), inputs_of(1)])
+        slopes = np.zeros_like(x[0])
         order = rng.permutation(len(texts))
         for begin in range(0, len(order), batch):
             docs = order[begin : begin + batch]
@@ -329,8 +336,8 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
                 value = model.forward(gates, mask)[0]
             else:
                 every = np.concatenate([np.arange(window_begins[d], window_begins[d + 1]) for d in docs])
-                numbers, mask = layout(first[every], size[every], inverse)
-                value = ((x[numbers, 0] + x[numbers, -1]) * mask).sum(axis=0)
+                _, mask, taken, _ = gates_of(every)
+                value = ((taken[:, :, 0] + taken[:, :, -1]) * mask).sum(axis=0)
             ranked = every[np.lexsort((-value, owner[every]))]
             worst = ranked[np.append(True, owner[ranked][1:] != owner[ranked][:-1])]
             numbers, mask, taken, gates = gates_of(worst)
@@ -363,6 +370,7 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
     for begin in range(0, len(first), 2048):
         _, mask, _, gates = gates_of(np.arange(begin, min(begin + 2048, len(first))))
         logits.append(model.forward(gates, mask)[0])
+    inputs_of(2)
     model.head = logistic(document_inputs(np.concatenate(logits), owner, len(texts)), labels)
     share = labels.mean()
     model.shift = float(np.log(rate / (1 - rate)) - np.log(share / (1 - share)))
