@@ -248,7 +248,7 @@ class Scorer:
 
 
 def log_odds(words: Words, begins: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the label for word and run buckets by the texts they are in; within -1 and 1, rare ones near 0."""
+    """Log odds of the label for word and run buckets by the texts they are in; within -3 and 3, rare ones near 0."""
     counts = [np.zeros((2, 1 << bits), np.float32) for bits in (WORD_BITS, CHAR_BITS)]
     stops = np.append(begins[1:], len(words.run))
     for own, label in zip(docs, labels.tolist()):
@@ -261,7 +261,7 @@ def log_odds(words: Words, begins: np.ndarray, docs: list[np.ndarray], labels: n
     for found in counts:
         rates = (found + 0.5) / (total + 1)
         seen = found.sum(axis=0)
-        odds.append(np.clip(np.log(rates[1] / rates[0]), -3, 3) / 3 * seen / (seen + 5))
+        odds.append(np.clip(np.log(rates[1] / rates[0]), -3, 3) * seen / (seen + 5))
     return tuple(odds)
 
 
@@ -356,7 +356,7 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
                 low += 0.1 * (grad - low)
                 high += 0.001 * (grad**2 - high)
                 rise = 0.01 * (low / (1 - 0.9**step)) / (np.sqrt(high / (1 - 0.999**step)) + 1e-8)
-                model.weights[name] -= rise.astype(np.float32)
+                model.weights[name] -= (rise + 0.002 * model.weights[name]).astype(np.float32)
         if epoch + 1 == epochs:  # the weights belong to the vectors they were trained with
             break
         shared = np.repeat(slopes[:, DIM:-1] / np.maximum(counts, 1)[:, None], counts, axis=0)
@@ -365,7 +365,7 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
             np.add.at(total, rows, grad)
             total[:, 0] = 0
             square += (total**2).mean(axis=1)
-            table -= 0.05 * total / np.sqrt(square)[:, None]
+            table -= 0.1 / epochs * total / np.sqrt(square)[:, None]
     logits = []
     for begin in range(0, len(first), 2048):
         _, mask, _, gates = gates_of(np.arange(begin, min(begin + 2048, len(first))))
