@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow.llm.common import blocks, mix, release, span_hashes, stored, utf8, word_spans
 
@@ -192,15 +192,15 @@ def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
 
 
 def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool, similarity: float) -> DataFrame | None:
-    """(_id, _root) of linked nodes from (_key, _id, _p): bucket, node, popularity; None if nothing is linked.
+    """(_id, _root) of linked nodes from (_band, _id, _p): bucket, node, popularity; None if nothing is linked.
 
     Round one compares the nodes of a bucket with the most popular one.  A bucket of several components then goes on:
     all its nodes outside the component of that node are compared with all others of the bucket, ``CENTERS`` of them per
     round, so that each round stays in proportion to the bucket.  Pairs within a component are left out.
     """
-    top = places.groupBy("_key").agg(F.max(F.struct("_p", "_id")).alias("_top")).select("_key", F.col("_top._id").alias("_center"))
+    top = places.groupBy("_band").agg(F.max(F.struct("_p", "_id")).alias("_top")).select("_band", F.col("_top._id").alias("_center"))
     top = stored(top, "centers")
-    edges = places.join(top.hint("merge"), "_key").where("_id <> _center").select("_center", "_id").distinct()
+    edges = places.join(top.hint("merge"), "_band").where("_id <> _center").select("_center", "_id").distinct()
     links, used, turn = None, None, 0
     while True:
         edges = stored(edges, f"edges{turn}")
@@ -210,24 +210,60 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
         if links.isEmpty():
             return None
         roots = stored(components(links, "_center", "_id", f"roots{turn}"), f"roots{turn}")
-        now = places.join(roots.hint("merge"), "_id", "left").select("_key", "_id", "_p", F.coalesce("_root", "_id").alias("_root"))
-        split = now.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
-        now = stored(now.join(split.select("_key").hint("merge"), "_key", "left_semi"), f"split{turn}")
-        main = now.join(top.hint("merge"), "_key").where("_id = _center").select("_key", F.col("_root").alias("_main"))
-        outside = now.join(main.hint("merge"), "_key").where("_root <> _main").drop("_main")
+        now = places.join(roots.hint("merge"), "_id", "left").select("_band", "_id", "_p", F.coalesce("_root", "_id").alias("_root"))
+        split = now.groupBy("_band").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
+        now = stored(now.join(split.select("_band").hint("merge"), "_band", "left_semi"), f"split{turn}")
+        main = now.join(top.hint("merge"), "_band").where("_id = _center").select("_band", F.col("_root").alias("_main"))
+        outside = now.join(main.hint("merge"), "_band").where("_root <> _main").drop("_main")
         if used is not None:
-            outside = outside.join(used.hint("merge"), ["_key", "_id"], "left_anti")
-        ranked = outside.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_p"), "_id")))
+            outside = outside.join(used.hint("merge"), ["_band", "_id"], "left_anti")
+        ranked = outside.withColumn("_rank", F.row_number().over(Window.partitionBy("_band").orderBy(F.desc("_p"), "_id")))
         fresh = stored(ranked.where(F.col("_rank") <= CENTERS).drop("_rank"), f"outside{turn}")
         if fresh.isEmpty():
             return roots
-        centers = fresh.select("_key", F.col("_id").alias("_center"), F.col("_root").alias("_croot"))
-        edges = now.join(centers.hint("merge"), "_key").where("_root <> _croot")
+        centers = fresh.select("_band", F.col("_id").alias("_center"), F.col("_root").alias("_croot"))
+        edges = now.join(centers.hint("merge"), "_band").where("_root <> _croot")
         edges = edges.select(F.greatest("_center", "_id").alias("_center"), F.least("_center", "_id").alias("_id")).distinct()
-        used = fresh.select("_key", "_id") if used is None else used.union(fresh.select("_key", "_id"))
+        used = fresh.select("_band", "_id") if used is None else used.union(fresh.select("_band", "_id"))
         turn += 1
 
 
+def _members(
+    docs: DataFrame, key: str, text: str, words: int, similarity: float, weighted: bool, rows: int, bands: int
+) -> DataFrame:
+    """(_key, _id, class_size, _first) of each row, stored: key, digest of the text, size and first (key, digest) of its class."""
+    body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = body.select("_key", F.unhex(F.md5("_text")).alias("_id"), "_text")
+    texts = body.select("_id", "_text")
+    signed = stored(with_bands(texts, "_text", words, weighted, rows, bands), "bands")
+    places = signed.dropDuplicates(["_id"]).select("_id", F.explode("_bands").alias("_band"))
+    places = stored(places, "places")
+    release(signed)
+    counts = places.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counted = stored(places.join(counts.hint("merge"), "_band"), "shared")
+    release(places)
+    popular = counted.groupBy("_id").agg(F.sum("_n").alias("_p"))
+    shared = stored(counted.join(popular.hint("merge"), "_id").drop("_n"), "popular")
+    release(counted)
+    roots = same_class(shared, texts, words, weighted, similarity)
+    release(shared)
+
+    members = body.select("_key", "_id")
+    if roots is None:
+        members = members.withColumn("_root", F.col("_id"))
+    else:
+        members = members.join(roots.hint("merge"), "_id", "left").select("_key", "_id", F.coalesce("_root", "_id").alias("_root"))
+    members = stored(members, "members")
+    classes = members.groupBy("_root").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("_key", "_id")).alias("_first"))
+    out = stored(members.join(classes.hint("merge"), "_root").drop("_root"), "classes")
+    release(members)
+    return out
+
+
+def _is_first() -> Column:
+    return F.col("_key").eqNullSafe(F.col("_first._key")) & (F.col("_id") == F.col("_first._id"))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -246,30 +282,18 @@ def near_duplicates(
     included, are one class.  A pair of the threshold similarity shares a band with probability 1 - 3e-6; every pair that
     shares one is compared unless its class is known from other pairs.  Equal texts are one node.
     """
-    body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    body = body.select(key, F.unhex(F.md5("_text")).alias("_id"), "_text")
-    texts = body.select("_id", "_text")
-    signed = stored(with_bands(texts, "_text", words, weighted, rows, bands), "bands")
-    places = signed.dropDuplicates(["_id"]).select("_id", F.explode("_bands").alias("_key"))
-    places = stored(places, "places")
-    release(signed)
-    counts = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    counted = stored(places.join(counts.hint("merge"), "_key"), "shared")
-    release(places)
-    popular = counted.groupBy("_id").agg(F.sum("_n").alias("_p"))
-    shared = stored(counted.join(popular.hint("merge"), "_id").drop("_n"), "popular")
-    release(counted)
-    roots = same_class(shared, texts, words, weighted, similarity)
-
-    members = body.select(key, "_id")
-    if roots is None:
-        members = members.withColumn("_root", F.col("_id"))
-    else:
-        members = members.join(roots.hint("merge"), "_id", "left").select(key, "_id", F.coalesce("_root", "_id").alias("_root"))
-    members = stored(members, "members")
-    classes = members.groupBy("_root").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct(key, "_id")).alias("_first"))
-    joined = members.join(classes.hint("merge"), "_root")
-    return joined.select(
-        F.col(key), F.col(f"_first.{key}").alias("class_id"), "class_size",
-        (F.col(key).eqNullSafe(F.col(f"_first.{key}")) & (F.col("_id") == F.col("_first._id"))).alias("kept"),
+    members = _members(docs, key, text, words, similarity, weighted, rows, bands)
+    return members.select(F.col("_key").alias(key), F.col("_first._key").alias("class_id"), "class_size", _is_first().alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``; of rows equal in key and text one, too."""
+    defaults = {"words": WORDS, "similarity": SIMILARITY, "weighted": False, "rows": ROWS, "bands": BANDS}
+    members = _members(docs, key, text, **(defaults | options))
+    first = members.where(_is_first()).select("_key", "_id").distinct()
+    body = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_k"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_d"),
     )
+    kept = body.join(first.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_k", "_d"]).select("_row.*")
