@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from vigilflow.llm import dart_minhash
 from vigilflow.llm.dart_minhash import drop_near_duplicates, near_duplicates, shingles, signatures
 
 
@@ -67,12 +66,29 @@ def test_one_row_of_each_class_stays(spark):
     assert near_duplicates(frame.limit(0)).collect() == [] and drop_near_duplicates(frame.limit(0)).collect() == []
 
 
-def test_nodes_outside_the_first_class_are_compared_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(dart_minhash, "CENTERS", 1)
-    rows = [r for r in corpus() if r[1] and len(r[1]) > 200][:40]
+def test_pairs_far_from_the_center_of_a_large_bucket(spark):
+    """Copies of a text with many changes each, and copies of those: similar to one another, not to the center."""
+    r = random.Random(9)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(400)]
+
+    def changed(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[r.randrange(len(words))] = f"n{r.randint(0, 99999)}"
+        return words
+
+    texts = [base] + [changed(base, r.randint(1, 5)) for _ in range(25)]
+    for _ in range(25):
+        texts.append(changed(base, r.randint(9, 16)))
+    for _ in range(8):
+        far = changed(base, 14)
+        texts += [far, changed(far, 3), changed(changed(far, 5), 4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    r.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(frame, rows=1, bands=24).collect()}
-    assert got == brute(rows)
+    for bands in (24, 60):
+        got = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame, rows=1 if bands == 24 else 4, bands=bands).collect()}
+        assert got == brute(sorted(rows))
 
 
 def agreement(a, b, wa=None, wb=None, k=512):

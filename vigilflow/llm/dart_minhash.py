@@ -20,7 +20,6 @@ from vigilflow.llm.common import blocks, mix, release, span_hashes, stored, utf8
 WORDS = 5
 ROWS, BANDS = 4, 24
 SIMILARITY = 0.8
-CENTERS = 64
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -125,11 +124,12 @@ def with_bands(texts: DataFrame, text: str, words: int, weighted: bool, rows: in
     return texts.mapInArrow(run, "_id binary, _bands array<long>")
 
 
-def checked(edges: DataFrame, texts: DataFrame, words: int, weighted: bool, similarity: float, label: str) -> DataFrame:
-    """Of the pairs (_center, _id), those (stored) with a Jaccard similarity of shingles of ``similarity`` or more.
+def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) -> DataFrame:
+    """(_center, _id, _a, _b, _c, _delta), stored: for each pair the sizes of the node's and the center's set of
+    shingles, of what they share, and the elements (32 bits each, sorted) that only one of them has.
 
-    A text travels once, with the list of its centers (at most one per band and round); then its elements (32 bits
-    each) meet those of each center.  A popular center is no hot spot: AQE splits the join.
+    A text travels once, with the list of its centers (at most one per band); then its elements meet those of each
+    center.  A popular center is no hot spot: AQE splits the join.
     """
     both = edges.select("_center", "_id").union(edges.select("_center", F.col("_center")).distinct())
     need = both.groupBy("_id").agg(F.collect_set("_center").alias("_centers"))
@@ -145,25 +145,116 @@ def checked(edges: DataFrame, texts: DataFrame, words: int, weighted: bool, simi
             )
 
     sets = one.join(need.hint("merge"), "_id").select("_id", "_centers", "_text")
-    sets = stored(sets.mapInArrow(elements, "_id binary, _centers array<binary>, _set binary"), f"{label}-sets")
+    sets = stored(sets.mapInArrow(elements, "_id binary, _centers array<binary>, _set binary"), "sets")
     pairs = sets.select("_id", "_set", F.explode("_centers").alias("_center")).where(F.col("_id") != F.col("_center"))
-    centers = sets.join(edges.select(F.col("_center").alias("_id")).distinct().hint("merge"), "_id", "left_semi")
-    centers = centers.select(F.col("_id").alias("_center"), F.col("_set").alias("_other"))
+    own = F.array_contains("_centers", F.col("_id"))  # every center has itself in its list
+    centers = sets.where(own).select(F.col("_id").alias("_center"), F.col("_set").alias("_other"))
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("_set"), batch.column("_other")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                common = small >= similarity * large and len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(small and common >= similarity * (small + large - common)))
-            yield batch.select(["_center", "_id"]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for left, right in zip(batch.column("_set"), batch.column("_other")):
+                x, y = np.frombuffer(left.as_buffer(), np.uint32), np.frombuffer(right.as_buffer(), np.uint32)
+                delta = np.setxor1d(x, y, assume_unique=True)
+                rows.append((len(x), len(y), (len(x) + len(y) - len(delta)) // 2, delta.tobytes()))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            arrays = [pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_center"), batch.column("_id"), *arrays], ["_center", "_id", "_a", "_b", "_c", "_delta"])
 
     joined = pairs.join(centers.hint("merge"), "_center").select("_center", "_id", "_set", "_other")
-    links = stored(joined.mapInArrow(similar, "_center binary, _id binary"), f"{label}-links")
+    out = stored(joined.mapInArrow(compare, "_center binary, _id binary, _a long, _b long, _c long, _delta binary"), "compared")
     release(sets)
-    return links
+    return out
+
+
+def linked(similarity: float) -> Column:
+    return F.col("_c") >= similarity * (F.col("_a") + F.col("_b") - F.col("_c"))
+
+
+def similar_by_delta(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(_center, _id) of the similar pairs among rows with both nodes' sizes and differences from the same center.
+
+    What two sets share follows from what each shares with the center and from their common differences.
+    """
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("_a", "_c", "_b", "_a2", "_c2")))
+            for left, right, (a, c, b, a2, c2) in zip(batch.column("_delta"), batch.column("_delta2"), numbers):
+                x, y = np.frombuffer(left.as_buffer(), np.uint32), np.frombuffer(right.as_buffer(), np.uint32)
+                common = c + c2 - b + len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (a + a2 - common))
+            yield batch.select(["_id", "_id2"]).rename_columns(["_center", "_id"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("_id", "_id2", "_a", "_b", "_c", "_delta", "_a2", "_c2", "_delta2").mapInArrow(similar, "_center binary, _id binary")
+
+
+def with_roots(found: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds the components of node and center; of the groups by center those whose nodes lie in several components."""
+    if roots is None:
+        out = found.withColumns({"_root": F.col("_id"), "_main": F.col("_center")})
+    else:
+        mains = roots.select(F.col("_id").alias("_center"), F.col("_root").alias("_main"))
+        out = found.join(roots.hint("merge"), "_id", "left").join(mains.hint("merge"), "_center", "left")
+        out = out.withColumns({"_root": F.coalesce("_root", "_id"), "_main": F.coalesce("_main", "_center")})
+    split = out.groupBy("_center").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
+    keys = stored(split.select("_center"), "split")
+    return stored(out.join(keys.hint("merge"), "_center", "left_semi"), "groups")
+
+
+def second(frame: DataFrame, *columns: str) -> DataFrame:
+    """``frame`` with the given columns renamed for the other side of a pair."""
+    return frame.select("_center", *(F.col(c).alias(f"{c}2") for c in columns))
+
+
+def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """(_center, _id, _id2): pairs of nodes of a group, in different components, that may be similar.
+
+    Let U be a node that is not similar to its center C, V any other node of the group, t = s / (1 + s).  U and V are
+    similar only if their differences from C have x >= t(|U| + |V|) + |C| - |U & C| - |V & C| elements in common.  As U is not
+    similar to C, x > t|V| + (1 - t)|C| - |V & C| whatever U is; and x >= t(|U| + |C|) - |U & C| whatever V is.  If
+    two sets share x elements, any order has a shared one among the first |set| - x + 1 of both.  In the
+    order rising by frequency these prefixes hold rare elements, which few nodes share.
+    """
+    t = similarity / (1 + similarity)
+    size = F.octet_length("_delta") / 4
+    strict = F.floor(F.greatest(F.lit(0.0), t * F.col("_a") + (1 - t) * F.col("_b") - F.col("_c") - 1e-6))
+    loose = F.ceil(F.greatest(F.lit(1.0), t * (F.col("_a") + F.col("_b")) - F.col("_c") - 1e-6))
+    nodes = groups.select(
+        "_center", "_id", "_root", (F.col("_root") != F.col("_main")).alias("_out"), "_delta",
+        (size - strict).cast("long").alias("_short"), (size - loose + 1).cast("long").alias("_long"),
+    )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deltas = [np.frombuffer(d.as_buffer(), np.uint32) for d in batch.column("_delta")]
+            at = pa.array(np.repeat(np.arange(len(deltas)), [len(d) for d in deltas]))
+            values = pa.array(np.concatenate([*deltas, np.zeros(0, np.uint32)]).astype(np.int64))
+            columns = ["_center", "_id", "_root", "_out", "_short", "_long"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), values], [*columns, "_e"])
+
+    schema = "_center binary, _id binary, _root binary, _out boolean, _short long, _long long, _e long"
+    rows = stored(nodes.mapInArrow(spread, schema), "differences")
+    often = rows.groupBy("_center", "_e").agg(F.count(F.lit(1)).alias("_n"), F.max("_out").alias("_any")).where("_n > 1")
+    often = stored(often, "frequencies")
+    common = rows.join(often.hint("merge"), ["_center", "_e"])
+    # Elements of one node come first in the order but meet nobody.
+    place = Window.partitionBy("_center", "_id").orderBy("_n", "_e")
+    ranked = common.withColumn("_rank", F.row_number().over(place))
+    total = common.groupBy("_center", "_id").agg(F.count(F.lit(1)).alias("_shared"))
+    sizes = groups.select("_center", "_id", size.cast("long").alias("_size"))
+    alone = sizes.join(total.hint("merge"), ["_center", "_id"]).select("_center", "_id", (F.col("_size") - F.col("_shared")).alias("_alone"))
+    ranked = ranked.join(alone.hint("merge"), ["_center", "_id"]).withColumn("_rank", F.col("_rank") + F.col("_alone"))
+    reach = F.when(F.col("_out"), F.greatest("_short", "_long")).otherwise(F.col("_short"))
+    prefixes = ranked.where(F.col("_any") & (F.col("_rank") <= reach))
+    prefixes = stored(prefixes.select("_center", "_e", "_id", "_root", "_out", (F.col("_rank") <= F.col("_short")).alias("_near")), "prefixes")
+    release(rows, often)
+    left = prefixes.where("_out")
+    right = prefixes.where("_near").select("_center", "_e", *(F.col(c).alias(f"{c}2") for c in ("_id", "_root", "_out")))
+    pairs = left.join(right.hint("merge"), ["_center", "_e"])
+    pairs = pairs.where("_root <> _root2 and (not _out2 or (_near and _id < _id2))")
+    return pairs.select("_center", "_id", "_id2").distinct()
 
 
 def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
@@ -194,38 +285,43 @@ def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
 def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool, similarity: float) -> DataFrame | None:
     """(_id, _root) of linked nodes from (_band, _id, _p): bucket, node, popularity; None if nothing is linked.
 
-    Round one compares the nodes of a bucket with the most popular one.  A bucket of several components then goes on:
-    all its nodes outside the component of that node are compared with all others of the bucket, ``CENTERS`` of them per
-    round, so that each round stays in proportion to the bucket.  Pairs within a component are left out.
+    All nodes of a bucket are compared with its most popular one, the center.  What two nodes have in common follows from
+    their differences from the same center.  So the nodes of a center that are not in its component are then compared with
+    the most popular of them, and at last with all other nodes of the center that a prefix filter on the differences
+    leaves.  No bucket is expanded into all pairs, and no similar pair that shares a bucket is lost.
     """
     top = places.groupBy("_band").agg(F.max(F.struct("_p", "_id")).alias("_top")).select("_band", F.col("_top._id").alias("_center"))
     top = stored(top, "centers")
-    edges = places.join(top.hint("merge"), "_band").where("_id <> _center").select("_center", "_id").distinct()
-    links, used, turn = None, None, 0
-    while True:
-        edges = stored(edges, f"edges{turn}")
-        found = checked(edges, texts, words, weighted, similarity, f"round{turn}")
-        release(edges)
-        links = found if links is None else links.union(found)
-        if links.isEmpty():
-            return None
-        roots = stored(components(links, "_center", "_id", f"roots{turn}"), f"roots{turn}")
-        now = places.join(roots.hint("merge"), "_id", "left").select("_band", "_id", "_p", F.coalesce("_root", "_id").alias("_root"))
-        split = now.groupBy("_band").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
-        now = stored(now.join(split.select("_band").hint("merge"), "_band", "left_semi"), f"split{turn}")
-        main = now.join(top.hint("merge"), "_band").where("_id = _center").select("_band", F.col("_root").alias("_main"))
-        outside = now.join(main.hint("merge"), "_band").where("_root <> _main").drop("_main")
-        if used is not None:
-            outside = outside.join(used.hint("merge"), ["_band", "_id"], "left_anti")
-        ranked = outside.withColumn("_rank", F.row_number().over(Window.partitionBy("_band").orderBy(F.desc("_p"), "_id")))
-        fresh = stored(ranked.where(F.col("_rank") <= CENTERS).drop("_rank"), f"outside{turn}")
-        if fresh.isEmpty():
-            return roots
-        centers = fresh.select("_band", F.col("_id").alias("_center"), F.col("_root").alias("_croot"))
-        edges = now.join(centers.hint("merge"), "_band").where("_root <> _croot")
-        edges = edges.select(F.greatest("_center", "_id").alias("_center"), F.least("_center", "_id").alias("_id")).distinct()
-        used = fresh.select("_band", "_id") if used is None else used.union(fresh.select("_band", "_id"))
-        turn += 1
+    edges = places.join(top.hint("merge"), "_band").where("_id <> _center")
+    edges = stored(edges.groupBy("_center", "_id").agg(F.max("_p").alias("_p")), "edges")
+    release(top)
+    found = compared(edges, texts, words, weighted)
+    links = found.where(linked(similarity)).select("_center", "_id")
+
+    def joined(links: DataFrame, label: str) -> DataFrame | None:
+        return None if links.isEmpty() else stored(components(links, "_center", "_id", label), label)
+
+    roots = joined(links, "first")
+    groups = with_roots(found, roots)
+    outside = groups.where("_root <> _main").join(edges.hint("merge"), ["_center", "_id"])
+    lead = outside.groupBy("_center").agg(F.max(F.struct("_p", "_id", "_a", "_c", "_delta")).alias("_top")).select("_center", "_top.*")
+    lead = stored(second(lead, "_id", "_a", "_c", "_delta"), "leads")
+    pairs = outside.join(lead.hint("merge"), "_center").where("_id <> _id2 and _root <> _id2")
+    more = stored(similar_by_delta(pairs, similarity), "more")
+    release(lead)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = joined(links, "second")
+        groups = with_roots(found, roots)
+    pairs = prefix_pairs(groups, similarity)
+    nodes = groups.select("_center", "_id", "_a", "_b", "_c", "_delta")
+    pairs = pairs.join(nodes.hint("merge"), ["_center", "_id"])
+    pairs = pairs.join(second(nodes, "_id", "_a", "_c", "_delta").hint("merge"), ["_center", "_id2"])
+    last = stored(similar_by_delta(pairs, similarity), "last")
+    if not last.isEmpty():
+        roots = joined(links.union(last), "third")
+    release(found, edges)
+    return roots
 
 
 def _members(
@@ -239,9 +335,10 @@ def _members(
     places = signed.dropDuplicates(["_id"]).select("_id", F.explode("_bands").alias("_band"))
     places = stored(places, "places")
     release(signed)
-    counts = places.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Keys are stored before large joins: where one owns many rows, AQE can then split it.
+    counts = stored(places.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "counts")
     counted = stored(places.join(counts.hint("merge"), "_band"), "shared")
-    release(places)
+    release(places, counts)
     popular = counted.groupBy("_id").agg(F.sum("_n").alias("_p"))
     shared = stored(counted.join(popular.hint("merge"), "_id").drop("_n"), "popular")
     release(counted)
@@ -255,8 +352,9 @@ def _members(
         members = members.join(roots.hint("merge"), "_id", "left").select("_key", "_id", F.coalesce("_root", "_id").alias("_root"))
     members = stored(members, "members")
     classes = members.groupBy("_root").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("_key", "_id")).alias("_first"))
+    classes = stored(classes, "firsts")
     out = stored(members.join(classes.hint("merge"), "_root").drop("_root"), "classes")
-    release(members)
+    release(members, classes)
     return out
 
 
