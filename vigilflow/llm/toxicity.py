@@ -27,6 +27,7 @@ WORD_BITS, CHAR_BITS = 17, 20
 RUNS = (3, 5, 6, 7, 8)
 WORST = 4
 MAX_WORDS = 200_000
+PART = 16_384
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,12 +45,18 @@ class Words:
 
 def buckets(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Words:
     """Buckets of the words at the given spans of ``raw``."""
-    word = (span_hashes(raw, starts, stops) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = (span_hashes(raw, starts, stops) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    parts = [_runs(raw, starts[i : i + PART], stops[i : i + PART], i) for i in range(0, len(starts), PART)]
+    run, owner = zip(*parts) if parts else ([np.zeros(0, np.int32)],) * 2
+    return Words(word, np.concatenate(run), np.concatenate(owner))
+
+
+def _runs(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = stops - starts
     # Each word with one mark before and one after it, end to end.
     ends = np.cumsum(lengths + 2)
     owner = np.repeat(np.arange(len(starts)), lengths + 2)
-    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - 2, lengths + 2)
+    place = np.arange(ends[-1]) - np.repeat(ends - lengths - 2, lengths + 2)
     inner = (place > 0) & (place <= lengths[owner])
     letters = np.full(len(owner), 256, np.uint64)
     letters[inner] = raw[(starts[owner] + place - 1)[inner]]
@@ -60,11 +67,11 @@ def buckets(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Words:
         value = value[: len(shifted)] * np.uint64(263) + shifted
         if n + 1 in RUNS:
             same = owner[: len(value)] == owner[n:]
-            runs.append((mix(value[same] + np.uint64((n + 1) << 56)) >> np.uint64(64 - CHAR_BITS)).astype(np.int64))
+            runs.append((mix(value[same] + np.uint64((n + 1) << 56)) >> np.uint64(64 - CHAR_BITS)).astype(np.int32))
             owners.append(owner[: len(value)][same])
     run, of = np.concatenate(runs), np.concatenate(owners)
     order = np.argsort(of, kind="stable")
-    return Words(word, run[order], of[order])
+    return run[order], (of[order] + number).astype(np.int32)
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,12 +121,13 @@ class Model:
         n = len(words.word)
         counts = np.bincount(words.owner, minlength=n)
         begins = np.cumsum(counts) - counts
-        vectors = self.char[words.run]
         x = np.empty((n, INPUTS), np.float32)
         x[:, :DIM] = self.word[words.word]
-        if n:
-            x[:, DIM:-1] = np.add.reduceat(vectors, begins) / counts[:, None]
-            x[:, -1] = np.maximum.reduceat(vectors[:, 0], begins)
+        for i in range(0, n, PART):
+            part, stop = begins[i : i + PART], begins[i + PART] if i + PART < n else len(words.run)
+            vectors = self.char[words.run[part[0] : stop]]
+            x[i : i + PART, DIM:-1] = np.add.reduceat(vectors, part - part[0]) / counts[i : i + PART, None]
+            x[i : i + PART, -1] = np.maximum.reduceat(vectors[:, 0], part - part[0])
         return x, counts, begins
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,11 +367,12 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
                 model.weights[name] -= (rise + 0.002 * model.weights[name]).astype(np.float32)
         if epoch + 1 == epochs:  # the weights belong to the vectors they were trained with
             break
-        shared = np.repeat(slopes[:, DIM:-1] / np.maximum(counts, 1)[:, None], counts, axis=0)
+        shared = slopes[:, DIM:-1] / np.maximum(counts, 1)[:, None]
         for table, rows, grad, square in ((model.word, words.word, slopes[:, :DIM], squares[0]), (model.char, words.run, shared, squares[1])):
             total = np.zeros_like(table)
-            np.add.at(total, rows, grad)
-            total[:, 0] = 0
+            for column in range(1, table.shape[1]):
+                each = grad[:, column] if table is model.word else np.repeat(grad[:, column], counts)
+                total[:, column] = np.bincount(rows, weights=each, minlength=len(table))
             square += (total**2).mean(axis=1)
             table -= 0.1 / epochs * total / np.sqrt(square)[:, None]
     logits = []
@@ -384,7 +393,7 @@ def held_out(key: str) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    per_label: tuple[int, int] = (3000, 1500), max_chars: int = 20_000,
+    per_label: tuple[int, int] = (2000, 1000), max_chars: int = 20_000,
 ) -> Model:
     """A model from a bounded sample: of each label ``per_label`` labelled rows (those of the smallest key hashes) that are
     not held out, and of their texts those of up to ``max_chars`` characters.
