@@ -20,6 +20,7 @@ from vigilflow.llm.common import blocks, mix, release, span_hashes, stored, utf8
 WORDS = 5
 ROWS, BANDS = 4, 24
 SIMILARITY = 0.8
+DELTA_BYTES = 1 << 19
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -151,7 +152,7 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
     centers = sets.where(own).select(F.col("_id").alias("_center"), F.col("_set").alias("_other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "_set", 8 * DELTA_BYTES):
             rows = []
             for left, right in zip(batch.column("_set"), batch.column("_other")):
                 x, y = np.frombuffer(left.as_buffer(), np.uint32), np.frombuffer(right.as_buffer(), np.uint32)
@@ -178,7 +179,7 @@ def similar_by_delta(pairs: DataFrame, similarity: float) -> DataFrame:
     """
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "_delta", 8 * DELTA_BYTES):
             keep = []
             numbers = zip(*(batch.column(c).to_pylist() for c in ("_a", "_c", "_b", "_a2", "_c2")))
             for left, right, (a, c, b, a2, c2) in zip(batch.column("_delta"), batch.column("_delta2"), numbers):
@@ -227,7 +228,7 @@ def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "_delta", DELTA_BYTES):
             deltas = [np.frombuffer(d.as_buffer(), np.uint32) for d in batch.column("_delta")]
             at = pa.array(np.repeat(np.arange(len(deltas)), [len(d) for d in deltas]))
             values = pa.array(np.concatenate([*deltas, np.zeros(0, np.uint32)]).astype(np.int64))
