@@ -12,11 +12,14 @@ from vigilflow.functions import devices, messages, network, severity
 from vigilflow.functions.features import engineer, map_mirror_flows
 from vigilflow.functions.numbers import text_to_number
 from vigilflow.operators import harmonise, history, metrics
+from vigilflow.functions.devices import expand_interface
+from vigilflow.operators.history import page
 from vigilflow.operators.joins import lookup_join
 from vigilflow.operators.ranking import band, digest
 from vigilflow.operators.response import suppress_repeats
 from vigilflow.operators.sampling import balance_classes
 from vigilflow.operators.timeline import block_steps, carry_forward, greedy_marks, marks_after, step_through, with_previous
+from vigilflow.sources.netflow import wide_number
 
 
 def one(spark, column):
@@ -64,9 +67,60 @@ def test_greedy_marks_same_for_whole_and_split_keys(spark):
                 was = points.get(at, (False, i))
                 points[at] = (was[0] or forced, min(was[1], i))
         want |= {(key, at, points[at][1]) for at in brute_marks([(a, f) for a, (f, _) in points.items()], 100)}
-    for limit in (10_000, 100):
-        got = greedy_marks(df, ["k"], "at", 100, "id", forced="forced", whole_key_rows=limit, block=300)
-        assert {(r["k"], r["at"]) for r in got.collect()} == {(k, a) for k, a, _ in want}
+    for limit, block, fan_in in ((10_000, 300, 64), (100, 300, 64), (100, 37, 2), (100, 5, 3)):
+        got = greedy_marks(df, ["k"], "at", 100, "id", forced="forced", whole_key_rows=limit, block_points=block, fan_in=fan_in)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_points_of_one_time_are_one_on_both_paths(spark):
+    df = spark.createDataFrame([(None, 0, 1, False), (None, 50, 5, False), (None, 50, 9, True), ("x", 50, 9, True), ("x", 50, 5, False)], "k string, at long, id long, f boolean")
+    for limit in (10_000, 1):
+        got = greedy_marks(df, ["k"], "at", 100, "id", forced="f", whole_key_rows=limit, block_points=10, fan_in=2)
+        assert sorted(map(str, map(tuple, got.collect()))) == ["('x', 50, 5)", "(None, 0, 1)", "(None, 50, 5)"]
+
+
+def test_one_key_with_dense_microseconds(spark):
+    """No task holds the whole key: blocks of fifty points, chained two at a time."""
+    times = [t for t in range(4000) if t % 7] + list(range(20_000, 21_000))
+    df = spark.createDataFrame([("hot", t, t) for t in times], "k string, at long, id long")
+    for ttl in (3, 90, 2500):
+        got = greedy_marks(df, ["k"], "at", ttl, "id", whole_key_rows=10, block_points=50, fan_in=2)
+        assert sorted(r["at"] for r in got.collect()) == brute_marks([(t, False) for t in times], ttl)
+
+
+def test_deep_page_equals_shallow_page_with_null_times(spark):
+    rows = [(i, None if i < 8 else 1_700_000_000 + i * 1000) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, s long").withColumn("created_at", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    for offset in (0, 5, 9, 11, 12, 15, 19, 25):
+        pages = [[r["id"] for r in page(df, 6, offset, shallow=s).collect()] for s in (10_000, 0)]
+        assert pages[0] == pages[1]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(10)], "id long, g string")
+    out = band(df, ["g"], digest(7, "g", "id"), [2])
+    assert sorted((str(r["g"]), r["band"], r["n"]) for r in out.groupBy("g", "band").agg(F.count("*").alias("n")).collect()) == [
+        ("None", 0, 2), ("None", 1, 3), ("a", 0, 2), ("a", 1, 3)]
+    assert balance_classes(df, "g", ["id"], 3, 7).groupBy("g").count().count() == 2
+
+
+def test_distinct_keys_have_distinct_digests(spark):
+    rows = [("a|", "b"), ("a", "|b"), ("a", None), (None, "a"), ("a", "\\N"), ("a|b", None), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(digest(1, "x", "y").alias("d")).distinct().count() == len(rows)
+
+
+def test_wide_counters_are_exact(spark):
+    values = ["8000000000000005", "FFFFFFFFFFFFFFFF", "0000000000000000000000000000002A", "010000000000000000", "", "FF" * 16]
+    df = spark.createDataFrame([(i, bytearray.fromhex(v)) for i, v in enumerate(values)], "i int, b binary")
+    got = {r["i"]: r["v"] for r in df.select("i", wide_number(F.hex("b")).alias("v")).collect()}
+    assert [got[i] for i in range(5)] == [2**63 + 5, 2**64 - 1, 42, 2**64, 0] and got[5] is None
+
+
+def test_long_interface_names_stay_whole(spark):
+    name = "Gi" + "1" * 20_000
+    got = spark.createDataFrame([(name,)], "n string").select(expand_interface("n").alias("n")).first()["n"]
+    assert got.endswith("1" * 20_000)
 
 
 def test_ttl_example_is_strict_and_not_extended(spark):

@@ -154,10 +154,10 @@ def f20(spark, sf):
     f"SELECT count(*) AS stored, count(*) AS written {_UNALERTED}",
 )
 def s4(spark, sf):
-    from vigilflow.session import checkpoint_root
+    from vigilflow.session import fresh_folder
     from vigilflow.sources.sinks import append_alerts
 
-    path = f"{checkpoint_root(spark)}/alerts-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "alerts")
     new = A.backfill(V.predictions(spark, sf), V.alerts(spark, sf), "system", _at())
     new.limit(0).write.mode("overwrite").parquet(path)
     written = append_alerts(new, path)
@@ -288,7 +288,7 @@ def t5_day(spark, sf):
 
 @query("T5_suppression_split_keys", _repeat_sql(86_400))
 def t5_split(spark, sf):
-    return _repeats(spark, sf, 86_400, whole_key_rows=20, block=10 * 86_400_000_000)
+    return _repeats(spark, sf, 86_400, whole_key_rows=20, block_points=40, fan_in=2)
 
 
 @query(

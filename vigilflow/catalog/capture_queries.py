@@ -52,12 +52,15 @@ _V5_SQL = f"""SELECT packet_no, record_no, {sql_ip('src')} AS src_ip, {sql_ip('d
        (SELECT event_id // 10 AS packet_no, CAST(row_number() OVER w - 1 AS INTEGER) AS record_no, count(*) OVER (PARTITION BY event_id // 10) AS n,
        {', '.join(f'{v} AS {k}' for k, v in _V5.items())}, CAST(floor(value * 10) AS BIGINT) AS ticks FROM events WINDOW w AS (PARTITION BY event_id // 10 ORDER BY event_id))
        WHERE NOT (packet_no % 7 = 0 AND record_no = n - 1)"""
-_SHOWN = ["packet_no", "record_no", "src_ip", "dst_ip", "src_port", "dst_port", "pkts", "octets", "duration_ms", "proto", "tcp_flags", "vlan_id"]
+_SHOWN = [
+    "packet_no", "record_no", "src_ip", "dst_ip", "src_port", "dst_port", "CAST(pkts AS BIGINT) AS pkts",
+    "CAST(octets AS BIGINT) AS octets", "duration_ms", "proto", "tcp_flags", "vlan_id",
+]
 
 
 @query("S7_netflow_v5", _V5_SQL)
 def s7(spark, sf):
-    return N.decode_v5(v5_packets(spark, sf)).select(*_SHOWN)
+    return N.decode_v5(v5_packets(spark, sf)).selectExpr(*_SHOWN)
 
 
 # -- v9 / IPFIX: sign-ups define templates, other events carry two records ---
@@ -107,19 +110,55 @@ def _templated_sql(where: str = "true") -> str:
 
 @query("S8_J6_netflow_v9", _templated_sql())
 def s8(spark, sf):
-    return N.decode_templated(templated_packets(V.table(spark, sf, "events"), F.lit(False))).select(*_SHOWN)
+    return N.decode_templated(templated_packets(V.table(spark, sf, "events"), F.lit(False))).selectExpr(*_SHOWN)
 
 
 @query("S9_ipfix", _templated_sql())
 def s9(spark, sf):
-    return N.decode_templated(templated_packets(V.table(spark, sf, "events"), F.lit(True))).select(*_SHOWN)
+    return N.decode_templated(templated_packets(V.table(spark, sf, "events"), F.lit(True))).selectExpr(*_SHOWN)
 
 
 @query("S10_version_dispatch", f"SELECT * FROM ({_V5_SQL}) UNION ALL SELECT * FROM ({_templated_sql()})")
 def s10(spark, sf):
     both = templated_packets(V.table(spark, sf, "events"), F.col("event_id") % 3 == 0)
     other = both.withColumn("payload", F.concat(F.unhex(F.lit("0007")), F.col("payload")))
-    return N.decode(v5_packets(spark, sf).unionByName(both).unionByName(other)).select(*_SHOWN)
+    return N.decode(v5_packets(spark, sf).unionByName(both).unionByName(other)).selectExpr(*_SHOWN)
+
+
+# Counters of 2^63 and more, and flags and protocol declared four bytes wide, with values past 2^31.
+_WIDE = [(8, 4), (12, 4), (2, 8), (1, 12), (7, 2), (11, 2), (4, 4), (6, 4), (58, 2), (22, 4), (21, 4)]
+
+
+def wide_packets(spark, sf):
+    layout = "".join(f"{t:04x}{n:04x}" for t, n in _WIDE)
+    size = sum(n for _, n in _WIDE)
+    record = F.concat(
+        _hex("167772160 + user_id", 4), _hex(3232235520, 4), F.lit("80000000"), _hex("event_id", 4), F.lit("000000FF"), _hex("event_id", 8),
+        _hex(1000, 2), _hex(443, 2), F.lit("80000000"), F.lit("F0000012"), _hex("event_id % 400", 2), _hex(1000, 4), _hex("1000 + event_id % 777", 4),
+    )
+    define = f"0000{8 + 4 * len(_WIDE):04x}0100{len(_WIDE):04x}{layout}"
+    data = F.concat(F.lit(f"0100{4 + size:04x}"), record)
+    payload = F.concat(_hex(9, 2), _hex(2, 2), _hex(0, 12), _hex(7, 4), F.lit(define), data)
+    return V.table(spark, sf, "events").select(
+        F.lit("10.99.0.1").alias("exporter"), F.col("ts").cast("timestamp").alias("recv_ts"), F.col("event_id").alias("packet_no"), F.unhex(payload).alias("payload"),
+    )
+
+
+@query(
+    "S8_F7_wide_counters",
+    """SELECT event_id AS packet_no, CAST(9223372036854775808::HUGEINT + event_id AS VARCHAR) AS pkts,
+       CAST(255::HUGEINT * 18446744073709551616::HUGEINT + event_id AS VARCHAR) AS octets, 2147483648 AS proto, 4026531858 AS tcp_flags,
+       9223372036854775808.0::DOUBLE AS "Total Fwd Packets", 1.0::DOUBLE AS "SYN Flag Count", 0.0::DOUBLE AS "FIN Flag Count" FROM events""",
+)
+def s8_wide(spark, sf):
+    records = N.decode_templated(wide_packets(spark, sf))
+    shown = [F.col("pkts").cast("string").alias("wide_pkts"), F.col("octets").cast("string").alias("wide_octets")]
+    rows = N.flow_envelopes(records.select("*", *shown), ("packet_no", "wide_pkts", "wide_octets", "proto", "tcp_flags"))
+    # Ids stay far below the spacing of doubles near 2^63.
+    total = (F.floor(F.col("`Total Fwd Packets`") / 2**40) * F.lit(2.0**40)).alias("Total Fwd Packets")
+    return rows.select(
+        "packet_no", F.col("wide_pkts").alias("pkts"), F.col("wide_octets").alias("octets"), "proto", "tcp_flags", total, "`SYN Flag Count`", "`FIN Flag Count`",
+    )
 
 
 @query(
@@ -240,11 +279,11 @@ _PACKET = {
     "dst_port": "CAST(CASE WHEN event_id % 3 = 0 THEN 1000 + user_id ELSE 443 END AS INTEGER)",
     "protocol": "6", "bytes": "CAST(floor(value * 10) AS BIGINT)", "syn": "CAST(event_id % 2 AS INTEGER)",
 }
-_ASSIGNED = f"""ordered AS (SELECT *, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, packet_id) AS rn FROM
-       (SELECT user_id, {', '.join(f'{v} AS {k}' for k, v in _PACKET.items())} FROM events)),
-       walk AS (SELECT u, rn, ts, ts AS flow_start FROM ordered WHERE rn = 1 UNION ALL
+_WALK = f"""walk AS (SELECT u, rn, ts, ts AS flow_start FROM ordered WHERE rn = 1 UNION ALL
        SELECT o.u, o.rn, o.ts, CASE WHEN o.ts - w.ts > INTERVAL {IDLE} SECOND OR o.ts > w.flow_start + INTERVAL {ACTIVE} SECOND THEN o.ts ELSE w.flow_start END
        FROM walk w JOIN ordered o ON o.u = w.u AND o.rn = w.rn + 1)"""
+_ASSIGNED = f"""ordered AS (SELECT *, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, packet_id) AS rn FROM
+       (SELECT user_id, {', '.join(f'{v} AS {k}' for k, v in _PACKET.items())} FROM events)), {_WALK}"""
 
 
 def packets(spark, sf):
@@ -286,3 +325,17 @@ def t7(spark, sf):
         shown.append(F.round(F.col(f"{side}_mean_piat_ms") + 1e-7, 6).alias(f"{side}_mean_piat_ms"))
         shown += [f"{side}_duration_ms", F.col(f"{side}_syn_packets").cast("long").alias(f"{side}_syn_packets")]
     return rows.select(user.cast("long").alias("user_id"), "flow_start", "src_ip", *shown)
+
+
+# The same conversations without ports (ICMP): the key is then the pair of addresses.
+
+
+@query(
+    "T7_flow_starts_no_ports",
+    f"""WITH RECURSIVE ordered AS (SELECT *, user_id % 250 AS u, row_number() OVER (PARTITION BY user_id % 250 ORDER BY ts, packet_id) AS rn FROM
+       (SELECT user_id, {', '.join(f'{v} AS {k}' for k, v in _PACKET.items())} FROM events)), {_WALK}
+       SELECT o.packet_id, epoch_us(w.flow_start) AS flow_start FROM walk w JOIN ordered o USING (u, rn)""",
+)
+def t7_no_ports(spark, sf):
+    rows = packets(spark, sf).withColumns({"src_port": F.lit(None).cast("int"), "dst_port": F.lit(None).cast("int"), "protocol": F.lit(1)})
+    return assign_flows(bidirectional_key(rows), idle=IDLE, active=ACTIVE).select("packet_id", "flow_start")

@@ -8,7 +8,7 @@ from vigilflow.catalog.registry import query
 from vigilflow.functions.numbers import text_to_number
 from vigilflow.operators import harmonise as H
 from vigilflow.operators.metrics import classes_present
-from vigilflow.session import checkpoint_root
+from vigilflow.session import fresh_folder
 from vigilflow.sources.csv_flows import read_flow_csv, read_upload
 
 # Dirty cells by line item: numbers as text, junk, blanks, infinities, nulls.
@@ -159,7 +159,7 @@ def f28(spark, sf):
        "Label" FROM labelled_flows""",
 )
 def s1(spark, sf):
-    folder = f"{checkpoint_root(spark)}/flows-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    folder = fresh_folder(spark, "flows")
     rows = V.labelled_flows(spark, sf)
     ip = F.lit("10.0.0.1").alias(" Src IP")
     long_names = rows.filter("flow_line % 2 = 0").select("flow_key", ip, "`Flow Duration`", F.col("`Total Fwd Packets`").alias(" Total Fwd Packets"), "`SYN Flag Count`", F.col("Label").alias(" Label"))
@@ -176,7 +176,7 @@ def s1(spark, sf):
     f"""SELECT {_CELLS['Flow Duration']} AS "Flow Duration", {_CELLS['Tot Fwd Pkts']} AS "Tot Fwd Pkts", {_LABEL} AS ground_truth FROM ({_DIRTY_SQL})""",
 )
 def s2(spark, sf):
-    path = f"{checkpoint_root(spark)}/upload-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "upload")
     rows = dirty(spark, sf).select("`Flow Duration`", F.col("`Tot Fwd Pkts`").alias(" Tot Fwd Pkts"), F.col("` label `").alias(" LABEL"))
     rows.write.mode("overwrite").option("header", True).csv(path)
     return read_upload(spark, path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vigilflow.catalog import views as V
 from vigilflow.catalog.registry import query
 from vigilflow.operators import history as H
-from vigilflow.session import checkpoint_root
+from vigilflow.session import fresh_folder
 from vigilflow.sources import sinks
 
 NOON = "2024-01-30 12:00:00"
@@ -53,20 +53,20 @@ def p15(spark, sf):
        FROM pred WHERE created_at >= TIMESTAMP '{NOON}' - INTERVAL 10 DAY""",
 )
 def p16(spark, sf):
-    path = f"{checkpoint_root(spark)}/retention-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "retention")
     rows = V.predictions(spark, sf).select("id", "created_at", "attack_type").withColumn("event_date", F.to_date("created_at"))
     rows.write.mode("overwrite").partitionBy("event_date").parquet(path)
     deleted = sinks.retain(spark, path, NOON, 10)
     return sinks.read_predictions(spark, path).select("id", "created_at", F.lit(deleted).cast("long").alias("deleted"))
 
 
-@query("P17_clear_all", "SELECT id, attack_type FROM pred WHERE false")
+@query("P17_clear_all", "SELECT id, created_at, attack_type, CAST(created_at AS DATE) AS event_date FROM pred WHERE false")
 def p17(spark, sf):
-    path = f"{checkpoint_root(spark)}/cleared-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "cleared")
     rows = V.predictions(spark, sf).select("id", "created_at", "attack_type").withColumn("event_date", F.to_date("created_at"))
     rows.write.mode("overwrite").partitionBy("event_date").parquet(path)
     sinks.clear(spark, path)
-    return sinks.read_predictions(spark, path).select("id", "attack_type")
+    return sinks.read_predictions(spark, path)
 
 
 @query(
@@ -106,6 +106,16 @@ def o3_deep(spark, sf):
     return H.page(V.predictions(spark, sf).select("id", "created_at", "attack_type"), 50, 4000, shallow=1000)
 
 
+@query(
+    "O3_deep_page_null_times",
+    """SELECT id, CASE WHEN id % 3 > 0 THEN created_at END AS created_at FROM pred
+       ORDER BY CASE WHEN id % 3 > 0 THEN created_at END DESC NULLS LAST, id LIMIT 5000 OFFSET 4000""",
+)
+def o3_nulls(spark, sf):
+    rows = V.predictions(spark, sf).select("id", F.when(F.col("id") % 3 > 0, F.col("created_at")).alias("created_at"))
+    return H.page(rows, 5000, 4000, shallow=1000)
+
+
 @query("O3_page_counts", "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM pred WHERE is_attack")
 def o3_counts(spark, sf):
     return H.page_counts(H.matching(V.predictions(spark, sf), attack_only=True), 50)
@@ -172,7 +182,7 @@ def u4(spark, sf):
     "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT id) AS ids FROM pred GROUP BY 1",
 )
 def s3(spark, sf):
-    path = f"{checkpoint_root(spark)}/predictions-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "predictions")
     rows = V.predictions(spark, sf)
     rows.limit(0).withColumn("event_date", F.to_date("created_at")).write.mode("overwrite").parquet(path)
     sinks.append_predictions(rows.filter("id % 2 = 0"), path)

@@ -11,7 +11,7 @@ from vigilflow.operators import scoring as S
 from vigilflow.operators.metrics import confusion, per_class
 from vigilflow.plans.catalogue import class_table, feature_table
 from vigilflow.plans.training import FlowClassifier, train_classifier
-from vigilflow.session import checkpoint_root, cut_lineage
+from vigilflow.session import cut_lineage, fresh_folder
 
 _ENGINEERED = f"(SELECT {KEYS}, {ENGINEERED_SELECT} FROM flows_v)"
 _GROUP = """CASE WHEN syn_flag_ratio > 0.5 THEN 'DDoS-family' WHEN fwd_bwd_pkt_ratio > 1000 THEN 'DoS-family' WHEN ack_syn_ratio > 3e8 THEN 'Brute-force'
@@ -138,7 +138,7 @@ def _importance(spark, sf):
        (SELECT feature, sum(importance) AS importance FROM ({_IMPORTANCE_SQL}) GROUP BY 1)""",
 )
 def a27(spark, sf):
-    path = f"{checkpoint_root(spark)}/importance-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "importance")
     _importance(spark, sf).write.mode("overwrite").partitionBy("source").option("header", True).csv(path)
     read = spark.read.option("header", True).schema("feature string, importance double").csv([f"{path}/source={s}" for s in "ANR"])
     ranked = S.rank_features(read)
@@ -222,7 +222,7 @@ def m11(spark, sf):
     from vigilflow.plans.evaluation import evaluate, save_evaluation
 
     model, test, _ = _trained(spark, sf)
-    path = f"{checkpoint_root(spark)}/model-{spark.sparkContext.applicationId}-{sf.rstrip('/').rsplit('/', 1)[-1]}"
+    path = fresh_folder(spark, "model")
     model.save(path)
     save_evaluation(evaluate(_judged(spark, FlowClassifier.load(path), test), "Label", "attack_type"), f"{path}/report")
     return spark.read.json(f"{path}/report/summary")

@@ -29,14 +29,16 @@ def w1(spark, sf):
 @query(
     "W2_class_balance",
     f"""WITH ranked AS (SELECT {_KEYS}, "Label", {_rank('"Label"', '"Label"')} AS rk, count(*) OVER (PARTITION BY "Label") AS n
-       FROM labelled_flows WHERE "Label" <> 'Bot' OR l_partkey % 50 = 0),
+       FROM (SELECT * REPLACE (CASE WHEN "Label" = 'Bot' AND l_partkey % 50 <> 0 THEN 'BENIGN' ELSE "Label" END AS "Label") FROM labelled_flows)),
        draws AS (SELECT "Label", i, CAST(('0x' || substr(md5('42|draw|' || "Label" || '|' || i), 1, 8)) AS BIGINT) % n + 1 AS rk
        FROM (SELECT DISTINCT "Label", n FROM ranked WHERE n < 600), range(1, 601) r(i))
        SELECT {_KEYS}, "Label", 0::BIGINT AS copy FROM ranked WHERE n >= 600 AND rk <= 3000
        UNION ALL SELECT {_KEYS}, r."Label", d.i AS copy FROM draws d JOIN ranked r ON r."Label" = d."Label" AND r.rk = d.rk""",
 )
 def w2(spark, sf):
-    rows = V.labelled_flows(spark, sf).filter("Label <> 'Bot' OR l_partkey % 50 = 0").select(*V.FLOW_KEY, "Label")
+    # Most rows of one class are relabelled, so that there is a small class.
+    label = F.expr("CASE WHEN Label = 'Bot' AND l_partkey % 50 <> 0 THEN 'BENIGN' ELSE Label END")
+    rows = V.labelled_flows(spark, sf).withColumn("Label", label).select(*V.FLOW_KEY, "Label")
     return S.balance_classes(rows, "Label", V.FLOW_KEY, 3000, 600, class_bound=CLASSES)
 
 
@@ -80,3 +82,52 @@ def w7(spark, sf):
 def s14(spark, sf):
     rows = V.labelled_flows(spark, sf).select(*V.FLOW_KEY, "file_id", "Label")
     return S.random_row(rows, "file_id", V.FLOW_KEY, 7)
+
+
+# Rows without a file or a label form a group of their own.
+_NULLS = """(SELECT * REPLACE (CASE WHEN file_id % 3 <> 0 THEN file_id END AS file_id,
+       CASE WHEN "Label" = 'Bot' AND l_partkey % 50 <> 0 THEN 'BENIGN' WHEN "Label" <> 'PortScan' THEN "Label" END AS "Label") FROM labelled_flows)"""
+
+
+def _with_nulls(spark, sf):
+    return V.labelled_flows(spark, sf).withColumns(
+        {
+            "file_id": F.when(F.col("file_id") % 3 != 0, F.col("file_id")),
+            "Label": F.expr("CASE WHEN Label = 'Bot' AND l_partkey % 50 <> 0 THEN 'BENIGN' WHEN Label <> 'PortScan' THEN Label END"),
+        }
+    )
+
+
+def _null_rank(group: str) -> str:
+    return f"row_number() OVER (PARTITION BY {group} ORDER BY md5('42|' || coalesce(CAST({group} AS VARCHAR), '\\N') || '|' || {_TEXT}))"
+
+
+@query(
+    "W1_null_files",
+    f"""SELECT {_KEYS}, file_id, CASE WHEN rk <= 2500 THEN 'train' WHEN rk <= 3500 THEN 'unseen' ELSE 'unused' END AS split
+       FROM (SELECT *, {_null_rank('file_id')} AS rk FROM {_NULLS})""",
+)
+def w1_nulls(spark, sf):
+    rows = _with_nulls(spark, sf).select(*V.FLOW_KEY, "file_id")
+    return S.split_per_file(rows, "file_id", V.FLOW_KEY, 2500, 1000, file_bound=FILES)
+
+
+@query(
+    "W2_null_labels",
+    f"""WITH ranked AS (SELECT {_KEYS}, "Label", {_null_rank('"Label"')} AS rk, count(*) OVER (PARTITION BY "Label") AS n FROM {_NULLS}),
+       draws AS (SELECT "Label", i, CAST(('0x' || substr(md5('42|draw|' || coalesce("Label", '\\N') || '|' || i), 1, 8)) AS BIGINT) % n + 1 AS rk
+       FROM (SELECT DISTINCT "Label", n FROM ranked WHERE n < 9000), range(1, 9001) r(i))
+       SELECT {_KEYS}, "Label", 0::BIGINT AS copy FROM ranked WHERE n >= 9000 AND rk <= 9500
+       UNION ALL SELECT {_KEYS}, r."Label", d.i AS copy FROM draws d JOIN ranked r ON r."Label" IS NOT DISTINCT FROM d."Label" AND r.rk = d.rk""",
+)
+def w2_nulls(spark, sf):
+    return S.balance_classes(_with_nulls(spark, sf).select(*V.FLOW_KEY, "Label"), "Label", V.FLOW_KEY, 9500, 9000, class_bound=CLASSES)
+
+
+@query(
+    "W6_null_labels",
+    f"""SELECT {_KEYS}, "Label", CASE WHEN rk <= floor(round(n * 0.7, 6)) THEN 'train' WHEN rk <= floor(round(n * 0.85, 6)) THEN 'validation' ELSE 'test' END AS split
+       FROM (SELECT *, {_null_rank('"Label"')} AS rk, count(*) OVER (PARTITION BY "Label") AS n FROM {_NULLS})""",
+)
+def w6_nulls(spark, sf):
+    return S.stratified_split(_with_nulls(spark, sf).select(*V.FLOW_KEY, "Label"), "Label", V.FLOW_KEY, class_bound=CLASSES)

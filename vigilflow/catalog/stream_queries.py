@@ -98,7 +98,7 @@ def t5(spark, sf):
 @query("T6_live_templates", _templated_sql())
 def t6(spark, sf):
     packets = templated_packets(_events(spark, sf), F.lit(False))
-    return _finish(state.decode_templated(packets), spark).select(*_SHOWN)
+    return _finish(state.decode_templated(packets), spark).selectExpr(*_SHOWN)
 
 
 @query(

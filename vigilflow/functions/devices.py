@@ -15,7 +15,7 @@ def expand_interface(name: Column | str) -> Column:
     c = as_col(name)
     out = c
     for short, full in reversed(L.INTERFACE_PREFIXES):
-        out = F.when(c.startswith(short), F.concat(F.lit(full), F.substring(c, len(short) + 1, 10_000))).otherwise(out)
+        out = F.when(c.startswith(short), F.concat(F.lit(full), F.substring(c, F.lit(len(short) + 1), F.length(c)))).otherwise(out)
     return out
 
 

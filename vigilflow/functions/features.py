@@ -165,10 +165,11 @@ def netflow_features(df: DataFrame) -> dict[str, Column]:
 
     fwd, bwd = field("pkts"), field("out_pkts")
     fwd_bytes, bwd_bytes = field("octets"), field("out_octets")
-    flags = field("tcp_flags").cast("int")
+    # Exporters may declare these fields wider than the values they hold.
+    flags = F.coalesce(field("tcp_flags").try_cast("long"), F.lit(0).cast("long"))
     features: dict[str, Column] = {}
     _shared(features, fwd, bwd, fwd_bytes, bwd_bytes, field("duration_ms"),
-            field("proto").cast("int"))
+            F.coalesce(field("proto").try_cast("long"), F.lit(0).cast("long")))
     mean = {"Fwd": ratio(fwd_bytes, fwd), "Bwd": ratio(bwd_bytes, bwd)}
     # A record without packets still shows its bytes, as if of one packet.
     overall = F.try_divide(fwd_bytes + bwd_bytes, F.when(fwd + bwd > 0, fwd + bwd).otherwise(F.lit(1.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vigilflow.operators.joins import match
 from vigilflow.operators.timeline import carry_forward, greedy_marks, with_previous
 from vigilflow.session import cut_lineage
 
@@ -15,8 +16,9 @@ KEY = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 
 
 def bidirectional_key(df: DataFrame) -> DataFrame:
-    """Append a key that is equal for both directions of a conversation."""
-    ends = [F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in ("src", "dst")]
+    """Append a key that is equal for both directions of a conversation; no port (ICMP) counts as port 0."""
+    port = lambda e: F.coalesce(F.col(f"{e}_port"), F.lit(0))
+    ends = [F.struct(F.col(f"{e}_ip").alias("ip"), port(e).alias("port")) for e in ("src", "dst")]
     low, high = F.least(*ends), F.greatest(*ends)
     return df.withColumns({"ip_a": low["ip"], "port_a": low["port"], "ip_b": high["ip"], "port_b": high["port"]})
 
@@ -47,7 +49,7 @@ def assign_flows(
     # The marks read these narrow rows several times; stored, the two shuffles run once.
     gaps = cut_lineage(packets.sparkSession, gaps.select(*keys, "_t", tie, "_idle"))
     starts = greedy_marks(gaps, keys, "_t", int(active * _US), tie, forced="_idle", **tuning)
-    flagged = timed.join(starts.select(*keys, "_t", F.col("_t").alias("_s")), [*keys, "_t"], "left")
+    flagged = match(timed, starts.select(*keys, "_t", F.col("_t").alias("_s")), [*keys, "_t"], "left")
     return carry_forward(flagged, keys, ["_t", tie], "_s", "_b", "flow_start").drop("_s", "_b")
 
 
@@ -64,7 +66,7 @@ def aggregate_flows(assigned: DataFrame, keys: list[str] | None = None, tie: str
     whole = Window.partitionBy(*flow).orderBy("_t", tie)
     first = {f"_{c}": F.first(c).over(whole) for c in ends}
     rows = assigned.withColumns(first).withColumn(
-        "_fwd", (F.col("src_ip") == F.col("_src_ip")) & (F.col("src_port") == F.col("_src_port"))
+        "_fwd", F.col("src_ip").eqNullSafe(F.col("_src_ip")) & F.col("src_port").eqNullSafe(F.col("_src_port"))
     )
     same = Window.partitionBy(*flow, "_fwd").orderBy("_t", tie)
     rows = rows.withColumns(

@@ -61,7 +61,11 @@ def cutoff(as_of: str, window: str | None = None, days: int | None = None, legac
 def within(df: DataFrame, as_of: str, window: str | None = None, days: int | None = None, legacy_text: bool = False) -> DataFrame:
     """Rows at or after the cutoff (no upper bound)."""
     start = cutoff(as_of, window, days, legacy_text)
-    return df if start is None else df.filter(F.col("created_at") >= start)
+    if start is None:
+        return df
+    if "event_date" in df.columns:  # days before the cutoff are not read
+        df = df.filter(F.col("event_date") >= F.to_date(start))
+    return df.filter(F.col("created_at") >= start)
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -90,19 +94,24 @@ def _narrow_to_page(df: DataFrame, limit: int, offset: int) -> tuple[DataFrame,
     """Descend from days to seconds; keep only the slots the page touches."""
     for unit, step in SLOTS.items():
         slot = F.date_trunc(unit, "created_at")
-        counts = df.groupBy(slot.alias("slot")).count().orderBy(F.desc("slot"))
-        passed, first, last, skipped = 0, None, None, 0
+        counts = df.groupBy(slot.alias("slot")).count().orderBy(F.desc_nulls_last("slot"))
+        passed, found, skipped = 0, [], 0
         for row in counts.toLocalIterator():
-            if first is None and passed + row["count"] > offset:
-                first, skipped = row["slot"], passed
+            if not found and passed + row["count"] > offset:
+                skipped = passed
             passed += row["count"]
-            if first is not None:
-                last = row["slot"]
+            if passed > offset:
+                found.append(row["slot"])
                 if passed >= offset + limit:
                     break
-        if first is None:
+        if not found:
             return df.limit(0), 0
-        df = df.filter((F.col("created_at") >= F.lit(last)) & (F.col("created_at") < F.lit(first + step)))
+        times = [slot for slot in found if slot is not None]
+        inside = F.lit(False)
+        if times:
+            inside = (F.col("created_at") >= F.lit(times[-1])) & (F.col("created_at") < F.lit(times[0] + step))
+        # Rows without a time are the last slot of all.
+        df = df.filter(inside | F.col("created_at").isNull() if None in found else inside)
         offset -= skipped
     return df, offset
 
@@ -165,7 +174,10 @@ def sorted_page(df: DataFrame, by: str, page_number: int, size: int, descending:
 
 
 def expired(df: DataFrame, as_of: str, days: int, legacy_text: bool = False) -> DataFrame:
-    return df.filter(F.col("created_at") < cutoff(as_of, days=days, legacy_text=legacy_text))
+    start = cutoff(as_of, days=days, legacy_text=legacy_text)
+    if "event_date" in df.columns:
+        df = df.filter(F.col("event_date") <= F.to_date(start))
+    return df.filter(F.col("created_at") < start)
 
 
 def with_added_columns(df: DataFrame) -> DataFrame:

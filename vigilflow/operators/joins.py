@@ -32,3 +32,12 @@ def lookup_join(
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", broadcast: bool = False) -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys of ``left`` stay."""
+    rest = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"_m_{k}") for k in keys], *[F.col(f"`{c}`") for c in rest])
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_m_{k}`")) for k in keys]
+    joined = left.join(F.broadcast(renamed) if broadcast else renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_m_{k}" for k in keys])

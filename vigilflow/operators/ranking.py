@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow.functions.lookup import as_col
+from vigilflow.operators.joins import match
 
 Cut = int | Callable[[Column], Column]
 
@@ -22,15 +23,20 @@ BROADCAST_GROUPS = 100_000
 
 
 def digest(seed: int, *keys: Column | str) -> Column:
-    """Reproducible random order: md5 of the seed and a unique row key."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_col(k).cast("string") for k in keys]))
+    """Reproducible random order: md5 of the seed and a unique row key (distinct keys give distinct texts)."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[key_text(k) for k in keys]))
 
 
-def _small(df: DataFrame, group_bound: int | None) -> DataFrame:
-    """Broadcast a per-group table only when the number of groups is bounded."""
-    if group_bound is not None and group_bound <= BROADCAST_GROUPS:
-        return F.broadcast(df)
-    return df
+def key_text(key: Column | str) -> Column:
+    """Text of a key part: separators escaped, null told from every text."""
+    text = as_col(key).cast("string")
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(escaped, F.lit("\\N"))
+
+
+def small(group_bound: int | None) -> bool:
+    """Whether a per-group table may be broadcast: only when the number of groups is bounded."""
+    return group_bound is not None and group_bound <= BROADCAST_GROUPS
 
 
 def cut_digests(
@@ -63,14 +69,14 @@ def cut_digests(
     wanted = F.array_compact(F.array(*[F.when(hit, r - start) for r, hit in zip(ranks, inside)]))
     edges = counted.filter(F.size(wanted) > 0).select(*groups, "_p", "_n", start.alias("_from"), wanted.alias("_w"))
     located = (
-        keyed.join(_small(edges, group_bound), [*groups, "_p"])
+        match(keyed, edges, [*groups, "_p"], "inner", small(group_bound))
         .withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_p").orderBy("_d")))
         .filter(F.array_contains("_w", F.col("_r").cast("long")))
         .select(*groups, (F.col("_from") + F.col("_r")).alias("_at"), "_d")
     )
     sizes = counted.groupBy(*groups).agg(F.max("_n").alias("_n"))
     found = located.groupBy(*groups).agg(F.map_from_entries(F.collect_set(F.struct("_at", "_d"))).alias("_found"))
-    out = sizes.join(found, groups, "left")
+    out = match(sizes, found, groups, "left")
     return out.select(
         *groups,
         "_n",
@@ -90,15 +96,15 @@ def band(
     """Append ``band``: how many cuts lie below a row in its group's order.
 
     Rising cuts split every group by rank: band 0 holds the first ``cuts[0]``
-    rows and so on.  The digest must be unique within a group and the groups not
-    null.  Also appends the group size as ``group_rows``.
+    rows and so on.  The digest must be unique within a group; null is a group of
+    its own.  Also appends the group size as ``group_rows``.
 
     ``group_bound`` is a known upper bound of the number of groups (class labels,
     listed files); with it the cut table is broadcast and the rows stay in place,
     without it Spark joins by its own size estimate.
     """
     table = cut_digests(df, groups, order, cuts, prefix, group_bound)
-    joined = df.withColumn("_d", order).join(_small(table, group_bound), list(groups))
+    joined = match(df.withColumn("_d", order), table, list(groups), "inner", small(group_bound))
     passed = [
         (
             (F.col(f"_rank{i}") <= 0)

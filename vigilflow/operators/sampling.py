@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigilflow.operators.ranking import band, digest
+from vigilflow.operators.joins import match
+from vigilflow.operators.ranking import band, digest, key_text, small
 
 
 def split_per_file(
@@ -70,13 +71,13 @@ def balance_classes(
         .select(label, "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(smallest).cast("long"))).alias("copy"))
         .select(label, "copy", draw_index(seed, label, "copy", F.col("_n")).alias("_i"))
     )
-    drawn = numbered.join(draws, [label, "_i"]).select(*df.columns, "copy")
+    drawn = match(numbered, draws, [label, "_i"], "inner").select(*df.columns, "copy")
     return plain.unionByName(drawn)
 
 
 def draw_index(seed: int, label: str, draw: str, size: Column) -> Column:
     """Reproducible pick of 0..size-1 for a draw with replacement."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), F.col(label), F.col(draw).cast("string"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), key_text(label), F.col(draw).cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % size
 
 
@@ -90,9 +91,7 @@ def sample_group_files(
     group's name.
     """
     files = df.groupBy(group, file).count().groupBy(group).agg(F.count(F.lit(1)).alias("_files"))
-    if file_bound is not None:
-        files = F.broadcast(files)
-    ready = df.join(files, group).withColumn("_share", F.floor(F.lit(target) / F.col("_files")))
+    ready = match(df, files, [group], "inner", small(file_bound)).withColumn("_share", F.floor(F.lit(target) / F.col("_files")))
     parts = band(
         ready, [group, file, "_share"], digest(seed, file, *key), [lambda n: F.col("_share")], group_bound=file_bound
     )
@@ -104,8 +103,8 @@ def random_row(df: DataFrame, file: str, key: list[str], seed: int) -> DataFrame
 
     Two minima instead of sorts; both combine on the map side.
     """
-    pick = F.min_by(file, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(file).cast("string"))))
+    pick = F.min_by(file, F.md5(F.concat_ws("|", F.lit(str(seed)), key_text(file))))
     chosen = df.agg(pick.alias("_file"))
-    rows = df.join(F.broadcast(chosen), F.col(file) == F.col("_file")).drop("_file")
+    rows = df.join(F.broadcast(chosen), F.col(file).eqNullSafe(F.col("_file"))).drop("_file")
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return rows.agg(F.min_by(whole, digest(seed, file, *key)).alias("_row")).filter("_row is not null").select("_row.*")

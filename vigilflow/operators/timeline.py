@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from vigilflow.operators.joins import match
+from vigilflow.session import cut_lineage
+
 _MAX = np.iinfo(np.int64).max
 
 
@@ -32,7 +35,7 @@ def carry_forward(
 ) -> DataFrame:
     """Append the latest non-null ``value`` at or before each row (as-of, backward).
 
-    ``block`` must rise with the order.  Keys must not be null.
+    ``block`` must rise with the order.  Null keys are keys like others.
     """
     keys = list(keys)
     local = (
@@ -43,7 +46,7 @@ def carry_forward(
     at = F.when(F.col(value).isNotNull(), F.struct(*order))
     carried = _carry(df, keys, block, F.max_by(value, at))
     return (
-        df.join(carried, [*keys, block], "left")
+        match(df, carried, [*keys, block], "left")
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(local), F.col("_carry")))
         .drop("_carry")
     )
@@ -57,7 +60,7 @@ def with_previous(
     carried = _carry(df, keys, block, F.max_by(value, F.struct(*order)))
     local = Window.partitionBy(*keys, block).orderBy(*order)
     return (
-        df.join(carried, [*keys, block], "left")
+        match(df, carried, [*keys, block], "left")
         .withColumn(out, F.coalesce(F.lag(value).over(local), F.col("_carry")))
         .drop("_carry")
     )
@@ -68,6 +71,11 @@ def with_previous(
 # the last marked point (or is forced); unmarked points do not extend the wait.
 
 
+# Blocks of one key whose step functions are chained in one task.
+FAN_IN = 64
+HOUR = 3_600_000_000
+
+
 def greedy_marks(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,25 +84,42 @@ def greedy_marks(
     tie: str,
     forced: str | None = None,
     whole_key_rows: int = 10_000,
-    block: int | None = None,
+    block_points: int = 100_000,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Marked points (keys, ``at``, ``tie``) of integer times ``at``.
-
-    Of rows at the same time the smallest ``tie`` stands for the point.  Keys with
-    few rows are folded in one piece in the JVM.  Larger ones are cut into time
-    blocks: each block condenses to a step function from "last mark before the
-    block" to "last mark after it", these few steps are chained per key, and every
-    block then marks its own points from its known start.
+    """Marked points (keys, ``at``, ``tie``) of integer times ``at`` (microseconds).
+
+    Rows at the same time are one point: forced if one of them is, with the smallest
+    ``tie``.  Keys with few points are folded in one piece in the JVM.  Larger ones
+    are cut into blocks of at most about ``2 * block_points`` points, however dense.
+    Each block condenses to a step function from "last mark before the block" to "last
+    mark after it"; these are composed ``fan_in`` at a time in a tree, so no task gets
+    all blocks of a key, and every block then marks its own points from its known start.
     """
     keys = list(keys)
     flag = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
-    points = df.select(*keys, F.col(at).cast("long").alias(at), tie, flag.alias("_f"))
-    hot = (
-        points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > whole_key_rows).select(*keys)
-    )
-    return _fold_whole(points.join(hot, keys, "left_anti"), keys, at, ttl, tie).unionByName(
-        _fold_blocks(points.join(hot, keys, "left_semi"), keys, at, ttl, tie, block or 4 * max(ttl, 1))
+    rows = df.select(*keys, F.col(at).cast("long").alias(at), tie, flag.alias("_f"))
+    points = rows.groupBy(*keys, at).agg(F.max("_f").alias("_f"), F.min(tie).alias(tie)).select(*keys, at, tie, "_f")
+    hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > whole_key_rows).select(*keys)
+    small = _fold_whole(match(points, hot, keys, "left_anti"), keys, at, ttl, tie)
+    return small.unionByName(_fold_blocks(match(points, hot, keys, "left_semi"), keys, at, ttl, tie, block_points, fan_in))
+
+
+def _with_blocks(points: DataFrame, keys: list[str], at: str, span: int, block_points: int) -> DataFrame:
+    """Append ``_b``: (span of time, number of the block in it).
+
+    A slot of ``block_points`` microseconds holds no more points than that; slots of a
+    span are joined to blocks by running counts, a table of at most one row per slot.
+    """
+    slotted = points.withColumns({"_hour": F.floor(F.col(at) / span), "_slot": F.floor(F.col(at) / block_points)})
+    before = Window.partitionBy(*keys, "_hour").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = (
+        slotted.groupBy(*keys, "_hour", "_slot").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_part", F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / block_points))
+        .select(*keys, "_hour", "_slot", "_part")
     )
+    placed = match(slotted, numbered, [*keys, "_hour", "_slot"], "inner")
+    return placed.withColumn("_b", F.struct("_hour", "_part")).drop("_hour", "_slot", "_part")
 
 
 def _fold_whole(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str) -> DataFrame:
@@ -110,38 +135,45 @@ def _fold_whole(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str)
 
     series = F.sort_array(F.collect_list(F.struct(at, tie, "_f")))
     marks = F.explode(F.aggregate("_s", start, step, lambda s: s["marks"]))
-    # A forced row may follow an unforced one of the same time; the point stays one.
     return points.groupBy(*keys).agg(series.alias("_s")).select(*keys, marks.alias("_m")).select(*keys, "_m.*")
 
 
-def _fold_blocks(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str, block: int) -> DataFrame:
-    distinct = (
-        points.withColumn("_b", F.floor(F.col(at) / block).cast("long"))
-        .groupBy(*keys, "_b", at)
-        .agg(F.max("_f").alias("_f"), F.min(tie).alias(tie))
-    )
-    key_fields = [f for f in points.schema.fields if f.name in keys]
-    long_list = T.ArrayType(T.LongType())
-    block_field = T.StructField("_b", T.LongType())
-    steps_schema = T.StructType(
-        [*key_fields, block_field, T.StructField("_limit", long_list), T.StructField("_exit", long_list)]
-    )
-    carry_schema = T.StructType([*key_fields, block_field, T.StructField("_last", T.LongType())])
+def _fold_blocks(
+    points: DataFrame, keys: list[str], at: str, ttl: int, tie: str, block_points: int, fan_in: int
+) -> DataFrame:
+    blocked = _with_blocks(points, keys, at, max(HOUR, 4 * ttl), block_points)
+    order = blocked.groupBy(*keys, "_b").agg(F.min(at).alias("_from"))
+    order = order.withColumn("_i", (F.row_number().over(Window.partitionBy(*keys).orderBy("_b")) - 1).cast("long"))
+    # Points, block numbers and starts are read by every level: stored, they are made once.
+    placed = cut_lineage(points.sparkSession, match(blocked, order, [*keys, "_b"], "inner").drop("_b"))
+    key_fields = [f for f in placed.schema.fields if f.name in keys]
+    long_list, number = T.ArrayType(T.LongType()), T.StructField("_i", T.LongType())
+    steps_schema = T.StructType([*key_fields, number, T.StructField("_limit", long_list), T.StructField("_exit", long_list)])
+    carry_schema = T.StructType([*key_fields, number, T.StructField("_last", T.LongType())])
     mark_schema = T.StructType([*key_fields, T.StructField(at, T.LongType()), points.schema[tie]])
     key_names = [f.name for f in key_fields]
 
     def condense(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        limit, exit_ = block_steps(*_sorted_points(pdf, at), ttl, int(first["_b"]) * block)
-        return pd.DataFrame([[*first[key_names], first["_b"], limit, exit_]], columns=steps_schema.names)
+        # Marks before the block are earlier than its first point.
+        limit, exit_ = block_steps(*_sorted_points(pdf, at), ttl, int(first["_from"]))
+        return pd.DataFrame([[*first[key_names], first["_i"], limit, exit_]], columns=steps_schema.names)
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        parts = [(np.asarray(a), np.asarray(b)) for a, b in zip(pdf["_limit"], pdf["_exit"])]
+        limit, exit_ = compose_steps(parts, ttl)
+        first = pdf.iloc[0]
+        return pd.DataFrame([[*first[key_names], first["_i"] // fan_in, limit, exit_]], columns=steps_schema.names)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b")
-        last, out = None, []
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        start = pdf["_start"].iloc[0]
+        last, out = None if pd.isna(start) else int(start), []
         for limit, exit_ in zip(pdf["_limit"], pdf["_exit"]):
             out.append(last)
             last = step_through(last, np.asarray(limit), np.asarray(exit_), ttl)
-        return pdf[[*key_names, "_b"]].assign(_last=pd.array(out, dtype="Int64"))
+        return pdf[[*key_names, "_i"]].assign(_last=pd.array(out, dtype="Int64"))[carry_schema.names]
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at)
@@ -149,13 +181,24 @@ def _fold_blocks(points: DataFrame, keys: list[str], at: str, ttl: int, tie: str
         chosen = marks_after(*_sorted_points(pdf, at), ttl, None if pd.isna(first) else int(first))
         return pdf.iloc[chosen][mark_schema.names]
 
-    carried = (
-        distinct.groupBy(*keys, "_b").applyInPandas(condense, steps_schema)
-        .groupBy(*keys).applyInPandas(chain, carry_schema)
-    )
-    return (
-        distinct.join(carried, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(mark, mark_schema)
-    )
+    spark = points.sparkSession
+    levels = [cut_lineage(spark, placed.groupBy(*keys, "_i").applyInPandas(condense, steps_schema))]
+    blocks = (levels[0].agg(F.max("_i")).first()[0] or 0) + 1
+    while blocks > fan_in:
+        up = levels[-1].groupBy(*keys, F.floor(F.col("_i") / fan_in).alias("_up")).applyInPandas(join_up, steps_schema)
+        levels.append(cut_lineage(spark, up))
+        blocks = -(-blocks // fan_in)
+    carried = None
+    for level in reversed(levels):
+        parts = level.withColumn("_up", F.floor(F.col("_i") / fan_in))
+        if carried is None:
+            parts = parts.withColumn("_start", F.lit(None).cast("long"))
+        else:
+            above = carried.select(*keys, F.col("_i").alias("_up"), F.col("_last").alias("_start"))
+            parts = match(parts, above, [*keys, "_up"], "inner")
+        carried = parts.groupBy(*keys, "_up").applyInPandas(hand_down, carry_schema)
+    known = match(placed, carried, [*keys, "_i"], "inner")
+    return known.groupBy(*keys, "_i").applyInPandas(mark, mark_schema)
 
 
 def _sorted_points(pdf: pd.DataFrame, at: str) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +250,29 @@ def step_through(last: int | None, limit: np.ndarray, exits: np.ndarray, ttl: in
     return int(exits[i]) if i < len(limit) else last
 
 
+def compose_steps(parts: list[tuple[np.ndarray, np.ndarray]], ttl: int) -> tuple[list[int], list[int]]:
+    """One step function for several blocks in a row; it has no more steps than the first one, plus one per block.
+
+    A block without a step for a late entry leaves the last mark as it is; there the next blocks decide.
+    """
+    limits, exits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low = np.iinfo(np.int64).min  # entries (last mark + ttl) below this limit are done
+    for i, (limit, last) in enumerate(parts):
+        fresh = limit > low
+        if not fresh.any():
+            continue
+        limit, last = limit[fresh], last[fresh]
+        for bounds, outs in parts[i + 1 :]:
+            at = np.searchsorted(bounds, last + ttl, side="right")
+            last = np.where(at < len(bounds), outs[np.minimum(at, len(bounds) - 1)], last)
+        limits.append(limit)
+        exits.append(last)
+        low = limit[-1]
+    limit, exit_ = np.concatenate(limits), np.concatenate(exits)
+    keep = np.append(exit_[1:] != exit_[:-1], True)
+    return limit[keep].tolist(), exit_[keep].tolist()
+
+
 def marks_after(times, pushed, ttl: int, last: int | None) -> list[int]:
     """Places of all marks of a block, given the last mark before it."""
     size = len(times)

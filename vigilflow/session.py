@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(app: str = "vigilflow", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution, UTC time and a RocksDB state store.
 
@@ -34,14 +38,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints, shared by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (single-machine tests) a fresh temporary folder is used.
+    (single-machine tests) one temporary folder per application is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL_ROOTS[application]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stored intermediate table, in the shared folder."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(spark: SparkSession, df, eager: bool = True):

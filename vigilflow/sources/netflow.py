@@ -29,12 +29,22 @@ SET_SCHEMA = (
 
 
 def unsigned(data: Column, start: Column | int, size: Column | int) -> Column:
-    """Big-endian unsigned number of up to 8 bytes; null when out of long range."""
+    """Big-endian unsigned number; null when out of long range."""
     begin = F.lit(start) if isinstance(start, int) else start
-    width = F.lit(size) if isinstance(size, int) else size
-    raw = F.hex(F.substring(data, begin + 1, width))
+    if isinstance(size, int):
+        return F.coalesce(F.conv(F.nullif(F.hex(F.substring(data, begin + 1, F.lit(size))), F.lit("")), 16, 10), F.lit("0")).try_cast("long")
+    raw = F.ltrim(F.hex(F.substring(data, begin + 1, size)), F.lit("0"))
     number = F.when(raw == "", F.lit("0")).otherwise(F.conv(raw, 16, 10))
-    return F.when(width <= 8, number.try_cast("long"))
+    return F.when(F.length(raw) <= 16, number.try_cast("long"))
+
+
+def wide_number(digits: Column) -> Column:
+    """Unsigned number from hex digits as decimal(38, 0): exact for up to 15 significant bytes, else null."""
+    raw = F.ltrim(digits, F.lit("0"))
+    low = F.conv(F.coalesce(F.nullif(F.right(raw, F.lit(16)), F.lit("")), F.lit("0")), 16, 10).cast("decimal(20,0)")
+    high = F.conv(F.substring(raw, F.lit(1), F.length(raw) - 16), 16, 10).cast("decimal(17,0)")
+    both = (high * F.lit(str(2**64)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+    return F.when(F.length(raw) <= 16, low.cast("decimal(38,0)")).when(F.length(raw) <= 30, both)
 
 
 def dotted(data: Column, start: Column | int) -> Column:
@@ -60,11 +70,12 @@ def decode_v5(packets: DataFrame) -> DataFrame:
     r = F.col("r")
     first, last = unsigned(r, 24, 4), unsigned(r, 28, 4)
     zero = F.lit(0).cast("long")
+    big = lambda c: c.cast("decimal(38,0)")
     fields = {
         "src_ip": dotted(r, 0), "dst_ip": dotted(r, 4),
         "src_port": unsigned(r, 32, 2), "dst_port": unsigned(r, 34, 2),
-        "pkts": unsigned(r, 16, 4), "octets": unsigned(r, 20, 4),
-        "out_pkts": zero, "out_octets": zero,
+        "pkts": big(unsigned(r, 16, 4)), "octets": big(unsigned(r, 20, 4)),
+        "out_pkts": big(zero), "out_octets": big(zero),
         "duration_ms": F.greatest(last - first, zero).cast("double"),
         "proto": unsigned(r, 38, 1), "tcp_flags": unsigned(r, 37, 1),
         "vlan_id": zero, "src_vlan": zero, "dst_vlan": zero,
@@ -185,6 +196,15 @@ def decode_sets(ready: DataFrame) -> DataFrame:
     def counted(name: str) -> Column:
         return F.coalesce(number(name), F.lit(0).cast("long"))
 
+    # One lambda for the four counters keeps the generated code small.
+    totals = ["IN_PKTS", "IN_BYTES", "OUT_PKTS", "OUT_BYTES"]
+    places = [F.col(f"slots.{name}") for name in totals]
+    digits = F.array(*[F.hex(F.substring(r, s["pos"] + 1, s["len"])) for s in places])
+    rows = rows.withColumn("_totals", F.transform(digits, wide_number))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.get("_totals", totals.index(name)), F.lit(0).cast("decimal(38,0)"))
+
     src_vlan, dst_vlan = counted("SRC_VLAN"), counted("DST_VLAN")
     duration = F.coalesce(
         number("FLOW_END_MS") - number("FLOW_START_MS"),
@@ -194,8 +214,8 @@ def decode_sets(ready: DataFrame) -> DataFrame:
     fields = {
         "src_ip": address("IPV4_SRC_ADDR"), "dst_ip": address("IPV4_DST_ADDR"),
         "src_port": counted("L4_SRC_PORT"), "dst_port": counted("L4_DST_PORT"),
-        "pkts": counted("IN_PKTS"), "octets": counted("IN_BYTES"),
-        "out_pkts": counted("OUT_PKTS"), "out_octets": counted("OUT_BYTES"),
+        "pkts": total("IN_PKTS"), "octets": total("IN_BYTES"),
+        "out_pkts": total("OUT_PKTS"), "out_octets": total("OUT_BYTES"),
         "duration_ms": duration, "proto": counted("PROTOCOL"), "tcp_flags": counted("TCP_FLAGS"),
         "vlan_id": F.when(src_vlan != 0, src_vlan).otherwise(dst_vlan),
         "src_vlan": src_vlan, "dst_vlan": dst_vlan,
@@ -220,7 +240,7 @@ def flow_envelopes(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     vlans = resolve_vlans("src_ip", "dst_ip", "vlan_id", "src_vlan", "dst_vlan")
     ready = records.withColumns(vlans).withColumns(
         {
-            "protocol": F.col("proto").cast("int"),
+            "protocol": F.col("proto").try_cast("int"),
             "flow_direction": flow_direction("src_ip", "dst_ip"),
             "input_path": F.lit("netflow"),
         }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from vigilflow.functions.numbers import fixed_text
 from vigilflow.operators.history import cutoff, expired
@@ -28,9 +29,12 @@ def append_alerts(df: DataFrame, path: str) -> int:
     return int(seen.get["n"])
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction history; files of older schemas give null for later columns."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+def read_predictions(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Prediction history; files of older schemas give null for later columns.
+
+    With ``schema`` no file is opened to learn the columns; without it all footers are read and merged.
+    """
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", True).parquet(path)
 
 
 def retain(spark: SparkSession, path: str, as_of: str, days: int) -> int:
@@ -62,10 +66,13 @@ def retain(spark: SparkSession, path: str, as_of: str, days: int) -> int:
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Empty a table and keep its schema."""
+    """Empty a table and keep its columns, the day included (as a folder of no rows)."""
     schema = read_predictions(spark, path).schema
-    empty = spark.createDataFrame([], schema)
-    empty.drop("event_date").write.mode("overwrite").parquet(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    data = [f for f in schema.fields if f.name != "event_date"]
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    empty = spark.createDataFrame([], StructType(data))
+    empty.write.parquet(path if len(data) == len(schema.fields) else f"{path}/event_date=1970-01-01")
 
 
 def log_export(df: DataFrame) -> DataFrame:
