@@ -106,6 +106,14 @@ def stored(spark, sf):
     return A.stored_bytes(V.table(spark, sf, "events"))
 
 
+@query("A9_stored_bytes_consistent", "SELECT true AS some_files, true AS some_bytes, true AS megabytes_fit")
+def stored_consistent(spark, sf):
+    return stored(spark, sf).select(
+        (F.col("files") > 0).alias("some_files"), (F.col("bytes") > 0).alias("some_bytes"),
+        (F.col("mb") == F.round(F.col("bytes") / 1_048_576, 2)).alias("megabytes_fit"),
+    )
+
+
 @query(
     "A10_batch_summary",
     """SELECT count(*) AS total, count(*) FILTER (is_attack) AS attacks, count(*) FILTER (NOT is_attack) AS benign,

@@ -10,7 +10,7 @@ from vigilflow.functions.features import engineer
 from vigilflow.operators import scoring as S
 from vigilflow.operators.metrics import confusion, per_class
 from vigilflow.plans.catalogue import class_table, feature_table
-from vigilflow.plans.training import FlowClassifier, train_classifier
+from vigilflow.plans.training import FlowClassifier, macro_f1, train_classifier
 from vigilflow.session import cut_lineage, fresh_folder
 
 _ENGINEERED = f"(SELECT {KEYS}, {ENGINEERED_SELECT} FROM flows_v)"
@@ -226,3 +226,55 @@ def m11(spark, sf):
     model.save(path)
     save_evaluation(evaluate(_judged(spark, FlowClassifier.load(path), test), "Label", "attack_type"), f"{path}/report")
     return spark.read.json(f"{path}/report/summary")
+
+
+# The learned model has no SQL form; these give properties that any good model has.
+
+
+@query("M2_M3_model_quality", "SELECT true AS beats_floor, true AS known_classes, 1::BIGINT AS tests")
+def m2_quality(spark, sf):
+    model, test, _ = _trained(spark, sf)
+    judged = _judged(spark, model, test)
+    floor = macro_f1(judged, "Label", "attack_type") > 0.5
+    known = F.bool_and(F.col("attack_type").isin(L.TARGET_CLASSES)).alias("known_classes")
+    return judged.agg(F.lit(floor).alias("beats_floor"), known, F.sign(F.count(F.lit(1))).cast("long").alias("tests"))
+
+
+@query(
+    "M4_search_covers_space",
+    f"SELECT trial, num_trees, max_depth, true AS every_model, true AS valid FROM (VALUES {', '.join(f'({i}, {p['numTrees']}, {p['maxDepth']})' for i, p in enumerate(_SMALL))}) t(trial, num_trees, max_depth)",
+)
+def m4_space(spark, sf):
+    rows = m4(spark, sf)
+    models = 1 + len(_trained(spark, sf)[0].level2)
+    return rows.groupBy("trial", "num_trees", "max_depth").agg(
+        (F.count_distinct("model") == models).alias("every_model"), F.bool_and(F.col("f1_macro").between(0, 1)).alias("valid")
+    )
+
+
+@query(
+    "M7_M8_scoring_properties",
+    "SELECT count(*) AS scored, 0::BIGINT AS foreign_classes, 0::BIGINT AS wrong_confidence, 0::BIGINT AS unsure_singletons, true AS unique_ids FROM lineitem",
+)
+def m7_properties(spark, sf):
+    rows = m7(spark, sf).withColumn("p", F.from_json("probabilities", "map<string,double>"))
+    members = F.create_map(*[x for g, names in L.GROUP_MEMBERS.items() for x in (F.lit(g), F.array(*[F.lit(n) for n in names]))])
+    own = members[F.col("group_pred")]
+    return rows.agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_if(~F.array_contains(own, F.col("attack_type"))).alias("foreign_classes"),
+        F.count_if(F.col("confidence") != F.round(F.array_max(F.map_values("p")), 4)).alias("wrong_confidence"),
+        F.count_if((F.size(own) == 1) & (F.col("confidence") != 1.0)).alias("unsure_singletons"),
+        (F.count_distinct("id") == F.count(F.lit(1))).alias("unique_ids"),
+    )
+
+
+@query("M11_reloaded_model_agrees", "SELECT count(*) AS compared, 0::BIGINT AS different FROM lineitem")
+def m11_reloaded(spark, sf):
+    model, _, _ = _trained(spark, sf)
+    path = fresh_folder(spark, "model")
+    model.save(path)
+    flows = V.flows(spark, sf)
+    first, again = (m.transform(flows).select(*V.FLOW_KEY, "attack_type") for m in (model, FlowClassifier.load(path)))
+    both = first.join(again.withColumnRenamed("attack_type", "second"), V.FLOW_KEY)
+    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("attack_type") != F.col("second")).alias("different"))

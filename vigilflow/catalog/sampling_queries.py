@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from vigilflow.catalog import views as V
 from vigilflow.catalog.registry import query
 from vigilflow.operators import sampling as S
+from vigilflow.session import fresh_folder
+from vigilflow.sources import sinks
 
 _KEYS = ", ".join(V.FLOW_KEY)
 _TEXT = " || '|' || ".join(V.FLOW_KEY)
@@ -131,3 +133,19 @@ def w2_nulls(spark, sf):
 )
 def w6_nulls(spark, sf):
     return S.stratified_split(_with_nulls(spark, sf).select(*V.FLOW_KEY, "Label"), "Label", V.FLOW_KEY, class_bound=CLASSES)
+
+
+@query(
+    "S5_samples_by_label",
+    f"""SELECT "Label", count(*) AS n, sum(flow_key) AS keys, round(sum("Total Fwd Packets"), 2) AS packets FROM labelled_flows GROUP BY 1""",
+)
+def s5(spark, sf):
+    path = fresh_folder(spark, "samples")
+    rows = V.labelled_flows(spark, sf).select(*V.FLOW_KEY, "Total Fwd Packets", "Label")
+    sinks.write_samples(rows, path)
+    # The label of a row is the folder it lies in.
+    schema = "flow_key long, flow_line long, l_partkey long, l_suppkey long, `Total Fwd Packets` double, Label string"
+    back = spark.read.option("header", True).schema(schema).csv(path)
+    return back.groupBy("Label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("flow_key").alias("keys"), F.round(F.sum("Total Fwd Packets"), 2).alias("packets")
+    )

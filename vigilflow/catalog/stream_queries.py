@@ -45,6 +45,19 @@ def _placed(stream: DataFrame) -> DataFrame:
     )
 
 
+def _in_parts(spark, sf, root: str, parts: int = 4) -> DataFrame:
+    """The predictions as a stream of ``parts`` micro-batches in time order."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    edges = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [i / parts for i in range(parts + 1)]).alias("e")).first()["e"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for i in range(parts):  # one write each, so that the files have an order
+        inside = (at >= edges[i]) & ((at < edges[i + 1]) if i + 1 < parts else F.lit(True))
+        events.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/input")
+    stream = live.read_stream(spark, f"{root}/input", events.schema, files_per_batch=1)
+    stream = stream.select(*[F.expr(sql).alias(name) for name, sql in V.PREDICTION.items()])
+    return live.event_time(enrich_predictions(stream), "created_at", "1 day")
+
+
 def _finish(stream: DataFrame, spark) -> DataFrame:
     """Append the stream's rows to a file table, wait, and read the table."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -53,16 +66,17 @@ def _finish(stream: DataFrame, spark) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
-
-
 @query(
     "T3_live_timeline",
     f"""SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%dT%H') AS period, severity, count(*) AS total, count(*) FILTER (is_attack) AS attacks
-       FROM pred WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2""",
+       FROM pred GROUP BY 1, 2""",
 )
 def t3(spark, sf):
-    rows = _finish(live.live_timeline(_predictions(spark, sf)), spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    root = _folder(spark)
+    timeline = live.live_timeline(_in_parts(spark, sf, root))
+    live.follow_timeline(timeline, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    rows = live.current_timeline(spark, f"{root}/rows")
     return rows.select(F.date_format("period_start", "yyyy-MM-dd'T'HH").alias("period"), "severity", "total", "attacks")
 
 
@@ -114,30 +128,50 @@ def t7(spark, sf):
     return rows.select("user_id", F.unix_micros("first_seen").alias("first_seen"), "packets", "bytes")
 
 
-@query(
-    "T1_T2_live_detection",
-    f"""SELECT (SELECT count(*) FROM placed) AS predictions, (SELECT count(*) FROM placed WHERE is_attack) AS alerts,
-       (SELECT count(*) FROM (SELECT *, {V.sql_escalate('severity', 'vlan_id')} AS final_severity FROM placed)
-        WHERE (is_attack OR vlan_id IN {V.numbers(V.L.CRITICAL_VLANS)}) AND coalesce({V.sql_rank('final_severity')} >= 1, true)) AS lines,
-       (SELECT count(*) FROM placed WHERE is_attack AND vlan_id NOT IN {V.numbers(V.L.MONITOR_VLANS)} AND {V.sql_rank('severity')} >= 2
-        AND {V.sql_switch('src_ip')} IS NOT NULL) AS responses""",
-)
-def t2(spark, sf):
+def _detected(spark, sf) -> live.LiveTables:
+    """The live pipeline over four micro-batches."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    tables = live.LiveTables.under(_folder(spark))
-    stream = _events(spark, sf).select(*[F.expr(sql).alias(name) for name, sql in V.PREDICTION.items()])
+    root = _folder(spark)
+    tables = live.LiveTables.under(root)
+    stream = _in_parts(spark, sf, root).select(*V.PREDICTION)
 
     def score(batch: DataFrame) -> DataFrame:
         return _placed(
             batch.withColumns(
                 {
                     "is_attack": F.col("attack_type") != "BENIGN", "severity": class_severity("attack_type"),
-                    "group_pred": class_group("attack_type"), "created_at": F.col("created_at").cast("timestamp"),
+                    "group_pred": class_group("attack_type"),
                 }
             )
         )
 
     live.detect(stream, score, tables, available_now=True).awaitTermination()
+    return tables
+
+
+@query(
+    "T1_T2_live_rows",
+    f"""SELECT 'prediction' AS kind, id, created_at FROM placed UNION ALL SELECT 'alert', id, created_at FROM placed WHERE is_attack
+       UNION ALL SELECT 'response', id, created_at FROM ({_repeat_sql(300)})""",
+)
+def t2_rows(spark, sf):
+    tables = _detected(spark, sf)
+    parts = [
+        spark.read.parquet(path).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+        for kind, path, key in (("prediction", tables.predictions, "id"), ("alert", tables.alerts, "prediction_id"), ("response", tables.responses, "id"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "T1_T2_live_detection",
+    f"""SELECT (SELECT count(*) FROM placed) AS predictions, (SELECT count(*) FROM placed WHERE is_attack) AS alerts,
+       (SELECT count(*) FROM (SELECT *, {V.sql_escalate('severity', 'vlan_id')} AS final_severity FROM placed)
+        WHERE (is_attack OR vlan_id IN {V.numbers(V.L.CRITICAL_VLANS)}) AND coalesce({V.sql_rank('final_severity')} >= 1, true)) AS lines,
+       (SELECT count(*) FROM ({_repeat_sql(300)})) AS responses""",
+)
+def t2(spark, sf):
+    tables = _detected(spark, sf)
 
     def size(path: str, name: str) -> DataFrame:
         return spark.read.parquet(path).agg(F.count(F.lit(1)).alias(name))
@@ -174,6 +208,6 @@ def a31(spark, sf):
 @query("O7_live_latest", "SELECT id, attack_type FROM pred ORDER BY created_at DESC, id LIMIT 200")
 def o7(spark, sf):
     root = _folder(spark)
-    stream = _predictions(spark, sf).select("id", "attack_type", "created_at")
+    stream = _in_parts(spark, sf, root).select("id", "attack_type", "created_at")
     live.latest_rows(stream, root, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{root}/slot=0").select("id", "attack_type")
+    return live.read_latest(spark, root).select("id", "attack_type")

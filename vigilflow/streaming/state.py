@@ -79,20 +79,21 @@ class _LateTruth(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._seen = handle.getValueState("seen", T.StructType([T.StructField("attack_type", T.StringType())]))
+        fields = [T.StructField("attack_type", T.StringType()), T.StructField("version", T.LongType())]
+        self._seen = handle.getValueState("seen", T.StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["at_us"])
         out = []
         for row in batch.to_dict("records"):
             if not self._seen.exists():
-                self._seen.update((row["attack_type"],))
+                self._seen.update((row["attack_type"], 0))
                 self._handle.registerTimer(int(row["at_us"]) // 1000 + self._keep)
-                out.append(row)
+                out.append({**row, "version": 0})
             elif row["ground_truth"] is not None:
-                out.append({**row, "attack_type": self._seen.get()[0]})
-        for row in out:
-            row["version"] = int(row["at_us"])
+                attack_type, version = self._seen.get()
+                self._seen.update((attack_type, version + 1))
+                out.append({**row, "attack_type": attack_type, "version": version + 1})
         yield pd.DataFrame(out, columns=self._names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -106,8 +107,8 @@ class _LateTruth(StatefulProcessor):
 def merge_late_truth(stream: DataFrame, keep_hours: int = 24) -> DataFrame:
     """Deduplicated results plus a newer version whenever a ground truth comes in.
 
-    Input: id, attack_type, ground_truth, watermarked created_at.  The highest
-    ``version`` of an id is its current row.
+    Input: id, attack_type, ground_truth, watermarked created_at.  Versions of an id count
+    its rows as they come in, whatever their event times; the highest is the current row.
     """
     timed = stream.select("id", "attack_type", "ground_truth", "created_at", F.unix_micros("created_at").alias("at_us"))
     schema = T.StructType(
