@@ -16,6 +16,8 @@ from vigilflow.session import checkpoint_root
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
 
 
 def _file_system(spark: SparkSession, folder: str):
@@ -23,15 +25,21 @@ def _file_system(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to a fresh folder of the shared checkpoint folder, read again.
 
     Cuts the lineage: a lost executor costs the running stage only.  Shuffle files of the steps before
     can go, which a collection of the driver's garbage allows.  The folder goes by ``release`` or when the driver ends.
+    ``batch_rows`` bounds the Arrow batches of this step where rows hold whole texts.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(folder)
+    rows = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, str(min(int(rows), batch_rows or int(rows))))
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     files, path = _file_system(spark, folder)
     files.deleteOnExit(path.getParent())
     gc.collect()
@@ -57,10 +65,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of about ``size`` bytes of text (one row at least)."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes of text and about ``rows`` rows (one row at least)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False) + size / rows
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // size, prepend=0)) if len(sizes) else []
         start = 0
         for cut in [*cuts, len(sizes)]:

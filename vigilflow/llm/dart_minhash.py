@@ -15,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigilflow.llm.common import blocks, mix, release, span_hashes, stored, utf8, word_spans
+from vigilflow.llm.common import TEXT_ROWS, blocks, mix, release, span_hashes, stored, utf8, word_spans
 
 WORDS = 5
 ROWS, BANDS = 4, 24
 SIMILARITY = 0.8
 DELTA_BYTES = 1 << 19
+WORTH = 50
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -113,7 +114,8 @@ def with_bands(texts: DataFrame, text: str, words: int, weighted: bool, rows: in
     """``_id`` and ``_bands``: the band keys of each text, none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
+        # A text gets some 6 k darts however short it is.
+        for batch in blocks(batches, text, rows=512):
             owner, elements = shingles(batch.column(text), words, weighted)
             n = batch.num_rows
             keys = band_keys(signatures(owner, elements, n, rows * bands), rows)
@@ -146,7 +148,7 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
             )
 
     sets = one.join(need.hint("merge"), "_id").select("_id", "_centers", "_text")
-    sets = stored(sets.mapInArrow(elements, "_id binary, _centers array<binary>, _set binary"), "sets")
+    sets = stored(sets.mapInArrow(elements, "_id binary, _centers array<binary>, _set binary"), "sets", TEXT_ROWS)
     pairs = sets.select("_id", "_set", F.explode("_centers").alias("_center")).where(F.col("_id") != F.col("_center"))
     own = F.array_contains("_centers", F.col("_id"))  # every center has itself in its list
     centers = sets.where(own).select(F.col("_id").alias("_center"), F.col("_set").alias("_other"))
@@ -163,7 +165,8 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
             yield pa.RecordBatch.from_arrays([batch.column("_center"), batch.column("_id"), *arrays], ["_center", "_id", "_a", "_b", "_c", "_delta"])
 
     joined = pairs.join(centers.hint("merge"), "_center").select("_center", "_id", "_set", "_other")
-    out = stored(joined.mapInArrow(compare, "_center binary, _id binary, _a long, _b long, _c long, _delta binary"), "compared")
+    schema = "_center binary, _id binary, _a long, _b long, _c long, _delta binary"
+    out = stored(joined.mapInArrow(compare, schema), "compared", TEXT_ROWS)
     release(sets)
     return out
 
@@ -310,8 +313,8 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
     pairs = outside.join(lead.hint("merge"), "_center").where("_id <> _id2 and _root <> _id2")
     more = stored(similar_by_delta(pairs, similarity), "more")
     release(lead)
-    if not more.isEmpty():
-        links = links.union(more)
+    links = links.union(more)
+    if WORTH * more.count() > links.count():  # else the last step bears a few needless pairs
         roots = joined(links, "second")
         groups = with_roots(found, roots)
     pairs = prefix_pairs(groups, similarity)
@@ -319,7 +322,7 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
     pairs = pairs.join(nodes.hint("merge"), ["_center", "_id"])
     pairs = pairs.join(second(nodes, "_id", "_a", "_c", "_delta").hint("merge"), ["_center", "_id2"])
     last = stored(similar_by_delta(pairs, similarity), "last")
-    if not last.isEmpty():
+    if not (more.isEmpty() and last.isEmpty()):
         roots = joined(links.union(last), "third")
     release(found, edges)
     return roots
@@ -332,7 +335,7 @@ def _members(
     body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     body = body.select("_key", F.unhex(F.md5("_text")).alias("_id"), "_text")
     texts = body.select("_id", "_text")
-    signed = stored(with_bands(texts, "_text", words, weighted, rows, bands), "bands")
+    signed = stored(with_bands(texts, "_text", words, weighted, rows, bands), "bands", TEXT_ROWS)
     places = signed.dropDuplicates(["_id"]).select("_id", F.explode("_bands").alias("_band"))
     places = stored(places, "places")
     release(signed)
