@@ -63,22 +63,28 @@ class WordEncoder:
                 self.cache[word] = raw[begin:stop]
                 begin = stop
 
-    def learn(self, words: set[str]) -> None:
-        cache, bases, marked, odd = self.cache, set(), [], []
-        for word in words:
-            base = word[:-1] if word[-1:] in ".," else word
-            low = base.lower()
-            plain = base.isascii() or max(base) < "\u0250" and is_normalized("NFC", base)
-            if plain and low.isalpha() and len(low) == len(base):
-                if low not in cache:
-                    bases.add(low)
-                marked.append((word, low, word[len(base) :]))
-            else:
+    def learn(self, words: list[str]) -> None:
+        cache, odd = self.cache, []
+        # One call makes all words lower case; a line end parts them, so each has the form it has by itself.
+        lows = "\n".join(words).lower().split("\n")
+        plain, marks, bases = [], [], set()
+        for word, low in zip(words, lows):
+            mark = ""
+            if low[-1] == "," or low[-1] == ".":
+                low, mark = low[:-1], low[-1]
+            if not (low.isascii() or max(low) < "\u0250" and len(low) + len(mark) == len(word) and is_normalized("NFC", word)):
+                odd.append(word)
+            elif not low.isalpha():
                 odd.append(word)
-        self._many(list(bases))
-        self._one_by_one([*odd, *{mark for _, _, mark in marked if mark} - cache.keys()])
-        for word, low, mark in marked:
-            cache[word] = cache[low] + cache[mark] if mark else cache[low]
+            else:
+                plain.append(word)
+                marks.append(mark)
+                bases.add(low)
+        self._many([low for low in bases if low not in cache])
+        self._one_by_one([*odd, *(m for m in ".," if m not in cache)])
+        ids = {"": b"", ".": cache["."], ",": cache[","]}
+        for word, mark in zip(plain, marks):
+            cache[word] = cache[(word[:-1] if mark else word).lower()] + ids[mark]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -86,8 +92,9 @@ class WordEncoder:
             self.cache.clear()
         split = [text.replace("\n", " ").split(" ") for text in texts]
         self.cache.setdefault("", b"")
-        new = {word for words in split for word in words} - self.cache.keys()
-        self.learn(new)
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self.learn(list(new))
         known = self.cache.__getitem__
         for words in split:
             yield b"".join(map(known, words))
