@@ -158,8 +158,9 @@ def radix_pass(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """
     names = [c for c in rows.columns if c not in ("_gram", "_context")]
     counts = rows.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_gram")
+    counts = stored(counts, f"{label}-grams")  # stored keys let AQE split the rows of a hot one
     shared = stored(rows.join(counts.hint("merge"), "_gram", "left_semi"), f"{label}-shared")
-    release(rows)
+    release(rows, counts)
     contexts = shared.groupBy("_gram", "_context").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*names)).alias("_one"))
     contexts = stored(contexts, f"{label}-contexts")
     names = [c for c in names if c not in ("_left", "_right")]
@@ -167,9 +168,10 @@ def radix_pass(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     settled = shared.join(known.hint("merge"), ["_gram", "_context"], "left_semi").select(*names)
     settled = stored(settled, f"{label}-settled")
     split = contexts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_m")).where("_c > 1 and _m = 1")
-    still = contexts.join(split.select("_gram").hint("merge"), "_gram", "left_semi").select("_gram", "_one.*")
+    split = stored(split.select("_gram"), f"{label}-split")
+    still = contexts.join(split.hint("merge"), "_gram", "left_semi").select("_gram", "_one.*")
     still = stored(still, f"{label}-open")
-    release(shared, contexts)
+    release(shared, contexts, split)
     return settled, still
 
 
@@ -203,12 +205,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, depth: int) -> DataFram
     parts = [F.col("_gram"), before, F.substring("_left", F.octet_length("_left") - before + 1, before), F.substring("_right", F.lit(1), after)]
     prefixes = stored(prefixes.select(key, "_h", "_at", "_o", *(F.xxhash64(F.lit(s), *parts).alias(n) for s, n in ((1, "_a"), (2, "_b")))), "third")
     release(still)
-    equal = prefixes.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b")
+    equal = stored(prefixes.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b"), "equal")
     repeated = prefixes.join(equal.hint("merge"), ["_a", "_b"], "left_semi")
     ends = repeated.groupBy(key, "_h", "_at").agg(F.min("_o").alias("_least"), F.max("_o").alias("_most"))
     last = ends.select(*_span(key, F.col("_at") - F.col("_most"), F.col("_at") - F.col("_least") + depth))
     spans = stored(spans.unionByName(last), "spans")
-    release(*done, prefixes)
+    release(*done, prefixes, equal)
     return spans
 
 
