@@ -22,9 +22,12 @@ HEADLINES = [
     "A18_M10_report_per_phase",
     "M1_cleaning",
     "M6_F21_hierarchical_rules",
+    "M7_M8_learned_scoring",
     "M8_prediction_rows",
     "P12_alert_suppression",
     "S7_netflow_v5",
+    "S8_J6_netflow_v9",
+    "T1_T2_live_detection",
     "T5_suppression_ttl_1day",
     "T7_packets_to_flows",
     "W1_per_file_split",

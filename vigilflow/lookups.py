@@ -154,7 +154,6 @@ def members_to_groups(groups: dict[str, list[str]]) -> dict[str, str]:
 CLASS_TO_GROUP = members_to_groups(GROUP_MEMBERS)
 CLASS_TO_GROUP_12 = members_to_groups(GROUP_MEMBERS_12)
 TARGET_CLASSES = sorted(CLASS_TO_GROUP)
-TARGET_CLASSES_12 = sorted(CLASS_TO_GROUP_12)
 BENIGN = "BENIGN"
 
 # Severity of each class; any other label counts as "medium".
@@ -238,7 +237,6 @@ VLAN_NAMES = {
 # VLAN sets of the severity and response rules.
 CRITICAL_VLANS = sorted(per_building(51, 52, 99) + [30, 40, 99])
 HIGH_VLANS = sorted(per_building(11, 12, 13) + [20, 21, 60])
-MEDIUM_VLANS = sorted(per_building(10, 50))
 MONITOR_VLANS = sorted(per_building(99) + [40, 99])
 
 # Address ranges counted as internal, as (first octets, prefix).
