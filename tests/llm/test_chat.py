@@ -42,13 +42,19 @@ def test_layouts_are_found_by_their_paths(spark):
 
 def test_one_fingerprint_per_tree_of_paths(spark):
     texts = ['{"a": 1, "b": [{"c": "x"}]}', '{"b": [{"c": null}, {"c": 2.5}], "a": "y"}', '{"a": 1, "b": [{"d": "x"}]}']
-    frame = chat.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "record string"))
-    prints = [r["fingerprint"] for r in frame.select("record", "fingerprint").collect()]
+    frame = chat.canonical(spark.createDataFrame([(t, "x") for t in texts], "record string, layout string"))
+    prints = [r["fingerprint"] for r in frame.collect()]
+    assert frame.columns == ["record", "fingerprint", "layout", "turns"]
     assert prints[0] == prints[1] != prints[2]
 
 
+def test_field_paths():
+    value = {"a": 1, "b": [{"c": "x"}, {"d": [[2]]}], "e": [], "f": {}, "g.h": None}
+    assert chat.field_paths(value) == {"a", "b[].c", "b[].d[][]", "e[]", "f{}", "g\\.h"}
+
+
 def test_nulls_ties_repeats_and_long_texts(spark):
-    long = "x<|im_end|>" * 20_000
+    long = "x<|im_end|>" * 2_000_000  # 22 MB
     rows = [
         (1, 0, "user", None), (1, 0, "user", None), (1, None, None, "first"), (1, 5, "assistant", long),
         (2, 0, "assistant", ""), (None, 1, "tool", "t"),

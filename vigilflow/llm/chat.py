@@ -1,6 +1,6 @@
 """Chat formatting: layouts found by fingerprints of nested field paths.
 
-A record is a JSON text of any layout.  The tree of its field paths is hashed; the
+A record is a JSON text of any layout.  The set of its nested field paths is hashed; the
 fingerprint selects a declared layout, which says where the turns lie.  Records
 become canonical turns (role, text) and then one marked-up text with a loss mask.
 """
@@ -8,6 +8,7 @@ become canonical turns (role, text) and then one marked-up text with a loss mask
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,9 +16,9 @@ from itertools import combinations
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -38,34 +39,27 @@ class Layout:
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = ()
 
-    def signatures(self) -> list[str]:
-        """Path trees that this layout covers, every choice of optional fields included."""
+    def path_sets(self) -> list[set[str]]:
+        """Sets of field paths that this layout covers, every choice of optional fields included."""
         if self.list:
-            item = ", ".join(sorted((self.role, self.text)))
-            return [f"OBJECT<{self.list}: ARRAY<{inner}>>" for inner in (f"OBJECT<{item}>", "")]
-        fixed = [f for _, fields in self.turns for f in fields if f not in self.optional]
+            return [{f"{self.list}[].{self.role}", f"{self.list}[].{self.text}"}, {f"{self.list}[]"}]
+        fixed = {f for _, fields in self.turns for f in fields if f not in self.optional}
         choices = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
-        return ["OBJECT<" + ", ".join(sorted([*fixed, *c])) + ">" for c in choices]
+        return [fixed | set(c) for c in choices]
 
-    def expression(self, record: Column) -> Column:
+    def read(self, record: dict) -> list[dict]:
+        """The turns of a record of this layout."""
         if self.list:
-            raw = F.try_variant_get(record, f"$.{self.list}", f"array<struct<{self.role}:string,{self.text}:string>>")
-
-            def turn(item: Column) -> Column:
-                role = F.coalesce(item[self.role], F.lit(""))
-                mapped = role
-                for old, new in self.roles:
-                    mapped = F.when(role == old, F.lit(new)).otherwise(mapped)
-                return F.struct(mapped.alias("role"), F.coalesce(item[self.text], F.lit("")).alias("text"))
-
-            return F.transform(raw, turn)
-        turns = []
+            names = dict(self.roles)
+            roles = [_text(item.get(self.role)) for item in record[self.list]]
+            texts = [_text(item.get(self.text)) for item in record[self.list]]
+            return [{"role": names.get(role, role), "text": text} for role, text in zip(roles, texts)]
+        out = []
         for role, fields in self.turns:
-            parts = [F.try_variant_get(record, f"$.{f}", "string") for f in fields]
-            text = F.concat_ws("\n\n", *parts)
-            present = F.coalesce(*parts).isNotNull() if set(fields) & set(self.optional) else F.lit(True)
-            turns.append(F.when(present, F.struct(F.lit(role).alias("role"), text.alias("text"))))
-        return F.filter(F.array(*turns), lambda t: t.isNotNull())
+            parts = [_text(record[f]) for f in fields if f in record]
+            if parts:
+                out.append({"role": role, "text": "\n\n".join(parts)})
+        return out
 
 
 LAYOUTS = (
@@ -81,36 +75,56 @@ LAYOUTS = (
 )
 
 
-def fingerprint(signature: str) -> str:
-    return hashlib.sha256(signature.encode()).hexdigest()[:16]
+def _text(value) -> str:
+    return {None: "", True: "true", False: "false"}.get(value, value) if not isinstance(value, str) else value
 
 
-def with_fingerprint(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds ``parsed`` (variant) and ``fingerprint``: hash of the record's tree of field paths.
+def field_paths(value, at: str = "") -> set[str]:
+    """Paths of all fields of a JSON value; list positions do not count, empty lists and objects end a path."""
+    if isinstance(value, dict):
+        name = lambda key: key.replace("\\", "\\\\").replace(".", "\\.")
+        parts = [field_paths(v, f"{at}.{name(k)}" if at else name(k)) for k, v in value.items()]
+        return set().union(*parts) or {f"{at}{{}}"}
+    if isinstance(value, list):
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) or {f"{at}[]"}
+    return {at}
 
-    Scalar types do not count, array positions neither.  Text that is no JSON (null,
-    empty, broken) has a null fingerprint.
-    """
-    scalar = r"(VOID|VARIANT|STRING|BINARY|BOOLEAN|BIGINT|FLOAT|DOUBLE|DATE|TIMESTAMP(_NTZ)?|DECIMAL\(\d+, ?\d+\))"
-    tree = F.regexp_replace(F.schema_of_variant("_parsed"), f": {scalar}(?=[,>])", "")
-    tree = F.regexp_replace(tree, f"ARRAY<{scalar}>", "ARRAY<>")
-    parsed = records.withColumn("_parsed", F.try_parse_json(record))
-    return parsed.withColumn("fingerprint", F.substring(F.sha2(tree, 256), 1, 16))
+
+def fingerprint(paths: set[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` and ``turns`` (array of role, text) by the record's fingerprint.
+    """Adds ``fingerprint``, ``layout`` and ``turns`` (array of role, text); columns of these names are replaced.
 
-    Unknown layouts and broken records get a null layout and no turns; nothing is dropped.
-    ``records.groupBy("fingerprint")`` tells which layouts to declare next.
+    The fingerprint is the hash of the record's set of field paths.  Unknown layouts get a null layout and no turns; broken
+    records (null, empty, no JSON) a null fingerprint, too; nothing is dropped.  Counts by fingerprint tell
+    which layouts to declare next.  Records may have any length.
     """
-    marked = with_fingerprint(records, record)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for layout in layouts:
-        hit = F.col("fingerprint").isin([fingerprint(s) for s in layout.signatures()])
-        name = F.when(hit, F.lit(layout.name)).otherwise(name)
-        turns = F.when(hit, layout.expression(F.col("_parsed"))).otherwise(turns)
-    return marked.withColumn("layout", name).withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("_parsed")
+    known = {fingerprint(paths): layout for layout in layouts for paths in layout.path_sets()}
+    added = T.StructType().add("fingerprint", "string").add("layout", "string")
+    added = added.add("turns", T.ArrayType(T.StructType().add("role", "string").add("text", "string")))
+    kept = [c for c in records.columns if c not in added.names]
+
+    def read(text: str | None) -> tuple[str | None, str | None, list[dict]]:
+        try:
+            value = json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+        except (TypeError, ValueError, RecursionError):
+            return None, None, []
+        mark = fingerprint(field_paths(value))
+        layout = known.get(mark)
+        return mark, layout and layout.name, layout.read(value) if layout else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(added)
+        for batch in batches:
+            found = [read(text) for text in batch.column(record).to_pylist()]
+            columns = list(zip(*found)) if found else [()] * 3
+            arrays = [pa.array(c, field.type) for c, field in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], [*kept, *added.names])
+
+    schema = T.StructType([*(records.schema[c] for c in kept), *added.fields])
+    return records.mapInArrow(run, schema)
 
 
 def escape(text: str) -> str:

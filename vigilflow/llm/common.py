@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilflow.session import checkpoint_root
 
-WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
