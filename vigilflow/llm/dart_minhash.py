@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow.llm.common import TEXT_ROWS, blocks, mix, release, span_hashes, stored, utf8, word_spans
 
@@ -129,7 +129,7 @@ def with_bands(texts: DataFrame, text: str, words: int, weighted: bool, rows: in
 
 def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) -> DataFrame:
     """(_center, _id, _a, _b, _c, _delta), stored: for each pair the sizes of the node's and the center's set of
-    shingles, of what they share, and the elements (32 bits each, sorted) that only one of them has.
+    shingles, of what they share, and the elements (32 bits each) that only the node has, then those only the center has.
 
     A text travels once, with the list of its centers (at most one per band); then its elements meet those of each
     center.  A popular center is no hot spot: AQE splits the join.
@@ -158,8 +158,8 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
             rows = []
             for left, right in zip(batch.column("_set"), batch.column("_other")):
                 x, y = np.frombuffer(left.as_buffer(), np.uint32), np.frombuffer(right.as_buffer(), np.uint32)
-                delta = np.setxor1d(x, y, assume_unique=True)
-                rows.append((len(x), len(y), (len(x) + len(y) - len(delta)) // 2, delta.tobytes()))
+                own, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                rows.append((len(x), len(y), len(x) - len(own), own.tobytes() + lost.tobytes()))
             columns = list(zip(*rows)) if rows else [()] * 4
             arrays = [pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("_center"), batch.column("_id"), *arrays], ["_center", "_id", "_a", "_b", "_c", "_delta"])
@@ -212,53 +212,45 @@ def second(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.select("_center", *(F.col(c).alias(f"{c}2") for c in columns))
 
 
-def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
+def nearby_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     """(_center, _id, _id2): pairs of nodes of a group, in different components, that may be similar.
 
-    Let U be a node that is not similar to its center C, V any other node of the group, t = s / (1 + s).  U and V are
-    similar only if their differences from C have x >= t(|U| + |V|) + |C| - |U & C| - |V & C| elements in common.  As U is not
-    similar to C, x > t|V| + (1 - t)|C| - |V & C| whatever U is; and x >= t(|U| + |C|) - |U & C| whatever V is.  If
-    two sets share x elements, any order has a shared one among the first |set| - x + 1 of both.  In the
-    order rising by frequency these prefixes hold rare elements, which few nodes share.
+    Let U be a node that is not similar to its center C, V any other node of the group, t = s / (1 + s).  If U and V are
+    similar, then x, the number of differences from C that they have in common, is more than t|V| + (1 - t)|C| - |V & C|,
+    that is |C - V| - t(|C| - |V|).  So they share an element that C has not; or else x counts elements of C - V alone,
+    V is smaller than C, and some shared one is among the first |C - V| - x + 1 elements of C - V, in any order.
+    Elements that C has not are rare, and these prefixes short, so few pairs meet.
     """
     t = similarity / (1 + similarity)
-    size = F.octet_length("_delta") / 4
-    strict = F.floor(F.greatest(F.lit(0.0), t * F.col("_a") + (1 - t) * F.col("_b") - F.col("_c") - 1e-6))
-    loose = F.ceil(F.greatest(F.lit(1.0), t * (F.col("_a") + F.col("_b")) - F.col("_c") - 1e-6))
-    nodes = groups.select(
-        "_center", "_id", "_root", (F.col("_root") != F.col("_main")).alias("_out"), "_delta",
-        (size - strict).cast("long").alias("_short"), (size - loose + 1).cast("long").alias("_long"),
-    )
+    nodes = groups.select("_center", "_id", "_root", (F.col("_root") != F.col("_main")).alias("_out"), "_a", "_b", "_c", "_delta")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_delta", DELTA_BYTES):
-            deltas = [np.frombuffer(d.as_buffer(), np.uint32) for d in batch.column("_delta")]
-            at = pa.array(np.repeat(np.arange(len(deltas)), [len(d) for d in deltas]))
-            values = pa.array(np.concatenate([*deltas, np.zeros(0, np.uint32)]).astype(np.int64))
-            columns = ["_center", "_id", "_root", "_out", "_short", "_long"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), values], [*columns, "_e"])
-
-    schema = "_center binary, _id binary, _root binary, _out boolean, _short long, _long long, _e long"
+            elements, counts, near = [], [], []
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("_out", "_a", "_b", "_c")))
+            for delta, (out, a, b, c) in zip(batch.column("_delta"), numbers):
+                values = np.frombuffer(delta.as_buffer(), np.uint32)
+                own, lost = a - c, b - c
+                need = max(1, int(np.floor(lost - t * (b - a) - 1e-6)) + 1)
+                first = max(0, lost - need + 1) if a < b else 0
+                last = lost if out else first
+                elements.append(values[: own + last])
+                counts.append(own + last)
+                near.append(np.arange(own + last) < own + first)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            columns = ["_center", "_id", "_root", "_out"]
+            arrays = [pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind)) for x, kind in ((elements, np.int64), (near, bool))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), *arrays], [*columns, "_e", "_near"])
+
+    schema = "_center binary, _id binary, _root binary, _out boolean, _e long, _near boolean"
     rows = stored(nodes.mapInArrow(spread, schema), "differences")
-    often = rows.groupBy("_center", "_e").agg(F.count(F.lit(1)).alias("_n"), F.max("_out").alias("_any")).where("_n > 1")
-    often = stored(often, "frequencies")
-    common = rows.join(often.hint("merge"), ["_center", "_e"])
-    # Elements of one node come first in the order but meet nobody.
-    place = Window.partitionBy("_center", "_id").orderBy("_n", "_e")
-    ranked = common.withColumn("_rank", F.row_number().over(place))
-    total = common.groupBy("_center", "_id").agg(F.count(F.lit(1)).alias("_shared"))
-    sizes = groups.select("_center", "_id", size.cast("long").alias("_size"))
-    alone = sizes.join(total.hint("merge"), ["_center", "_id"]).select("_center", "_id", (F.col("_size") - F.col("_shared")).alias("_alone"))
-    ranked = ranked.join(alone.hint("merge"), ["_center", "_id"]).withColumn("_rank", F.col("_rank") + F.col("_alone"))
-    reach = F.when(F.col("_out"), F.greatest("_short", "_long")).otherwise(F.col("_short"))
-    prefixes = ranked.where(F.col("_any") & (F.col("_rank") <= reach))
-    prefixes = stored(prefixes.select("_center", "_e", "_id", "_root", "_out", (F.col("_rank") <= F.col("_short")).alias("_near")), "prefixes")
-    release(rows, often)
-    left = prefixes.where("_out")
-    right = prefixes.where("_near").select("_center", "_e", *(F.col(c).alias(f"{c}2") for c in ("_id", "_root", "_out")))
-    pairs = left.join(right.hint("merge"), ["_center", "_e"])
-    pairs = pairs.where("_root <> _root2 and (not _out2 or (_near and _id < _id2))")
-    return pairs.select("_center", "_id", "_id2").distinct()
+    right = rows.where("_near").select("_center", "_e", *(F.col(c).alias(f"{c}2") for c in ("_id", "_root", "_out")))
+    pairs = rows.where("_out").join(right.hint("merge"), ["_center", "_e"])
+    # Of two nodes away from the center one order does, where both have the element in reach.
+    pairs = pairs.where("_root <> _root2 and not (_out2 and _near and _id > _id2)")
+    pairs = stored(pairs.select("_center", "_id", "_id2").distinct(), "pairs")
+    release(rows)
+    return pairs
 
 
 def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
@@ -291,8 +283,8 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
 
     All nodes of a bucket are compared with its most popular one, the center.  What two nodes have in common follows from
     their differences from the same center.  So the nodes of a center that are not in its component are then compared with
-    the most popular of them, and at last with all other nodes of the center that a prefix filter on the differences
-    leaves.  No bucket is expanded into all pairs, and no similar pair that shares a bucket is lost.
+    the most popular of them, and at last with all other nodes of the center that may be similar by their
+    differences.  No bucket is expanded into all pairs, and no similar pair that shares a bucket is lost.
     """
     top = places.groupBy("_band").agg(F.max(F.struct("_p", "_id")).alias("_top")).select("_band", F.col("_top._id").alias("_center"))
     top = stored(top, "centers")
@@ -317,7 +309,7 @@ def same_class(places: DataFrame, texts: DataFrame, words: int, weighted: bool,
     if WORTH * more.count() > links.count():  # else the last step bears a few needless pairs
         roots = joined(links, "second")
         groups = with_roots(found, roots)
-    pairs = prefix_pairs(groups, similarity)
+    pairs = nearby_pairs(groups, similarity)
     nodes = groups.select("_center", "_id", "_a", "_b", "_c", "_delta")
     pairs = pairs.join(nodes.hint("merge"), ["_center", "_id"])
     pairs = pairs.join(second(nodes, "_id", "_a", "_c", "_delta").hint("merge"), ["_center", "_id2"])
