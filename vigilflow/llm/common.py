@@ -120,7 +120,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Rolling-hash values (64 bits) of byte spans, from one running sum over ``raw``."""
+    """Rolling-hash values (64 bits) of byte spans, from running sums over ``raw``, taken block by block where it is long."""
+    if len(raw) <= 2 * BLOCK_BYTES or len(starts) < 2:
+        return _span_hashes(raw, starts, stops, seed)
+    order = np.argsort(starts, kind="stable")
+    out = np.empty(len(starts), np.uint64)
+    for part in np.split(order, np.flatnonzero(np.diff(starts[order] // BLOCK_BYTES)) + 1):
+        low, high = starts[part[0]], stops[part].max()
+        out[part] = _span_hashes(raw[low:high], starts[part] - low, stops[part] - low, seed)
+    return out
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int) -> np.ndarray:
     n = len(raw)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_table(seed)[raw] * powers(MULTIPLIER, n), out=total[1:])

@@ -372,12 +372,13 @@ def train(texts: list[str], labels: np.ndarray, base_rate: float, steps: int = 1
             total = np.zeros_like(table)
             for column in range(1, table.shape[1]):
                 each = grad[:, column] if table is model.word else np.repeat(grad[:, column], counts)
-                total[:, column] = np.bincount(rows, weights=each, minlength=len(table))
+                for i in range(0, len(rows), 1 << 20):
+                    total[:, column] += np.bincount(rows[i : i + (1 << 20)], weights=each[i : i + (1 << 20)], minlength=len(table))
             square += (total**2).mean(axis=1)
             table -= 0.1 / epochs * total / np.sqrt(square)[:, None]
     logits = []
-    for begin in range(0, len(first), 2048):
-        _, mask, _, gates = gates_of(np.arange(begin, min(begin + 2048, len(first))))
+    for begin in range(0, len(first), 512):
+        _, mask, _, gates = gates_of(np.arange(begin, min(begin + 512, len(first))))
         logits.append(model.forward(gates, mask)[0])
     inputs_of(2)
     model.head = logistic(document_inputs(np.concatenate(logits), owner, len(texts)), labels)
