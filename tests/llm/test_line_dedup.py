@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+import duckdb
+
+from tools.check import rows_of
 from vigilflow.llm.line_dedup import dedup_lines
 
 
@@ -37,3 +40,57 @@ def test_repeated_rows_null_keys_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_runs_of_many_words(spark):
+    passage, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 51), ("h", 30), ("o", 30)))
+    fifty = " ".join(f"f{i}" for i in range(50))
+    rows = [
+        (1, passage), (2, f"{passage}\nx"), (3, f"y\n{half}\n{other}\nz"), (4, f"{half}\n{other}"), (5, half), (6, other),
+        (7, fifty), (8, fifty), (9, f"{passage}\n{passage}"), (10, passage), (10, passage),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in dedup_lines(frame).collect()}
+    assert got == {
+        1: (passage, 0, 0), 2: ("x", 1, 1), 3: (f"y\n{half}\n{other}\nz", 0, 0), 4: ("", 2, 1), 5: (half, 0, 0), 6: (other, 0, 0),
+        7: (fifty, 0, 0), 8: (fifty, 0, 0), 9: ("", 2, 1), 10: ("", 1, 1),
+    }
+    deep = {r["doc_id"]: r["n_removed"] for r in dedup_lines(frame.where("doc_id in (3, 4)"), min_lines=5, long_words=59).collect()}
+    assert deep == {3: 0, 4: 2}
+
+
+PASSAGES = r"""
+WITH lines AS (
+  SELECT doc_id, i, lines[i] AS line, len(lines) AS n
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), windows AS (
+  SELECT doc_id, i, size, w FROM (
+    SELECT doc_id, i, unnest([1, 2, 3]) AS size, unnest([line, line || chr(10) || lead(line) OVER d,
+      line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d]) AS w
+    FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE w IS NOT NULL AND (size = 3 OR len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) > 50)
+), later AS (
+  SELECT doc_id, i, size FROM (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, w ORDER BY doc_id, i) AS copy FROM windows)
+  WHERE copy > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 3) t(k) WHERE k < size
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, l.n, g.i IS NOT NULL AS cut FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i
+), runs AS (
+  SELECT *, cut AND coalesce(NOT lag(cut) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins FROM marked
+)
+SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN line END, chr(10) ORDER BY i), '') AS text,
+  n AS n_lines, count(*) FILTER (cut) AS n_removed, count(*) FILTER (begins) AS n_runs
+FROM runs GROUP BY doc_id, n
+"""
+
+
+def test_long_passages_equal_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    frame = dedup_lines(spark.read.parquet(path).select("doc_id", "text"))
+    result = duckdb.sql(PASSAGES.replace("FROM documents", f"FROM '{path}'"))
+    rows = [tuple(r) for r in frame.collect()]
+    assert rows_of(frame.columns, rows) == rows_of(result.columns, result.fetchall())
+    by_lines = dedup_lines(spark.read.parquet(path).select("doc_id", "text"), long_words=None)
+    assert {r["doc_id"]: r["n_removed"] for r in by_lines.collect()} != {r[0]: r[3] for r in rows}
