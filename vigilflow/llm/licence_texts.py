@@ -1,4 +1,4 @@
-"""Public licence texts and the usual one-line notices, as (licence id, text)."""
+"""Public licence texts, the usual notices, and digests of long licences, as (licence id, text or digest)."""
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -163,3 +163,40 @@ KNOWN = (
     ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
 )
+
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+# Notices of several lines that stand at the head of files; they are looked for within documents.
+NOTICES = (
+    ("Apache-2.0", APACHE_NOTICE),
+    ("GPL-3.0-or-later", GPL_NOTICE),
+    ("LGPL-3.0-or-later", GPL_NOTICE.replace("GNU General", "GNU Lesser General")),
+    ("AGPL-3.0-or-later", GPL_NOTICE.replace("GNU General", "GNU Affero General")),
+    ("MPL-2.0", MPL_NOTICE),
+)
+
+# SHA-256 of the canonical form of entire licences, made by ``licences.digest_of``; where a licence has an appendix after
+# "END OF TERMS AND CONDITIONS", a second row is the text up to there.
+DIGESTS = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Apache-2.0", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca"),
+    ("Artistic-1.0-Perl", "1357a9bd62a6cd762ce57365ccec76b0e1e966641d8088b1ac242233896ef822"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "6a3527458ce3cfb5ade85445cd3d6acb0b358be7b39581a865ef5d3ac4f297f8"),
+    ("GFDL-1.3", "d93999c79de6eaf027d3a8a0aadbd0f0cefce6927b1d631b03a133c865480e3f"),
+    ("GPL-1.0", "88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38"),
+    ("GPL-1.0", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-2.0", "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a"),
+    ("GPL-2.0", "5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa"),
+    ("GPL-3.0", "44ab9faa2710e701e5bf01d35505a460bcc74f29e108f844fcb015f4feafe4b5"),
+    ("GPL-3.0", "d0d75d92350c135a3bc6f07d5760cd111b93c8fd80cdbb867fc064fe6822812d"),
+    ("LGPL-2.0", "a0bf38390cb2f2420aab34355ffae4e3a040e7648b7ba67f1e34044403228cf9"),
+    ("LGPL-2.0", "c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a"),
+    ("LGPL-2.1", "775b78fea7d86d7b01dfe3028892476b10fc3f78b22fd69513911710f16d8da6"),
+    ("LGPL-2.1", "0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilflow.llm.licence_texts import KNOWN
+from vigilflow.llm.licence_texts import DIGESTS, KNOWN, NOTICES
 
 # Spellings that licence matching treats as equal.
 SPELLINGS = (
@@ -29,27 +29,57 @@ def lines_of(canonical_text: Column) -> Column:
     return F.filter(F.transform(F.split(canonical_text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, licence): one row per known text, made by the same expressions as those of documents."""
+def body_of(text: Column) -> Column:
+    """The canonical text in one line, so that line ends do not count."""
+    return F.array_join(lines_of(canonical(text)), " ")
+
+
+def digest_of(text: Column) -> Column:
+    return F.sha2(body_of(text), 256)
+
+
+def known_digests(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = ()
+) -> DataFrame:
+    """(digest, licence): one row per known text, made by the same expressions as those of documents, or ready digest."""
     frame = spark.createDataFrame(list(known), "licence string, body string")
-    whole = F.array_join(lines_of(canonical(F.col("body"))), " ")
-    return frame.groupBy(F.sha2(whole, 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    frame = frame.select("licence", digest_of(F.col("body")).alias("digest"))
+    if digests:
+        frame = frame.unionByName(spark.createDataFrame(list(digests), "licence string, digest string"))
+    return frame.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN,
+    digests: tuple[tuple[str, str], ...] = DIGESTS, notices: tuple[tuple[str, str], ...] = NOTICES,
+) -> DataFrame:
     """(key, scope, licence, n): known licences found in ``docs``.
 
     Scope ``text``: the entire text is a known licence or notice.  Scope ``line``: n of its lines
-    are, e.g. a notice within a document; a one-line text counts under both.  Null and empty texts match
+    are, e.g. a notice within a document; a one-line text counts under both.  Scope ``notice``: one of ``notices``
+    stands n times within the text, whatever its line ends; a text that is one counts under both.  Null and empty texts match
     nothing.  Rows with the same key count together.  The known digests are broadcast:
-    their number is fixed by ``known`` (a few dozen rows), whatever the corpus.
+    their number is fixed by ``known`` and ``digests`` (a few dozen rows), whatever the corpus.
     """
-    if len(known) > 10_000:
+    if len(known) + len(digests) > 10_000:
         raise ValueError("too many known texts to broadcast")
-    lines = docs.select(F.col(key), lines_of(canonical(F.col(text))).alias("_lines"))
-    whole = F.struct(F.lit("text").alias("scope"), F.array_join("_lines", " ").alias("body"))
+    spark = docs.sparkSession
+    lines = docs.select(F.col(key), lines_of(canonical(F.col(text))).alias("_lines")).withColumn("_whole", F.array_join("_lines", " "))
+    whole = F.struct(F.lit("text").alias("scope"), F.col("_whole").alias("body"))
     parts = F.transform("_lines", lambda x: F.struct(F.lit("line").alias("scope"), x.alias("body")))
-    rows = lines.select(key, F.explode(F.concat(F.array(whole), parts)).alias("_part"))
-    digests = rows.select(key, "_part.scope", F.sha2("_part.body", 256).alias("digest"))
-    hits = digests.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
+    shown = spark.createDataFrame(list(notices), "licence string, body string").select(body_of(F.col("body")).alias("body")).collect()
+    notice = lambda body: F.struct(F.lit("notice").alias("scope"), F.lit(body).alias("body"))
+    found = [F.array_repeat(notice(r["body"]), _times(F.col("_whole"), r["body"])) for r in shown]
+    rows = lines.select(key, F.explode(F.concat(F.array(whole), parts, *found)).alias("_part"))
+    digested = rows.select(key, "_part.scope", F.sha2("_part.body", 256).alias("digest"))
+    # Notices are known by their own digests, also where ``known`` lacks them.
+    hits = digested.join(F.broadcast(known_digests(spark, known + notices, digests)), "digest")
     return hits.groupBy(key, "scope", "licence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _times(body: Column, part: str) -> Column:
+    """How often the words of ``part`` stand in ``body``; blanks are doubled so that neighbours need not share one."""
+    words, wide = F.replace(body, F.lit(" "), F.lit("  ")), f" {part.replace(' ', '  ')} "
+    text = F.concat(F.lit(" "), words, F.lit(" "))
+    count = (F.length(text) - F.length(F.replace(text, F.lit(wide), F.lit("")))) / len(wide)
+    return F.when(F.contains(body, F.lit(part)), count.cast("int")).otherwise(0)
