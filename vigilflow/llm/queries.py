@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, dart_minhash, decontaminate, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
+from vigilflow.llm import chat, dart_minhash, decontaminate, filter_audit, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,3 +204,50 @@ def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+    ), words AS (
+      SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM docs
+    ), failed AS (
+      SELECT part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS bad, [
+        CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+        CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' END,
+        CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN least < words.doc_id THEN 'E' END] AS f
+      FROM words LEFT JOIN labels l ON words.doc_id = l.doc_id
+    ), sets AS (
+      SELECT part, list_sort(list_filter(f, lambda x: x IS NOT NULL)) AS f, count(*) AS n, count(*) FILTER (good) AS good,
+        count(*) FILTER (bad) AS bad FROM failed GROUP BY 1, 2
+    ), letters AS (
+      SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+    ), orders AS (
+      SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ), steps AS (
+      SELECT filter_order, step, filter_order[step] AS letter, string_split(filter_order[1:step - 1], '') AS before
+      FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ), steps_ AS (
+      SELECT filter_order, CAST(step AS INTEGER) AS step, letter, CASE WHEN step = 1 THEN [] ELSE before END AS before FROM steps
+    ), counted AS (
+      SELECT part, filter_order, step, letter,
+        sum(n) FILTER (NOT list_contains(f, letter) AND NOT list_has_any(f, before)) AS kept,
+        sum(n) FILTER (list_contains(f, letter) AND NOT list_has_any(f, before)) AS removed,
+        sum(n) FILTER (list_contains(f, letter) AND list_has_any(f, before)) AS redundant,
+        sum(n) FILTER (f = [letter]) AS unique_fails,
+        sum(good) FILTER (list_contains(f, letter) AND NOT list_has_any(f, before)) AS good_lost,
+        sum(bad) FILTER (list_contains(f, letter) AND NOT list_has_any(f, before)) AS toxic_lost
+      FROM sets, steps_ GROUP BY ALL
+    )
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+      CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+      CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+    FROM counted
+    """,
+)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
