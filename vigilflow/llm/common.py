@@ -137,3 +137,22 @@ def _span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
     np.cumsum(byte_table(seed)[raw] * powers(MULTIPLIER, n), out=total[1:])
     value = (total[stops] - total[starts]) * powers(INVERSE, n + 1)[starts]
     return mix(value ^ (stops - starts).astype(np.uint64))
+
+
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers as zstd of their byte planes; ``rising``: of the differences of sorted unsigned values."""
+    import zstandard
+
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values

@@ -38,11 +38,11 @@ def failures(text: Column) -> Column:
 def copies(rows: DataFrame) -> DataFrame:
     """(_id, _part, _hash) of the rows of ``rows`` (_id, _part, _hash, _text) whose text also stands under a smaller id.
 
-    Only texts of a hash that stands twice are moved.  Of each text the smallest id is enough to tell; it is found with
-    combining on the map side and stored, so that a text that owns many rows is split by AQE in the semi-join.
+    Only texts of a hash that stands twice are kept and moved again.  Of each text the smallest id is enough to tell; it is found
+    with combining on the map side.  All sides are stored, so that AQE can split a text that owns many rows in both joins.
     """
     often = stored(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "hashes")
-    twice = rows.join(often.hint("merge"), "_hash", "left_semi")
+    twice = stored(rows.join(often.hint("merge"), "_hash", "left_semi"), "twice")
     least = twice.groupBy("_hash", "_text").agg(F.min("_id").alias("_least"))
     least = stored(least.select(F.col("_hash").alias("_h"), F.col("_text").alias("_t"), "_least"), "least")
     same = (F.col("_hash") == F.col("_h")) & (F.col("_text") == F.col("_t")) & (F.col("_least") < F.col("_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, dart_minhash, decontaminate, filter_audit, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
+from vigilflow.llm import chat, dart_minhash, decontaminate, filter_audit, interpolation, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,3 +251,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_deleted_interpolation")
+def op13_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.score(table(spark, folder, "documents"))
