@@ -1,6 +1,7 @@
 import numpy as np
 
 from vigilflow.llm import common
+from vigilflow.llm.common import distinct, packed, unpacked
 
 
 def test_span_hashes_do_not_depend_on_blocks_or_places(monkeypatch):
@@ -14,3 +15,16 @@ def test_span_hashes_do_not_depend_on_blocks_or_places(monkeypatch):
     texts = [raw[a:b].tobytes() for a, b in zip(starts, stops)]
     assert len(set(zip(texts, whole.tolist()))) == len(set(texts)) == len(set(whole.tolist()))
     assert (common.span_hashes(np.append(raw[:7], raw), starts + 7, stops + 7) == whole).all()
+
+
+def test_order_of_hashes_with_equal_leading_bits():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000, 40_000):
+        values = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        values[n // 2 :] = values[0] if n > 1000 else values[n // 2 :]
+        values[: n // 3] = (values[: n // 3] & np.uint64(0xFFF)) | np.uint64(7 << 40)
+        found, places = distinct(values)
+        assert (found[places] == values).all() if n else len(found) == 0
+        assert (found == np.unique(values)).all()
+        assert (unpacked(packed(found, True), np.uint64, True) == found).all()
+        assert (unpacked(packed(places), np.int64) == places).all()

@@ -156,3 +156,30 @@ def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
     width = np.dtype(kind).itemsize
     values = np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
     return np.cumsum(values, dtype=kind) if rising else values
+
+
+def order_of(values: np.ndarray) -> np.ndarray:
+    """An order that sorts unsigned 64-bit hashes: their leading bits are sorted with the places in the low bits, which is
+    several times faster than an argsort; the few runs of equal leading bits are put right afterwards."""
+    n = len(values)
+    low = np.uint64(max(1, n).bit_length())
+    mixed = np.sort((values >> low << low) | np.arange(n, dtype=np.uint64))
+    order = (mixed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    found = values[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
+        lead = mixed >> low
+        starts, stops = np.searchsorted(lead, lead[wrong]), np.searchsorted(lead, lead[wrong], side="right")
+        for a, b in dict(zip(starts.tolist(), stops.tolist())).items():
+            order[a:b] = order[a:b][np.argsort(found[a:b], kind="stable")]
+    return order
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, sorted, and the place of each value among them."""
+    order = order_of(values)
+    found = values[order]
+    new = np.append(True, found[1:] != found[:-1])[: len(found)]
+    places = np.empty(len(values), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return found[new], places

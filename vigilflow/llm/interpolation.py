@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, blocks, mix, packed, release, span_hashes, stored, unpacked, word_spans
+from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, blocks, distinct, mix, packed, release, span_hashes, stored, unpacked, word_spans
 
-TEXT_BYTES = 8 * BLOCK_BYTES  # of the texts of a block
-PART_BYTES = 8 * BLOCK_BYTES  # of the texts whose n-grams one part counts, on average
+TEXT_BYTES = 2 * BLOCK_BYTES  # of the texts of a block
+PART_BYTES = 4 * BLOCK_BYTES  # of the texts whose n-grams one part counts, on average
 TRAIN, FOLD, TEST = 0, 1, 2
 COMPONENTS = 4  # after two words, after one, after none, uniform
 BUCKETS = 65  # by contexts of two words: 32 and up; of one word, where those are new: below 32; both new: 64
@@ -130,7 +130,7 @@ class Tokens:
         pair = mix(mix(one * MULTIPLIER + START) + self.tokens) & ~LOW
         triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & ~LOW
         keys = np.concatenate([single, pair, triple])
-        self.keys, places = np.unique(keys, return_inverse=True)
+        self.keys, places = distinct(keys)
         self.places = places.reshape(3, len(self.tokens))
 
     def own(self) -> np.ndarray:
@@ -180,7 +180,7 @@ def counted(asked: DataFrame) -> DataFrame:
         keys = [unpacked(r["_keys"], np.uint64, True) for r in rows]
         own = [unpacked(r["_own"], np.uint32) for r in rows]
         sizes = [len(k) for k in keys]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        every, at = distinct(np.concatenate(keys))
         kinds = np.repeat([r["_kind"] for r in rows], sizes)
         values = np.concatenate(own).astype(np.float64)
         total = np.bincount(at, values, len(every)).astype(np.uint64)
