@@ -5,7 +5,7 @@ uniform share.  The weights depend on how often the context was seen (buckets by
 expectation-maximisation on a tenth of the training texts, whose counts are deleted from the estimates meanwhile.
 
 Texts travel in blocks.  A block asks for each of its n-grams once: hashes are dealt by leading bits, every part
-counts what all blocks bring, and tells a block the counts that differ from the block's own.  Nothing
+counts what all blocks bring, and tells each block how much more than its own that is.  Nothing
 of the corpus passes through the driver but totals, and sums per bucket and round.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, blocks, distinct, mix, packed, release, span_hashes, stored, unpacked, word_spans
 
-TEXT_BYTES = 2 * BLOCK_BYTES  # of the texts of a block
+TEXT_BYTES = 4 * BLOCK_BYTES  # of the texts of a block
 PART_BYTES = 4 * BLOCK_BYTES  # of the texts whose n-grams one part counts, on average
 TRAIN, FOLD, TEST = 0, 1, 2
 COMPONENTS = 4  # after two words, after one, after none, uniform
@@ -28,6 +28,7 @@ BUCKETS = 65  # by contexts of two words: 32 and up; of one word, where those ar
 ROUNDS, ENOUGH = 20, 1e-4
 START, END, FIRST = (mix(np.array([x], np.uint64))[0] for x in (101, 102, 103))
 LOW = np.uint64(1)
+HASH = ~np.uint64(0xFF)  # hashes keep 56 bits; the lowest bit tells words from longer n-grams
 
 
 def with_kind(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,7 +74,7 @@ def text_blocks(rows: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
         def block(kind: int, pieces: list, key_type: pa.DataType) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            data = zstandard.ZstdCompressor(level=1).compress(b"".join(p[0] for p in pieces))
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(p[0] for p in pieces))
             ends = np.cumsum([len(p[0]) for p in pieces])
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             return pa.RecordBatch.from_arrays(
@@ -125,10 +126,9 @@ class Tokens:
         one, two = np.full_like(self.tokens, START), np.full_like(self.tokens, START)
         one[1:], two[2:] = self.tokens[:-1], self.tokens[:-2]
         one[place < 1], two[place < 2] = START, START
-        # The lowest bit tells words from longer n-grams.
-        single = mix(self.tokens * MULTIPLIER + FIRST) | LOW
-        pair = mix(mix(one * MULTIPLIER + START) + self.tokens) & ~LOW
-        triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & ~LOW
+        single = mix(self.tokens * MULTIPLIER + FIRST) & HASH | LOW
+        pair = mix(mix(one * MULTIPLIER + START) + self.tokens) & HASH
+        triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & HASH
         keys = np.concatenate([single, pair, triple])
         self.keys, places = distinct(keys)
         self.places = places.reshape(3, len(self.tokens))
@@ -139,7 +139,14 @@ class Tokens:
         return np.bincount(self.places.ravel()[weights], minlength=len(self.keys)).astype(np.uint32)
 
 
-END_KEY = mix(np.array([END], np.uint64) * MULTIPLIER + FIRST) | LOW
+    def parts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts that count the block's keys, and where in the keys each begins (and the last ends)."""
+        part = (self.keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        return part[cuts], np.append(cuts, len(part))
+
+
+END_KEY = mix(np.array([END], np.uint64) * MULTIPLIER + FIRST) & HASH | LOW
 BLOCK_COLUMNS = ["_block", "_kind", "_texts", "_ends", "_skips", "_lasts"]
 
 
@@ -151,11 +158,10 @@ def asked_counts(texts: DataFrame, bits: int) -> DataFrame:
             for row in batch.select(BLOCK_COLUMNS).to_pylist():
                 tokens = Tokens(row["_texts"], row["_ends"], row["_skips"], row["_lasts"])
                 own = tokens.own() if row["_kind"] != TEST else np.zeros(len(tokens.keys), np.uint32)
-                part = (tokens.keys >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                parts, cuts = tokens.parts(bits)
                 out = []
-                for low, high in zip(cuts[:-1], cuts[1:]):
-                    out.append((int(part[low]), packed(tokens.keys[low:high], True), packed(own[low:high])))
+                for part, low, high in zip(parts, cuts[:-1], cuts[1:]):
+                    out.append((int(part), packed(tokens.keys[low:high], True), packed(own[low:high])))
                 n = len(out)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -172,8 +178,9 @@ TOTALS = ["n", "n_kept", "words", "words_kept", "texts", "texts_kept"]
 
 
 def counted(asked: DataFrame) -> DataFrame:
-    """(_block, _known, _totals): the counts (all, without the fold) of n-grams where they differ from the block's own; and,
-    without _block, the totals of a part: tokens, different words, texts, of all training texts and without the fold."""
+    """(_block, _part, _more, _kept): how much more often all training texts, and those not in the fold (only told to blocks of
+    the fold), have each n-gram of a block and part than the block itself; and, without _block, the _totals of
+    a part: tokens, different words, texts, of all training texts and without the fold."""
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -181,34 +188,36 @@ def counted(asked: DataFrame) -> DataFrame:
         own = [unpacked(r["_own"], np.uint32) for r in rows]
         sizes = [len(k) for k in keys]
         every, at = distinct(np.concatenate(keys))
-        kinds = np.repeat([r["_kind"] for r in rows], sizes)
+        kinds = np.repeat(np.array([r["_kind"] for r in rows], np.int8), sizes)
         values = np.concatenate(own).astype(np.float64)
         total = np.bincount(at, values, len(every)).astype(np.uint64)
         kept = np.bincount(at, np.where(kinds == TRAIN, values, 0), len(every)).astype(np.uint64)
         single = (every & LOW).astype(bool)
         ends = every == END_KEY
-        totals = [x.sum() for x in (total[single], kept[single], total[single] > 0, kept[single] > 0, total[ends], kept[ends])]
-        out = []
-        for r, key, mine, place in zip(rows, keys, own, np.split(at, np.cumsum(sizes)[:-1])):
-            both, rest = total[place], kept[place]
-            new = (both != mine) | (rest != (mine if r["_kind"] == TRAIN else 0))
-            if new.any():
-                out.append((r["_block"], [packed(key[new], True), packed(both[new]), packed(rest[new])]))
-        blocks_ = pa.array([x[0] for x in out] + [None], pa.int64())
-        known = pa.array([x[1] for x in out] + [None], pa.list_(pa.binary()))
-        sums = pa.array([None] * len(out) + [[int(x) for x in totals]], pa.list_(pa.int64()))
-        return pa.table([blocks_, known, sums], ["_block", "_known", "_totals"])
-
-    return asked.groupBy("_part").applyInArrow(count, "_block long, _known array<binary>, _totals array<long>")
-
-
-def merged_counts(tokens: Tokens, kind: int, known: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the block's keys in all training texts, and in those not in the fold."""
-    own = tokens.own().astype(np.uint64) if kind != TEST else np.zeros(len(tokens.keys), np.uint64)
-    total, kept = own.copy(), own.copy() if kind == TRAIN else np.zeros(len(own), np.uint64)
-    for keys, both, rest in known:
-        at = np.searchsorted(tokens.keys, unpacked(keys, np.uint64, True))
-        total[at], kept[at] = unpacked(both, np.uint64), unpacked(rest, np.uint64)
+        totals = [int(x.sum()) for x in (total[single], kept[single], total[single] > 0, kept[single] > 0, total[ends], kept[ends])]
+        places = np.split(at, np.cumsum(sizes)[:-1])
+        more = [packed(total[place] - mine) for place, mine in zip(places, own)]
+        rest = [packed(kept[place]) if r["_kind"] == FOLD else None for r, place in zip(rows, places)]
+        n = len(rows)
+        arrays = [
+            pa.array([r["_block"] for r in rows] + [None], pa.int64()), pa.array([r["_part"] for r in rows] + [None], pa.int32()),
+            pa.array(more + [None], pa.binary()), pa.array(rest + [None], pa.binary()), pa.array([None] * n + [totals], pa.list_(pa.int64())),
+        ]
+        return pa.table(arrays, ["_block", "_part", "_more", "_kept", "_totals"])
+
+    return asked.groupBy("_part").applyInArrow(count, "_block long, _part int, _more binary, _kept binary, _totals array<long>")
+
+
+def told_counts(tokens: Tokens, kind: int, known: dict[int, tuple[bytes, bytes | None]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's keys in all training texts, and (for a block of the fold) in those not in the fold."""
+    total = tokens.own().astype(np.uint64) if kind != TEST else np.zeros(len(tokens.keys), np.uint64)
+    kept = np.zeros(len(tokens.keys), np.uint64)
+    parts, cuts = tokens.parts(bits)
+    for part, low, high in zip(parts.tolist(), cuts[:-1], cuts[1:]):
+        more, rest = known[part]
+        total[low:high] += unpacked(more, np.uint64)
+        if rest is not None:
+            kept[low:high] = unpacked(rest, np.uint64)
     return total, kept
 
 
@@ -233,40 +242,35 @@ def usable(n: int) -> np.ndarray:
     return out
 
 
-def grouped(texts: DataFrame, known: DataFrame) -> DataFrame:
+def grouped(texts: DataFrame, known: DataFrame):
     """The blocks, each with what it was told, in one group: as much as a block has n-grams."""
-    left = texts.withColumn("_known", F.lit(None).cast("array<binary>"))
-    right = known.where("_block is not null").select("_block", "_known")
-    return left.unionByName(right, allowMissingColumns=True).groupBy("_block")
+    left = texts.withColumns({"_part": F.lit(None).cast("int"), "_more": F.lit(None).cast("binary"), "_kept": F.lit(None).cast("binary")})
+    return left.unionByName(known.select("_block", "_part", "_more", "_kept"), allowMissingColumns=True).groupBy("_block")
 
 
-def _block(table: pa.Table) -> tuple[dict | None, Tokens | None, np.ndarray | None, np.ndarray | None]:
+def read_block(table: pa.Table, bits: int) -> tuple[dict, Tokens, np.ndarray, np.ndarray]:
     """The block of a group, its tokens and counts."""
-    row, known = None, []
+    known, row = {}, {}
     for r in table.to_pylist():
         if r["_texts"] is None:
-            known.append(r["_known"])
+            known[r["_part"]] = r["_more"], r["_kept"]
         else:
             row = r
-    if row is None:
-        return None, None, None, None
     tokens = Tokens(row["_texts"], row["_ends"], row["_skips"], row["_lasts"])
-    return row, tokens, *merged_counts(tokens, row["_kind"], known)
+    return row, tokens, *told_counts(tokens, row["_kind"], known, bits)
 
 
-def held_out_events(texts: DataFrame, known: DataFrame, totals: dict[str, int]) -> DataFrame:
+def held_out_events(texts: DataFrame, known: DataFrame, bits: int, totals: dict[str, int]) -> DataFrame:
     """(_bucket, _parts) packed, by block of the fold: what the kept texts say of its tokens."""
     n, words, documents = totals["n_kept"], totals["words_kept"], totals["texts_kept"]
-    told = known.join(texts.where(F.col("_kind") == FOLD).select("_block").hint("merge"), "_block", "left_semi")
 
     def run(table: pa.Table) -> pa.Table:
-        row, tokens, _, kept = _block(table)
-        if row is None:
-            return pa.table([pa.array([], pa.binary())] * 2, ["_bucket", "_parts"])
+        _, tokens, _, kept = read_block(table, bits)
         bucket, parts = estimates(tokens, kept, n, documents, words)
         return pa.table([pa.array([bucket.astype(np.uint8).tobytes()]), pa.array([parts.astype(np.float32).tobytes()])], ["_bucket", "_parts"])
 
-    return grouped(texts.where(F.col("_kind") == FOLD), told).applyInArrow(run, "_bucket binary, _parts binary")
+    fold = grouped(texts.where(F.col("_kind") == FOLD), known.where("_kept is not null"))
+    return fold.applyInArrow(run, "_bucket binary, _parts binary")
 
 
 def learn_weights(events: DataFrame, n: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -312,7 +316,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     known = stored(counted(asked_counts(texts, bits)), "counts")
     sums = known.where("_block is null").select(*(F.sum(F.get("_totals", F.lit(i))) for i in range(len(TOTALS)))).first()
     totals = {name: int(x or 0) for name, x in zip(TOTALS, sums)}
-    events = stored(held_out_events(texts, known, totals), "events")
+    events = stored(held_out_events(texts, known, bits, totals), "events")
     n, words, documents = totals["n"], totals["words"], totals["texts"]
     weights = learn_weights(events, n)
     release(events)
@@ -320,25 +324,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     def run(table: pa.Table) -> pa.Table:
         names = ["_row", "_key", "_test", "_n", "_seen", "_base", "_score"]
-        row, tokens, counts, _ = _block(table)
-        if row is None:
-            row = {"_rows": [], "_keys": [], "_kind": TRAIN}
-            found = [np.zeros(0)] * 4
-        else:
-            bucket, parts = estimates(tokens, counts, n, documents, words)
-            owner, pieces = tokens.text[tokens.asked], len(row["_rows"])
-            seen = counts[tokens.places[0]][tokens.asked].astype(np.float64)
-            logs = np.log10((parts * weights[bucket].T).sum(axis=0))
-            base = np.log10((seen + 0.5) / (n + 0.5 * (words + 1)))
-            found = [np.bincount(owner, w, pieces) for w in (np.ones(len(owner)), seen > 0, base, logs)]
+        row, tokens, counts, _ = read_block(table, bits)
+        bucket, parts = estimates(tokens, counts, n, documents, words)
+        owner, pieces = tokens.text[tokens.asked], len(row["_rows"])
+        seen = counts[tokens.places[0]][tokens.asked].astype(np.float64)
+        logs = np.log10((parts * weights[bucket].T).sum(axis=0))
+        base = np.log10((seen + 0.5) / (n + 0.5 * (words + 1)))
+        found = [np.bincount(owner, w, pieces) for w in (np.ones(len(owner)), seen > 0, base, logs)]
         key_field = table.schema.field("_keys").type.value_type
         columns = [
-            pa.array(row["_rows"], pa.int64()), pa.array(row["_keys"], key_field), pa.array([row["_kind"] == TEST] * len(row["_rows"]), pa.bool_()),
+            pa.array(row["_rows"], pa.int64()), pa.array(row["_keys"], key_field), pa.array([row["_kind"] == TEST] * pieces, pa.bool_()),
             *(pa.array(x.astype(np.int64)) for x in found[:2]), *(pa.array(x.astype(np.float64)) for x in found[2:]),
         ]
         return pa.table(columns, names)
 
-    pieces = grouped(texts, known).applyInArrow(run, f"_row long, _key {key_type}, _test boolean, _n long, _seen long, _base double, _score double")
+    told = known.where("_block is not null")
+    pieces = grouped(texts, told).applyInArrow(run, f"_row long, _key {key_type}, _test boolean, _n long, _seen long, _base double, _score double")
     whole = pieces.groupBy("_row").agg(F.first("_key").alias(key), F.first("_test").alias("held_out"), *(F.sum(c).alias(c) for c in ("_n", "_seen", "_base", "_score")))
     return whole.select(
         key, "held_out", F.col("_n").alias("n_tokens"), F.col("_seen").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
