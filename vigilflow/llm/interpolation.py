@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, blocks, distinct, mix, packed, release, span_hashes, stored, unpacked, word_spans
 
-TEXT_BYTES = 4 * BLOCK_BYTES  # of the texts of a block
+TEXT_BYTES = 3 * BLOCK_BYTES  # of the texts of a block
 PART_BYTES = 4 * BLOCK_BYTES  # of the texts whose n-grams one part counts, on average
 TRAIN, FOLD, TEST = 0, 1, 2
 COMPONENTS = 4  # after two words, after one, after none, uniform
@@ -28,7 +28,8 @@ BUCKETS = 65  # by contexts of two words: 32 and up; of one word, where those ar
 ROUNDS, ENOUGH = 20, 1e-4
 START, END, FIRST = (mix(np.array([x], np.uint64))[0] for x in (101, 102, 103))
 LOW = np.uint64(1)
-HASH = ~np.uint64(0xFF)  # hashes keep 56 bits; the lowest bit tells words from longer n-grams
+# Hashes keep 56 bits, those of three words, most of all, 52; the lowest bit tells words from longer n-grams.
+HASH, TRIPLE = ~np.uint64(0xFF), ~np.uint64(0xFFF)
 
 
 def with_kind(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,7 +129,7 @@ class Tokens:
         one[place < 1], two[place < 2] = START, START
         single = mix(self.tokens * MULTIPLIER + FIRST) & HASH | LOW
         pair = mix(mix(one * MULTIPLIER + START) + self.tokens) & HASH
-        triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & HASH
+        triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & TRIPLE
         keys = np.concatenate([single, pair, triple])
         self.keys, places = distinct(keys)
         self.places = places.reshape(3, len(self.tokens))

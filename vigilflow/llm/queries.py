@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilflow.llm import chat, dart_minhash, decontaminate, filter_audit, interpolation, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
+from vigilflow.llm import alignment, chat, dart_minhash, decontaminate, filter_audit, interpolation, licences, line_dedup, packing, quality, radix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,3 +256,15 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_deleted_interpolation")
 def op13_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     return interpolation.score(table(spark, folder, "documents"))
+
+
+def two_tokenizers() -> tuple[alignment.ByteTokens, alignment.PieceTokens]:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.ByteTokens(path("byte_bpe_50k.json"), public_tokenizers.PATTERN), alignment.PieceTokens(path("piece_bpe_32k.model"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), two_tokenizers)
