@@ -315,7 +315,11 @@ def _stat(name: str, where: str, gap: str) -> str:
        {_stat('dst2src', f'NOT ({_SIDE})', 'own_gap')} FROM p GROUP BY 1, 2, 3""",
 )
 def t7(spark, sf):
-    rows = packets_to_flows(packets(spark, sf), idle=IDLE, active=ACTIVE)
+    return shown_flows(packets_to_flows(packets(spark, sf), idle=IDLE, active=ACTIVE))
+
+
+def shown_flows(rows):
+    """The columns of flow records that the checking SQL has."""
     user = F.greatest("src_port", "dst_port") - 1000
     shown = []
     for side in ("bidirectional", "src2dst", "dst2src"):

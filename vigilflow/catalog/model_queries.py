@@ -42,15 +42,19 @@ def m6(spark, sf):
     return _scored(spark, sf).select(*V.FLOW_KEY, "group_pred", "attack_type", S.confidence("probabilities").alias("confidence"))
 
 
+_TIE = ["duration_log", "slow_indicator", "pkts_per_duration", "bytes_per_duration"]
+
+
 @query(
     "M8_prediction_rows",
-    f"""SELECT md5('rules|' || flow_key || '|' || flow_line || '|' || l_partkey || '|' || l_suppkey) AS id, attack_type, confidence, attack_type <> 'BENIGN' AS is_attack,
-       {V.sql_severity('attack_type')} AS severity, 'rules' AS model FROM
-       (SELECT *, {_CLASS} AS attack_type, {_CONFIDENCE} AS confidence FROM (SELECT *, {_GROUP} AS grp FROM {_ENGINEERED}))""",
+    f"""SELECT CASE WHEN copy = 1 THEN id ELSE md5(id || '|' || copy) END AS id, attack_type, confidence, attack_type <> 'BENIGN' AS is_attack,
+       {V.sql_severity('attack_type')} AS severity, 'rules' AS model FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(f'"{c}"' for c in _TIE)}) AS copy FROM
+       (SELECT *, md5('rules|' || flow_key || '|' || flow_line || '|' || l_partkey || '|' || l_suppkey) AS id, {_CLASS} AS attack_type, {_CONFIDENCE} AS confidence
+        FROM (SELECT *, {_GROUP} AS grp FROM {_ENGINEERED})))""",
 )
 def m8(spark, sf):
     at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    rows = S.prediction_rows(_scored(spark, sf), V.FLOW_KEY, "rules", at)
+    rows = S.prediction_rows(_scored(spark, sf), V.FLOW_KEY, "rules", at, tie=_TIE)
     return rows.select("id", "attack_type", "confidence", "is_attack", "severity", "model")
 
 
@@ -154,14 +158,26 @@ def o5(spark, sf):
     return feature_table(S.rank_features(_importance(spark, sf)), 6).withColumn("rank", F.col("rank").cast("long"))
 
 
+_BEST = sorted(V.FLOW_FEATURES)[:8]
+_RANKS = {name: len(_BEST) - i for i, name in enumerate(_BEST)}  # names and ranks run against each other
+_TOP6 = sorted(_RANKS, key=_RANKS.get)[:6]
+
+
+def _scaled_sql(name: str) -> str:
+    spread = f"""(SELECT CASE WHEN stddev_pop("{name}") = 0 THEN 1 ELSE stddev_pop("{name}") END FROM flows_v)"""
+    return f"""round(CAST(CAST(("{name}" - (SELECT avg("{name}") FROM flows_v)) / {spread} AS FLOAT) AS DOUBLE), 4)"""
+
+
 @query(
     "M9_row_top_features",
-    f"""SELECT {KEYS}, 'Total Fwd Packets=' || {V.sql_fixed('"Total Fwd Packets"', 4)} || ',SYN Flag Count=' || {V.sql_fixed('"SYN Flag Count"', 4)} AS top FROM flows_v""",
+    f"""SELECT {KEYS}, {V.text(",".join(f"{n}:{_RANKS[n]}" for n in _TOP6))} AS names, {", ".join(f"{_scaled_sql(n)} AS v{i}" for i, n in enumerate(_TOP6))} FROM flows_v""",
 )
 def m9(spark, sf):
-    best = S.top_features(V.FLOW_FEATURES, {"SYN Flag Count": 2, "Total Fwd Packets": 1}, 2)
-    cell = F.transform(best, lambda e: F.concat(e["name"], F.lit("="), e["value"].cast("decimal(18,4)").cast("string")))
-    return V.flows(spark, sf).select(*V.FLOW_KEY, F.array_join(cell, ",").alias("top"))
+    rows = V.flows(spark, sf)
+    scaled = S.scale(rows, S.fit_scaler(rows, V.FLOW_FEATURES)).withColumn("top", S.top_features(V.FLOW_FEATURES, _RANKS))
+    names = F.array_join(F.transform("top", lambda e: F.concat_ws(":", e["name"], e["rank"].cast("string"))), ",")
+    values = [F.get("top", i)["value"].alias(f"v{i}") for i in range(len(_TOP6))]
+    return scaled.select(*V.FLOW_KEY, names.alias("names"), *values)
 
 
 @query(
@@ -274,7 +290,7 @@ def m11_reloaded(spark, sf):
     model, _, _ = _trained(spark, sf)
     path = fresh_folder(spark, "model")
     model.save(path)
-    flows = V.flows(spark, sf)
-    first, again = (m.transform(flows).select(*V.FLOW_KEY, "attack_type") for m in (model, FlowClassifier.load(path)))
-    both = first.join(again.withColumnRenamed("attack_type", "second"), V.FLOW_KEY)
+    flows, at = V.flows(spark, sf), F.lit(V.AS_OF).cast("timestamp_ntz")
+    first, again = (S.prediction_rows(m.transform(flows), V.FLOW_KEY, model.name, at).select("id", "attack_type") for m in (model, FlowClassifier.load(path)))
+    both = first.join(again.withColumnRenamed("attack_type", "second"), "id")
     return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("attack_type") != F.col("second")).alias("different"))

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilflow.catalog import views as V
 from vigilflow.catalog.alert_queries import _repeat_sql
-from vigilflow.catalog.capture_queries import _SHOWN, _templated_sql, templated_packets
-from vigilflow.catalog.registry import query
+from vigilflow.catalog.capture_queries import ACTIVE, IDLE, _PACKET, _SHOWN, _templated_sql, shown_flows, templated_packets
+from vigilflow.catalog.registry import ORACLES, query
 from vigilflow.functions.lookup import class_group, class_severity
+from vigilflow.operators.flows import bidirectional_key
 from vigilflow.operators.history import enrich_predictions
 from vigilflow.operators.response import eligible
 from vigilflow.session import ROCKSDB, checkpoint_root
-from vigilflow.streaming import live, state
+from vigilflow.streaming import flows, live, state
 
 
 def _folder(spark) -> str:
@@ -45,15 +46,25 @@ def _placed(stream: DataFrame) -> DataFrame:
     )
 
 
-def _in_parts(spark, sf, root: str, parts: int = 4) -> DataFrame:
-    """The predictions as a stream of ``parts`` micro-batches in time order."""
+def _event_parts(spark, sf, root: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of ``parts`` micro-batches in time order; events without a time come first.
+
+    Edges are approximate quantiles; each part is written by as many tasks as read it, into files of its own
+    name, and a micro-batch takes the files of one part.
+    """
     events = spark.read.parquet(f"{sf}/events.parquet")
-    edges = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [i / parts for i in range(parts + 1)]).alias("e")).first()["e"]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = events.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] or []
+    part = sum((F.when(at >= edge, 1).otherwise(0) for edge in edges), F.lit(0))
+    files = 4
     for i in range(parts):  # one write each, so that the files have an order
-        inside = (at >= edges[i]) & ((at < edges[i + 1]) if i + 1 < parts else F.lit(True))
-        events.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/input")
-    stream = live.read_stream(spark, f"{root}/input", events.schema, files_per_batch=1)
+        events.filter(part == i).repartition(files).write.mode("append").parquet(f"{root}/input")
+    return live.read_stream(spark, f"{root}/input", events.schema, files_per_batch=files)
+
+
+def _in_parts(spark, sf, root: str, parts: int = 4) -> DataFrame:
+    """The predictions as a stream of ``parts`` micro-batches in time order."""
+    stream = _event_parts(spark, sf, root, parts)
     stream = stream.select(*[F.expr(sql).alias(name) for name, sql in V.PREDICTION.items()])
     return live.event_time(enrich_predictions(stream), "created_at", "1 day")
 
@@ -120,12 +131,30 @@ def t6(spark, sf):
     """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
        s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
        SELECT user_id, epoch_us(min(ts)) AS first_seen, count(*) AS packets, CAST(sum(CAST(floor(value * 10) AS BIGINT)) AS BIGINT) AS bytes FROM s
-       GROUP BY user_id, n HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+       GROUP BY user_id, n""",
 )
 def t7(spark, sf):
-    stream = live.event_time(_events(spark, sf), "ts", "1 day").withColumn("bytes", F.floor(F.col("value") * 10).cast("long"))
-    rows = _finish(live.live_sessions(stream, ["user_id"], "ts", "15 minutes"), spark)
-    return rows.select("user_id", F.unix_micros("first_seen").alias("first_seen"), "packets", "bytes")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    root = _folder(spark)
+    none = {c: F.lit(None).cast(k) for c, k in (("src_ip", "string"), ("src_port", "int"), ("dst_ip", "string"), ("dst_port", "int"))}
+    stream = live.event_time(_event_parts(spark, sf, root), "ts", "1 hour")
+    packets = stream.withColumns({"bytes": F.floor(F.col("value") * 10).cast("long"), "packet_id": F.col("event_id"), **none})
+    # Of a session the next event comes in less than 15 minutes; it has no end by age.
+    rows = flows.live_flows(packets, ["user_id"], idle=900 - 1e-6, active=1e9)
+    flows.follow_flows(rows, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    found = flows.current_flows(spark, f"{root}/rows", ["user_id"])
+    return found.select("user_id", F.col("flow_start").alias("first_seen"), F.col("bidirectional_packets").alias("packets"), F.col("bidirectional_bytes").alias("bytes"))
+
+
+@query("T7_live_flows", ORACLES["T7_packets_to_flows"])
+def t7_flows(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    root = _folder(spark)
+    stream = _event_parts(spark, sf, root).select(*[F.expr(v).alias(k) for k, v in _PACKET.items()])
+    packets = bidirectional_key(live.event_time(stream, "ts", "2 hours"))
+    rows = flows.live_flows(packets, idle=IDLE, active=ACTIVE)
+    flows.follow_flows(rows, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return shown_flows(flows.current_flows(spark, f"{root}/rows"))
 
 
 def _detected(spark, sf) -> live.LiveTables:

@@ -22,7 +22,7 @@ Cut = int | Callable[[Column], Column]
 BROADCAST_GROUPS = 100_000
 
 
-def digest(seed: int, *keys: Column | str) -> Column:
+def digest(seed: int | str, *keys: Column | str) -> Column:
     """Reproducible random order: md5 of the seed and a unique row key (distinct keys give distinct texts)."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[key_text(k) for k in keys]))
 

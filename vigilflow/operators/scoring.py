@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vigilflow import lookups as L
 from vigilflow.functions.lookup import class_severity, lookup
 from vigilflow.functions.numbers import finite_or
+from vigilflow.operators.ranking import digest
 
 UNRANKED = 999
 
@@ -106,8 +107,6 @@ def rank_features(importance: DataFrame) -> DataFrame:
 
     The table has one row per feature, so one task may order it.
     """
-    from pyspark.sql import Window
-
     total = importance.groupBy("feature").agg(F.sum("importance").alias("importance"))
     return total.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature")))
@@ -148,14 +147,21 @@ def best_ranked(features: Column, n: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda e: e["f"])
 
 
-def prediction_rows(scored: DataFrame, key: list[str], model: str, at: Column, ms_per_flow: Column | None = None) -> DataFrame:
+def prediction_rows(
+    scored: DataFrame, key: list[str], model: str, at: Column, ms_per_flow: Column | None = None, tie: list[str] | None = None
+) -> DataFrame:
     """Complete scored rows into predictions.
 
-    The id is a digest of the row key and the model, hence the same on a retry.
+    The id is a digest of the model, the row key (nulls and separators told apart) and the row's number among those of equal
+    key, in the order of the ``tie`` columns (by default of a hash of all plain ones); hence the same on a retry, and unique
+    whatever the keys.
     """
-    return scored.withColumns(
+    plain = [F.col(f"`{f.name}`") for f in scored.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    same = Window.partitionBy("_key").orderBy(*([F.col(f"`{c}`") for c in tie] if tie else [F.xxhash64(*plain)]))
+    numbered = scored.withColumn("_key", digest(model, *(F.col(f"`{k}`") for k in key))).withColumn("_copy", F.row_number().over(same))
+    return numbered.withColumns(
         {
-            "id": F.md5(F.concat_ws("|", F.lit(model), *[F.col(k).cast("string") for k in key])),
+            "id": F.when(F.col("_copy") == 1, F.col("_key")).otherwise(F.md5(F.concat_ws("|", "_key", "_copy"))),
             "confidence": confidence("probabilities"),
             "is_attack": F.col("attack_type") != L.BENIGN,
             "severity": class_severity("attack_type"),
@@ -163,7 +169,7 @@ def prediction_rows(scored: DataFrame, key: list[str], model: str, at: Column, m
             "model": F.lit(model),
             "created_at": at,
         }
-    )
+    ).drop("_key", "_copy")
 
 
 # -- rule stand-in for a trained model --------------------------------------

@@ -11,12 +11,13 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow import lookups as L
 from vigilflow.functions.features import map_netflow
 from vigilflow.functions.network import flow_direction, resolve_vlans
-from vigilflow.operators.timeline import carry_forward
+from vigilflow.operators.joins import BROADCAST_BYTES, match, planned_bytes
+from vigilflow.session import cut_lineage, fresh_folder
 
 RECORD = [
     "src_ip", "dst_ip", "src_port", "dst_port", "pkts", "octets", "out_pkts", "out_octets",
@@ -123,42 +124,80 @@ def walk_templates(body: bytes) -> Iterator[tuple[int, list[tuple[int, int, int]
         yield template, layout, pos
 
 
-def split_sets(packets: DataFrame) -> DataFrame:
-    """One row per template definition or data set of v9/IPFIX datagrams."""
+def split_sets(packets: DataFrame, only: str | None = None) -> DataFrame:
+    """One row per template definition or data set of v9/IPFIX datagrams.
+
+    ``only``: 'data' gives data sets alone; 'templates' gives definitions and, without body, one row per exporter, source,
+    template and hour that a batch has data sets of.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in SET_SCHEMA.replace("struct<type: int, pos: int, len: int>", "s").split(", ")]
         for batch in batches:
-            rows = []
+            rows, hours = [], set()
             for exporter, ts, number, data in batch.itertuples(index=False):
                 own_template_set = 0 if data[:2] == b"\x00\x09" else 2
                 step = 0
                 for source, set_id, body in walk_sets(data):
                     if set_id == own_template_set:
                         for template, layout, size in walk_templates(body):
-                            fields = [{"type": t, "pos": p, "len": n} for t, p, n in layout]
-                            rows.append((exporter, ts, number, step, source, template, fields, size, None))
+                            if only != "data":
+                                fields = [{"type": t, "pos": p, "len": n} for t, p, n in layout]
+                                rows.append((exporter, ts, number, step, source, template, fields, size, None))
                             step += 1
                     elif set_id >= 256:
-                        rows.append((exporter, ts, number, step, source, set_id, None, None, body))
+                        if only == "templates":
+                            hours.add((exporter, source, set_id, None if pd.isna(ts) else ts.floor("h")))
+                        else:
+                            rows.append((exporter, ts, number, step, source, set_id, None, None, body))
                         step += 1
-            yield pd.DataFrame(rows, columns=names)
+            rows += [(exporter, hour, None, None, source, template, None, None, None) for exporter, source, template, hour in hours]
+            yield pd.DataFrame(rows, columns=names).astype({"packet_no": "Int64", "set_no": "Int32", "record_size": "Int32"})
 
     chosen = packets.filter(version().isin(9, 10)).select("exporter", "recv_ts", "packet_no", "payload")
     return chosen.mapInPandas(split, SET_SCHEMA)
 
 
-def attach_templates(sets: DataFrame) -> DataFrame:
-    """Data sets with the latest template defined before them; others are dropped."""
-    template = F.when(F.col("layout").isNotNull(), F.struct("layout", "record_size"))
-    keyed = sets.withColumns({"_t": template, "_hour": F.date_trunc("HOUR", "recv_ts")})
-    seen = carry_forward(
-        keyed, ["exporter", "source_id", "template_id"], ["recv_ts", "packet_no", "set_no"], "_t", "_hour", "_known"
-    )
-    return seen.filter(F.col("body").isNotNull() & F.col("_known").isNotNull()).select(
-        "exporter", "recv_ts", "packet_no", "set_no", "body",
-        F.col("_known.layout").alias("layout"), F.col("_known.record_size").alias("record_size"),
-    )
+TEMPLATE = ["exporter", "source_id", "template_id"]
+ORDER = ["recv_ts", "packet_no", "set_no"]
+
+
+def template_versions(found: DataFrame) -> DataFrame:
+    """(exporter, source_id, template_id, hour, _from, _to, layout, record_size): which definition holds when, by hour.
+
+    ``found`` has definitions and the hours with data (``split_sets(only='templates')``).  A definition that
+    repeats the one before is none of its own.  In each hour with data the latest earlier one holds from the
+    start on; an interval ends where the next begins.  Windows are per key and hour, or over one row for each.
+    """
+    timed = found.withColumns({"hour": F.date_trunc("HOUR", "recv_ts"), "_t": F.when(F.col("layout").isNotNull(), F.struct("layout", "record_size"))})
+    hours = timed.select(*TEMPLATE, "hour").distinct()
+    at = F.struct(*ORDER)
+    defined = timed.where(F.col("_t").isNotNull())
+    local = Window.partitionBy(*TEMPLATE, "hour").orderBy(*ORDER)
+    news = defined.withColumn("_before", F.lag("_t").over(local)).where(F.col("_before").isNull() | (F.col("_before") != F.col("_t")))
+    news = news.select(*TEMPLATE, "hour", at.alias("_from"), "_t")
+    last = defined.groupBy(*TEMPLATE, "hour").agg(F.max_by("_t", at).alias("_t"))
+    each = match(hours, last, [*TEMPLATE, "hour"])
+    before = Window.partitionBy(*TEMPLATE).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(*TEMPLATE, "hour", F.lit(None).cast(news.schema["_from"].dataType).alias("_from"), F.last("_t", ignorenulls=True).over(before).alias("_t"))
+    every = news.unionByName(carried.where(F.col("_t").isNotNull()))
+    following = Window.partitionBy(*TEMPLATE, "hour").orderBy(F.asc_nulls_first("_from"))
+    return every.withColumn("_to", F.lead("_from").over(following)).select(*TEMPLATE, "hour", "_from", "_to", "_t.*")
+
+
+def attach_templates(sets: DataFrame, versions: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Data sets with the latest template defined before them; others are dropped.
+
+    ``versions`` is a stored table, so its size is that of its files.  Within ``limit`` bytes it is
+    broadcast and no body moves; beyond it, both sides meet by key and hour.
+    """
+    data = sets.where(F.col("body").isNotNull()).drop("layout", "record_size").withColumn("hour", F.date_trunc("HOUR", "recv_ts"))
+    renamed = versions.withColumnsRenamed({c: f"_{c}" for c in [*TEMPLATE, "hour"]})
+    at = F.struct(*ORDER)
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*TEMPLATE, "hour"]]
+    on += [F.col("_from").isNull() | (F.col("_from") <= at), F.col("_to").isNull() | (at < F.col("_to"))]
+    side = F.broadcast(renamed) if planned_bytes(versions) <= limit else renamed.hint("merge")
+    return data.join(side, on).select("exporter", "recv_ts", "packet_no", "set_no", "body", "layout", "record_size")
 
 
 def decode_sets(ready: DataFrame) -> DataFrame:
@@ -184,9 +223,15 @@ def decode_sets(ready: DataFrame) -> DataFrame:
     )
     r = F.col("r")
 
+    # One lambda each for the plain numbers and the four counters keeps the generated code small.
+    plain = [
+        "L4_SRC_PORT", "L4_DST_PORT", "PROTOCOL", "TCP_FLAGS", "SRC_VLAN", "DST_VLAN",
+        "FLOW_END_MS", "FLOW_START_MS", "LAST_SWITCHED", "FIRST_SWITCHED",
+    ]
+    rows = rows.withColumn("_numbers", F.transform(F.array(*[F.col(f"slots.{n}") for n in plain]), lambda s: unsigned(r, s["pos"], s["len"])))
+
     def number(name: str) -> Column:
-        s = F.col(f"slots.{name}")
-        return unsigned(r, s["pos"], s["len"])
+        return F.get("_numbers", plain.index(name))
 
     def address(name: str) -> Column:
         s = F.col(f"slots.{name}")
@@ -196,7 +241,6 @@ def decode_sets(ready: DataFrame) -> DataFrame:
     def counted(name: str) -> Column:
         return F.coalesce(number(name), F.lit(0).cast("long"))
 
-    # One lambda for the four counters keeps the generated code small.
     totals = ["IN_PKTS", "IN_BYTES", "OUT_PKTS", "OUT_BYTES"]
     places = [F.col(f"slots.{name}") for name in totals]
     digits = F.array(*[F.hex(F.substring(r, s["pos"] + 1, s["len"])) for s in places])
@@ -225,9 +269,23 @@ def decode_sets(ready: DataFrame) -> DataFrame:
     ).filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
 
 
+def stored_versions(packets: DataFrame) -> DataFrame:
+    """The template versions of v9 and IPFIX datagrams, stored in the shared folder."""
+    spark = packets.sparkSession
+    folder = fresh_folder(spark, "templates")
+    # The walk's few rows are read several times.
+    found = cut_lineage(spark, split_sets(packets, "templates"))
+    versions = template_versions(found)
+    versions.write.parquet(folder)
+    return spark.read.schema(versions.schema).parquet(folder)
+
+
 def decode_templated(packets: DataFrame) -> DataFrame:
-    """v9 and IPFIX records; both share the templates of an exporter."""
-    return decode_sets(attach_templates(split_sets(packets)))
+    """v9 and IPFIX records; both share the templates of an exporter.
+
+    A first walk over the datagrams finds the definitions; the second one decodes, and moves no body.
+    """
+    return decode_sets(attach_templates(split_sets(packets, "data"), stored_versions(packets)))
 
 
 def decode(packets: DataFrame) -> DataFrame:
