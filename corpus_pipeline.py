@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilflow.llm import dart_minhash, decontaminate, line_dedup, packing, toxicity
-from vigilflow.llm.common import release, stored
+from vigilflow.llm.common import TEXT_ROWS, release, stored
 from vigilflow.llm.queries import table, word_encoder
 
 
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole table of documents."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name, TEXT_ROWS)
         if before is not None:
             release(before)
         before = docs

@@ -17,6 +17,17 @@ def test_markup_is_reversible(turns):
     assert text.count("<|im_start|>") == text.count("<|im_end|>") == len(turns)
 
 
+def test_odd_records_get_no_turns_and_end_no_job(spark):
+    deep = "[" * 900 + "]" * 900
+    odd = ['{"messages": ["hi"]}', '{"messages": [null]}', '{"messages[]": 1}', '{"messages[.]": 1}', deep, '{"messages": ' + deep + "}", '{"messages": [[]]}',
+           '{"messages": [{"role": "user", "content": "a"}, null]}', '{"a.b": {"c": [1, {}]}}', '{"messages": [{}]}']
+    frame = spark.createDataFrame([(t,) for t in odd], "record string")
+    got = chat.canonical(frame).collect()
+    assert len(got) == len(odd) and all(r["layout"] is None and r["turns"] == [] for r in got)
+    paths = [chat.field_paths(v) for v in ({"m": []}, {"m": ["x"]}, {"m": [[]]}, {"m[.]": 1}, {"m[]": 1}, {"m": {"n": 1}}, {"m.n": 1}, {"m": {}}, {"m{}": 1})]
+    assert len({frozenset(p) for p in paths}) == len(paths)
+
+
 def test_layouts_are_found_by_their_paths(spark):
     records = {
         "messages": {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]},
@@ -50,7 +61,7 @@ def test_one_fingerprint_per_tree_of_paths(spark):
 
 def test_field_paths():
     value = {"a": 1, "b": [{"c": "x"}, {"d": [[2]]}], "e": [], "f": {}, "g.h": None}
-    assert chat.field_paths(value) == {"a", "b[].c", "b[].d[][]", "e[]", "f{}", "g\\.h"}
+    assert chat.field_paths(value) == {"a", "b[].c", "b[].d[][]", "e[.]", "f{}", "g\\.h"}
 
 
 def test_nulls_ties_repeats_and_long_texts(spark):

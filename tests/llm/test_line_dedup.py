@@ -4,6 +4,7 @@ import duckdb
 
 from tools.check import rows_of
 from vigilflow.llm.line_dedup import dedup_lines
+from vigilflow.llm.queries import ORACLES
 
 
 def brute(rows, least):
@@ -59,31 +60,7 @@ def test_short_runs_of_many_words(spark):
     assert deep == {3: 0, 4: 2}
 
 
-PASSAGES = r"""
-WITH lines AS (
-  SELECT doc_id, i, lines[i] AS line, len(lines) AS n
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
-), windows AS (
-  SELECT doc_id, i, size, w FROM (
-    SELECT doc_id, i, unnest([1, 2, 3]) AS size, unnest([line, line || chr(10) || lead(line) OVER d,
-      line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d]) AS w
-    FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
-  ) WHERE w IS NOT NULL AND (size = 3 OR len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) > 50)
-), later AS (
-  SELECT doc_id, i, size FROM (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, w ORDER BY doc_id, i) AS copy FROM windows)
-  WHERE copy > 1
-), gone AS (
-  SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 3) t(k) WHERE k < size
-), marked AS (
-  SELECT l.doc_id, l.i, l.line, l.n, g.i IS NOT NULL AS cut FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i
-), runs AS (
-  SELECT *, cut AND coalesce(NOT lag(cut) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins FROM marked
-)
-SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN line END, chr(10) ORDER BY i), '') AS text,
-  n AS n_lines, count(*) FILTER (cut) AS n_removed, count(*) FILTER (begins) AS n_runs
-FROM runs GROUP BY doc_id, n
-"""
+PASSAGES = ORACLES["op2_line_dedup"]
 
 
 def test_long_passages_equal_sql(spark):

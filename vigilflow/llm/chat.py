@@ -42,7 +42,7 @@ class Layout:
     def path_sets(self) -> list[set[str]]:
         """Sets of field paths that this layout covers, every choice of optional fields included."""
         if self.list:
-            return [{f"{self.list}[].{self.role}", f"{self.list}[].{self.text}"}, {f"{self.list}[]"}]
+            return [{f"{self.list}[].{self.role}", f"{self.list}[].{self.text}"}, {f"{self.list}[.]"}]
         fixed = {f for _, fields in self.turns for f in fields if f not in self.optional}
         choices = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
         return [fixed | set(c) for c in choices]
@@ -80,13 +80,16 @@ def _text(value) -> str:
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """Paths of all fields of a JSON value; list positions do not count, empty lists and objects end a path."""
+    """Paths of all fields of a JSON value; list positions do not count, empty lists and objects end a path.
+
+    An empty list has a path that no other value has; dots and brackets in names are escaped.
+    """
     if isinstance(value, dict):
-        name = lambda key: key.replace("\\", "\\\\").replace(".", "\\.")
+        name = lambda key: re.sub(r"([\\.\[{])", r"\\\1", key)
         parts = [field_paths(v, f"{at}.{name(k)}" if at else name(k)) for k, v in value.items()]
         return set().union(*parts) or {f"{at}{{}}"}
     if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) or {f"{at}[]"}
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) or {f"{at}[.]"}
     return {at}
 
 
@@ -98,7 +101,7 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     """Adds ``fingerprint``, ``layout`` and ``turns`` (array of role, text); columns of these names are replaced.
 
     The fingerprint is the hash of the record's set of field paths.  Unknown layouts get a null layout and no turns; broken
-    records (null, empty, no JSON) a null fingerprint, too; nothing is dropped.  Counts by fingerprint tell
+    records (null, empty, no JSON, nested beyond Python's depth) a null fingerprint, too; nothing is dropped.  Counts by fingerprint tell
     which layouts to declare next.  Records may have any length.
     """
     known = {fingerprint(paths): layout for layout in layouts for paths in layout.path_sets()}
@@ -109,9 +112,9 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     def read(text: str | None) -> tuple[str | None, str | None, list[dict]]:
         try:
             value = json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+            mark = fingerprint(field_paths(value))
         except (TypeError, ValueError, RecursionError):
             return None, None, []
-        mark = fingerprint(field_paths(value))
         layout = known.get(mark)
         return mark, layout and layout.name, layout.read(value) if layout else []
 

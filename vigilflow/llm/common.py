@@ -139,6 +139,18 @@ def _span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
     return mix(value ^ (stops - starts).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed, as its worker process goes on with other tasks."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
     """Integers as zstd of their byte planes; ``rising``: of the differences of sorted unsigned values."""
     import zstandard

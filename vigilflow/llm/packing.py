@@ -20,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vigilflow.llm.common import blocks
+from vigilflow.llm.common import blocks, give_back
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 1 << 17
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+CACHE_BYTES = 48 << 20  # of words and ids, about a third of what their entries take
 
 
 class WordEncoder:
@@ -33,7 +34,7 @@ class WordEncoder:
     Exact for tokenizers that drop white space and never look across it: each word has the
     ids it has in its text.  Words of letters with a final point or comma, most of all words, are
     encoded many at a time; all others one by one, by the tokenizer itself.  The cache
-    is emptied beyond ``CACHE_WORDS`` entries.
+    is emptied beyond ``CACHE_WORDS`` entries or ``CACHE_BYTES``.
     """
 
     def __init__(self, path: str):
@@ -44,6 +45,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _one_by_one(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -88,13 +90,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         split = [text.replace("\n", " ").split(" ") for text in texts]
         self.cache.setdefault("", b"")
         new = set().union(*split).difference(self.cache)
         if new:
             self.learn(list(new))
+            self.held += sum(len(w) + len(self.cache[w]) for w in new)
         known = self.cache.__getitem__
         for words in split:
             yield b"".join(map(known, words))
@@ -238,6 +242,9 @@ def pack(
         if key_type is not None:
             packer.finish()
             yield emit()
+        del words, packer
+        open_docs.clear()
+        give_back()
 
     schema = f"`{key}` {kind}, {SCHEMA}" + (", ids binary" if ids else "")
     return docs.select(key, text).mapInArrow(run, schema)

@@ -9,15 +9,17 @@ counts by its worst window.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilflow.llm.common import ALNUM, blocks, mix, span_hashes, utf8, word_spans
+from vigilflow.llm.common import ALNUM, blocks, give_back, mix, span_hashes, utf8, word_spans
 
 WINDOW, STRIDE = 64, 48
 HIDDEN = 8
@@ -412,6 +414,11 @@ def fit(
     return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64), base_rate)
 
 
+def shipped_by_value(docs: DataFrame, model: Model) -> Broadcast:
+    """The model as bytes that hold its class, too: workers need not have this package."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: key, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
@@ -419,12 +426,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     share of label 1 as its score.  Nothing is shuffled; the model (20 MB) is broadcast.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = shipped_by_value(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(pickle.loads(shipped.value))
         for batch in blocks(batches, text):
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(scorer.scores(batch.column(text)))], [key, "score"])
+        del scorer
+        give_back()
 
     scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -432,11 +441,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all others stay as they are."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = shipped_by_value(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(pickle.loads(shipped.value))
         for batch in blocks(batches, text):
             yield batch.filter(pa.array(scorer.scores(batch.column(text)) < threshold))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
