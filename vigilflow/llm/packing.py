@@ -24,8 +24,8 @@ from vigilflow.llm.common import blocks, give_back
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 1 << 17
-CACHE_WORDS = 400_000
-CACHE_BYTES = 48 << 20  # of words and ids, about a third of what their entries take
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20  # of words and ids, about a third of what their entries take
 
 
 class WordEncoder:

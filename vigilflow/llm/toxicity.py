@@ -411,7 +411,12 @@ def fit(
     joined = some.join(F.broadcast(parts[0].union(parts[1])), key)
     rows = joined.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(sum(per_label)).select("_text", "_label").collect()
     base_rate = totals.get(1, 0) / max(1, sum(totals.values()))
-    return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64), base_rate)
+    texts, known = [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64)
+    del rows
+    give_back()
+    model = train(texts, known, base_rate)
+    give_back()
+    return model
 
 
 def shipped_by_value(docs: DataFrame, model: Model) -> Broadcast:
