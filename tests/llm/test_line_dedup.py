@@ -1,9 +1,10 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
+from os.path import commonprefix
 
 import duckdb
 
 from tools.check import rows_of
-from vigilflow.llm.line_dedup import dedup_lines
+from vigilflow.llm.line_dedup import dedup_lines, suffix_array
 from vigilflow.llm.queries import ORACLES
 
 
@@ -71,3 +72,26 @@ def test_long_passages_equal_sql(spark):
     assert rows_of(frame.columns, rows) == rows_of(result.columns, result.fetchall())
     by_lines = dedup_lines(spark.read.parquet(path).select("doc_id", "text"), long_words=None)
     assert {r["doc_id"]: r["n_removed"] for r in by_lines.collect()} != {r[0]: r[3] for r in rows}
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    rows = [*ROWS[:11], (12, "\n".join(f"l{i % 5}" for i in range(20))), (13, "p\nq1\na\nb\nc\nd"), (14, "p\nq2\na\nb\nc"), (14, "p\nq2\na\nb\nc")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_array(frame, "doc_id", "text").orderBy("_part", "_rank", "doc_id", "_h", "_line").collect()
+    lines = {k: (t or "").split("\n") for k, t in rows}
+    often = Counter(line for k, t in rows for line in (t or "").split("\n"))
+    assert sorted((r["doc_id"], r["_line"]) for r in got) == sorted((k, i) for k, ls in lines.items() for i, x in enumerate(ls) if often[x] > 1)
+    suffixes = [lines[r["doc_id"]][r["_line"] :] for r in got]
+    common = [len(commonprefix([a, b])) for a, b in zip(suffixes, suffixes[1:])]
+    assert [r["_lcp"] for r in got] == [0, *common]
+    # In a sorted array the longest common prefix of any suffix is one with a neighbour.
+    for i, suffix in enumerate(suffixes):
+        longest = max(len(commonprefix([suffix, other])) for j, other in enumerate(suffixes) if i != j)
+        assert max([0, *common][i], [*common, 0][i]) == longest
+
+
+def test_one_very_long_line_and_one_very_long_document(spark):
+    line, passage = "w " * 500_000, "\n".join(f"line {i}" for i in range(3_000))
+    rows = [(1, line), (2, f"x\n{line}"), (3, passage), (4, f"y\n{passage}\nz")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (line, 0, 0), 2: ("x", 1, 1), 3: (passage, 0, 0), 4: ("y\nz", 3_000, 1)}
