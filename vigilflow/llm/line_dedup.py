@@ -72,13 +72,14 @@ def _at(frame: DataFrame, place: list[str], shift: Column, **columns: str) -> tu
 
 def _doubled(ranks: DataFrame, place: list[str], shift: int) -> DataFrame:
     """Ranks by twice as many lines: those of equal rank by ``shift`` lines are ordered by the suffixes ``shift`` lines on."""
-    tail, same = _at(ranks, place, F.lit(shift), _next="_rank", _lonely="_alone")
+    tail, same = _at(ranks.where(F.col("_line") >= shift), place, F.lit(shift), _next="_rank", _lonely="_alone")
     whole = F.col("_line") + shift >= F.col("_n_lines")
     active = ranks.where("not _done").join(tail.hint("merge"), same, "left").select(
         *ranks.columns, whole.alias("_whole"),
         F.when(whole, F.lit(WHOLE)).otherwise(F.coalesce("_next", F.lit(LONELY))).cast("long").alias("_code"),
         (~whole & F.coalesce("_lonely", F.lit(True))).alias("_unlike"),
     )
+    active = stored(active, "active")  # counted first, then given its ranks
     order = ["_rank", "_code", "_unlike"]
     dealt = _dealt(active.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")), order, "codes")
     upto = _running(dealt, order, {"_upto": F.col("_n")}).select(
@@ -93,7 +94,7 @@ def _doubled(ranks: DataFrame, place: list[str], shift: int) -> DataFrame:
         F.col("_single").alias("_alone"), (F.col("_single") | F.col("_whole")).alias("_done"),
     )
     out = stored(ranks.where("_done").unionByName(moved), f"rank{2 * shift}")
-    release(dealt, upto, starts)
+    release(active, dealt, upto, starts)
     return out
 
 
@@ -126,19 +127,23 @@ def suffix_array(docs: DataFrame, key: str, text: str, asked=lambda lines: F.lit
     pairs = stored(pairs, "neighbours")
     release(dealt)
     top = pairs.where("not _equal").agg(F.max("_agree")).first()[0] or 0
+    asking = (F.col("_agree") >= 2) & ~F.col("_equal")  # the others part within two lines, or never
+    known, asked_again = pairs.where(~asking), pairs.where(asking)
+    kept = None
     for level in range(top - 2, -1, -1):
-        before = pairs
-        asking = (F.col("_agree") >= level + 2) & ~F.col("_equal")
-        here, same = _at(ranks, place, F.col("_lcp"), _path="_path", _alone="_alone")
-        there, also = _at(ranks.withColumnsRenamed({c: f"_p{c}" for c in place}), [f"_p{c}" for c in place], F.col("_lcp"), _path2="_path", _alone2="_alone")
-        both = pairs.where(asking).join(here.hint("merge"), same, "left").join(there.hint("merge"), also, "left")
+        before, now = kept, (F.col("_agree") >= level + 2) & ~F.col("_equal")
+        far = ranks.where(F.col("_line") >= 2 << level)  # those who ask have so many lines in common at least
+        here, same = _at(far, place, F.col("_lcp"), _path="_path", _alone="_alone")
+        there, also = _at(far.withColumnsRenamed({c: f"_p{c}" for c in place}), [f"_p{c}" for c in place], F.col("_lcp"), _path2="_path", _alone2="_alone")
+        both = asked_again.where(now).join(here.hint("merge"), same, "left").join(there.hint("merge"), also, "left")
         ended = F.coalesce((F.col("_path") == F.col("_path2")) & ~F.col("_alone") & ~F.col("_alone2"), F.lit(False))
         step = F.when(ended, F.col("_n_lines") - F.col("_line") - F.col("_lcp")).when(F.get("_path", F.lit(level)) == F.get("_path2", F.lit(level)), 1 << level)
         both = both.select(*(c for c in pairs.columns if c not in ("_lcp", "_equal")), ended.alias("_equal"), (F.col("_lcp") + F.coalesce(step, F.lit(0))).alias("_lcp"))
-        pairs = stored(pairs.where(~asking).unionByName(both), f"lcp{level}")
-        release(before)
-    out = stored(pairs.select(*place, "_n_lines", "_words", "_rank", "_part", "_lcp"), "array")
-    release(pairs, ranks)
+        kept = asked_again = stored(asked_again.where(~now).unionByName(both), f"lcp{level}")
+        if before is not None:
+            release(before)
+    out = stored(known.unionByName(asked_again).select(*place, "_n_lines", "_words", "_rank", "_part", "_lcp"), "array")
+    release(pairs, ranks, *([kept] if kept is not None else []))
     return out
 
 
