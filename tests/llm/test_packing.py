@@ -66,6 +66,31 @@ def test_pieces_hold_the_documents(spark, tokenizer):
     assert {r["doc_tokens"] for r in got if r["doc_id"] == 2} == {1, 2}
 
 
+def test_step_groups_balance_over_all_tasks(spark, monkeypatch):
+    from vigilflow.llm import packing
+
+    r = random.Random(4)
+    rows = [(i, "word " * r.choice([3, 90, 300, 700, 1500, 3000, 9000])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for step, limit in ((1 << 13, None), (1 << 17, None), (1 << 10, None), (1 << 13, 0)):
+        monkeypatch.setattr(packing, "STEP_TOKENS", step)
+        if limit is not None:  # the way of tables beyond the broadcast size
+            join = packing.lookup_join
+            monkeypatch.setattr(packing, "lookup_join", lambda *a, join=join: join(*a, limit=limit))
+        tokens, tiers, windows = {}, {}, {}
+        pieces = pack(frame, word_encoder).collect()
+        assert sum(p["length"] for p in pieces) == sum(n for n in {p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
+        for p in pieces:
+            assert tiers.setdefault(p["step_group"], p["tier"]) == p["tier"] == p["step_group"] >> 40
+            assert windows.setdefault(p["sequence_id"], p["step_group"]) == p["step_group"]
+            tokens[p["step_group"]] = tokens.get(p["step_group"], 0) + p["length"]
+        for tier in set(tiers.values()):
+            own = {g: n for g, n in tokens.items() if tiers[g] == tier}
+            assert max(own.values()) - min(own.values()) in (0, tier)
+            assert len(own) == min(-(-sum(own.values()) // step), sum(own.values()) // tier)
+            assert sorted(g - (tier << 40) for g in own) == list(range(len(own)))
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), word_encoder).collect() == []
 

@@ -3,7 +3,8 @@
 The remainder of a document (what full windows leave over) goes to the tier of the
 smallest window that holds it.  Tiers are packed from long to short: every window is opened by
 a remainder of its own tier, and its gap is filled from shorter tiers, cut where the gap
-ends.  Windows of one tier form step groups of equal token counts.
+ends.  Step groups balance over all tasks: the windows of a tier are numbered by the counts of (task, tier) and dealt
+evenly, so that two groups of a tier differ by one window at most.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
-from vigilflow.llm.common import blocks, give_back
+from vigilflow.llm.common import TEXT_ROWS, blocks, give_back, stored
+from vigilflow.operators.joins import lookup_join
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 1 << 17
@@ -172,6 +174,29 @@ class Packer:
         return done
 
 
+def balanced(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (a stored table) with the window's number by (task, tier) in ``step_group`` replaced by its step group.
+
+    A tier of W windows has as many groups as its tokens fill ``STEP_TOKENS``, rounded up, and one for each window at most; windows
+    are dealt in order of their number over all tasks, W divided by the groups or one more to each.  The id of a group is its tier
+    times 2^40 plus its number.  One row a (task, tier) travels; pieces stay where they are while these rows fit a broadcast.
+    """
+    slot = (F.shiftright("sequence_id", 40) * (1 << 20) + F.log2("tier").cast("long")).alias("_slot")
+    counts = pieces.where("offset = 0").groupBy(slot, "tier").agg(F.count(F.lit(1)).alias("_n"))
+    tier = Window.partitionBy("tier")
+    before = F.sum("_n").over(tier.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    total = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(tier)})
+    groups = total.withColumn("_groups", F.least("_all", F.ceil(F.col("_all") * F.col("tier") / STEP_TOKENS)).cast("long"))
+    least = F.expr("_all div _groups")
+    table = stored(groups.select("_slot", "_before", least.alias("_least"), (F.col("_all") % F.col("_groups")).alias("_larger")), "windows")
+    joined = lookup_join(pieces.withColumn("_slot", slot), table, "_slot", "sequence_id", "inner")
+    at = joined.withColumn("_at", F.col("step_group") + F.col("_before"))
+    # The first _larger groups hold one window more than the others.
+    number = F.expr("if(_at < _larger * (_least + 1), _at div (_least + 1), _larger + (_at - _larger * (_least + 1)) div _least)")
+    group = F.col("tier") * (1 << 40) + number
+    return at.select(*(group.alias(c) if c == "step_group" else F.col(f"`{c}`") for c in pieces.columns))
+
+
 SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier long, step_group long"
@@ -190,11 +215,11 @@ def pack(
     """One row per piece: key, place in its document and in its window, tier, step group; ``ids`` adds the token ids.
 
     Null texts count as empty: one piece with the end id.  Repeated rows are packed each for itself.
-    Each task packs its own rows block by block, so nothing is shuffled and memory holds one block and
+    Each task packs its own rows block by block, so no text or piece is shuffled and memory holds one block and
     the remainders that wait for a window.  Windows are full; only the last few of a task
     are shorter, of lengths that are powers of two.  ``sequence_id`` is unique over all tasks
-    (task number times 2^40 plus a count).  A step group holds ``STEP_TOKENS`` tokens of one tier
-    and task.  A task that runs again gives the same pieces for the same rows.
+    (task number times 2^40 plus a count).  A step group holds windows of one tier, about ``STEP_TOKENS`` tokens of all tasks
+    together (see ``balanced``).  A task that runs again gives the same pieces for the same rows; they are stored once.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [x.strip().split()[0] for x in SCHEMA.split(",")]
@@ -215,7 +240,7 @@ def pack(
                     windows[tier] += 1
                 row = (
                     entry[0], start, length, zlib.crc32(part), len(entry[1]) // 4, first + sequence, offset, tier,
-                    first + (tier << 24) + (windows[tier] - 1) * tier // STEP_TOKENS, bytes(part) if ids else None,
+                    windows[tier] - 1, bytes(part) if ids else None,
                 )
                 for column, value in zip(columns, row):
                     column.append(value)
@@ -247,4 +272,4 @@ def pack(
         give_back()
 
     schema = f"`{key}` {kind}, {SCHEMA}" + (", ids binary" if ids else "")
-    return docs.select(key, text).mapInArrow(run, schema)
+    return balanced(stored(docs.select(key, text).mapInArrow(run, schema), "pieces", TEXT_ROWS))
