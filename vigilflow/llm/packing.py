@@ -71,24 +71,25 @@ class WordEncoder:
         cache, odd = self.cache, []
         # One call makes all words lower case; a line end parts them, so each has the form it has by itself.
         lows = "\n".join(words).lower().split("\n")
-        plain, marks, bases = [], [], set()
-        for word, low in zip(words, lows):
-            mark = ""
-            if low[-1] == "," or low[-1] == ".":
-                low, mark = low[:-1], low[-1]
-            if not (low.isascii() or max(low) < "\u0250" and len(low) + len(mark) == len(word) and is_normalized("NFC", word)):
-                odd.append(word)
-            elif not low.isalpha():
-                odd.append(word)
+        plain, bases = [], set()
+        for word, whole in zip(words, lows):
+            mark = whole[-1]
+            low = whole[:-1] if mark == "," or mark == "." else whole
+            if low.isascii():
+                known = low.isalpha()
             else:
-                plain.append(word)
-                marks.append(mark)
-                bases.add(low)
+                known = low.isalpha() and max(low) < "\u0250" and len(whole) == len(word) and is_normalized("NFC", word)
+            if not known:
+                odd.append(word)
+                continue
+            bases.add(low)
+            if word != low:  # the others are learnt as bases
+                plain.append((word, low, mark if low is not whole else ""))
         self._many([low for low in bases if low not in cache])
         self._one_by_one([*odd, *(m for m in ".," if m not in cache)])
         ids = {"": b"", ".": cache["."], ",": cache[","]}
-        for word, mark in zip(plain, marks):
-            cache[word] = cache[(word[:-1] if mark else word).lower()] + ids[mark]
+        for word, low, mark in plain:
+            cache[word] = cache[low] + ids[mark]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -100,7 +101,7 @@ class WordEncoder:
         new = set().union(*split).difference(self.cache)
         if new:
             self.learn(list(new))
-            self.held += sum(len(w) + len(self.cache[w]) for w in new)
+            self.held += sum(map(len, new)) + sum(map(len, map(self.cache.__getitem__, new)))
         known = self.cache.__getitem__
         for words in split:
             yield b"".join(map(known, words))
