@@ -11,7 +11,7 @@ from vigilflow import lookups as L
 from vigilflow.functions import devices, messages, network, severity
 from vigilflow.functions.features import engineer, map_mirror_flows
 from vigilflow.functions.numbers import text_to_number
-from vigilflow.operators import harmonise, history, metrics
+from vigilflow.operators import analytics, harmonise, history, metrics
 from vigilflow.functions.devices import expand_interface
 from vigilflow.operators.history import page
 from vigilflow.operators.joins import lookup_join
@@ -280,3 +280,23 @@ def test_csv_row_cap_and_positions(spark, tmp_path):
     first = rows.filter("`Flow Duration` is not null").collect()
     assert sorted((int(r["Flow Duration"]), r["row_in_file"]) for r in first) == [(i, i) for i in range(10)]
     assert rows.count() == 12
+
+
+def test_rows_of_reports_come_in_order(spark):
+    rng = random.Random(5)
+    kinds = [("DoS", "high"), ("Bot", "low"), ("PortScan", "low"), ("Benign", "info")]
+    rows = [
+        (k, s, k != "Benign", rng.random(), f"2024-01-{rng.randint(1, 9):02d} {rng.randint(0, 23):02d}:30:00")
+        for k, s in (rng.choice(kinds) for _ in range(400))
+    ]
+    frame = spark.createDataFrame(rows, "attack_type string, severity string, is_attack boolean, confidence double, at string")
+    frame = frame.select("*", F.col("at").cast("timestamp_ntz").alias("created_at")).repartition(7)
+    for period, cut in (("hour", 13), ("day", 10)):
+        got = [r["period"] for r in analytics.timeline(frame, period).collect()]
+        assert got == sorted({r[4][:cut].replace(" ", "T") for r in rows})
+    trends = [(r["day"], -r["n"], r["attack_type"]) for r in analytics.attack_trends(frame).collect()]
+    assert trends == sorted(trends) and len(trends) == len({(r[0], r[4][:10]) for r in rows if r[2]})
+    top = [(-r["n"], r["attack_type"]) for r in analytics.top_attacks(frame).collect()]
+    assert top == sorted(top) and -sum(n for n, _ in top) == sum(r[2] for r in rows)
+    days = [(r["day"] is None, r["day"] or "", r["severity"]) for r in analytics.severity_by_day(frame).collect()]
+    assert days == sorted(days) and sum(d[0] for d in days) == len({r[1] for r in rows})

@@ -68,38 +68,45 @@ def statistics(df: DataFrame) -> DataFrame:
 
 
 def timeline(df: DataFrame, period: str = "hour") -> DataFrame:
-    """Total, attacks and benign per hour or day."""
-    return df.groupBy(F.date_format("created_at", PERIODS[period]).alias("period")).agg(
+    """Total, attacks and benign per hour or day, in order of time."""
+    counts = df.groupBy(F.date_format("created_at", PERIODS[period]).alias("period")).agg(
         _count().alias("total"),
         F.count_if("is_attack").alias("attacks"),
         F.count_if(~F.col("is_attack")).alias("benign"),
     )
+    return counts.orderBy("period")
 
 
-def attack_trends(df: DataFrame) -> DataFrame:
-    """Attacks per class and day."""
+def _trend_counts(df: DataFrame) -> DataFrame:
     return df.filter("is_attack").groupBy("attack_type", _day().alias("day")).agg(_count().alias("n"))
 
 
+def attack_trends(df: DataFrame) -> DataFrame:
+    """Attacks per class and day: day by day, the most frequent class first, equal ones by name."""
+    return _trend_counts(df).orderBy("day", F.desc("n"), "attack_type")
+
+
 def nested_trends(df: DataFrame) -> DataFrame:
     """One row per class with its ordered list of {day, n} (built from counts)."""
     series = F.sort_array(F.collect_list(F.struct("day", "n")))
-    return attack_trends(df).groupBy("attack_type").agg(series.alias("trend"))
+    return _trend_counts(df).groupBy("attack_type").agg(series.alias("trend"))
 
 
 def top_attacks(df: DataFrame) -> DataFrame:
-    """Count, mean confidence and severity of every attack class."""
-    return df.filter("is_attack").groupBy("attack_type").agg(
+    """Count, mean confidence and severity of every attack class, the most frequent first, equal ones by name."""
+    classes = df.filter("is_attack").groupBy("attack_type").agg(
         _count().alias("n"), F.avg("confidence").alias("avg_confidence"), F.min("severity").alias("severity")
     )
+    return classes.orderBy(F.desc("n"), "attack_type")
 
 
 def severity_by_day(df: DataFrame) -> DataFrame:
-    """Counts per severity and day plus per severity (day is null) in one pass."""
+    """Counts per severity and day plus per severity (day is null) in one pass: day by day, the totals last."""
     return (
         df.withColumn("day", _day())
         .groupingSets([["severity", "day"], ["severity"]], "severity", "day")
         .agg(_count().alias("n"))
+        .orderBy(F.asc_nulls_last("day"), "severity")
     )
 
 
