@@ -6,6 +6,8 @@ from vigilflow import lookups as L
 from vigilflow.catalog import views as V
 from vigilflow.catalog.registry import query
 from vigilflow.operators import metrics as M
+from vigilflow.plans.evaluation import evaluate, save_evaluation
+from vigilflow.session import fresh_folder
 
 METRICS = [
     "accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro", "auc", "false_alarm_rate",
@@ -106,6 +108,22 @@ def a18(spark, sf):
     return _rounded(M.report(V.labelled(spark, sf), by=("phase",)))
 
 
+@query(
+    "S15_stored_reports",
+    f"""SELECT s.phase, 'all' AS class, CAST(s."rows" AS BIGINT) AS n, s.f1_weighted AS f1, l.level1_f1 FROM ({_summary_sql('labelled_v', 'phase')}) s
+       JOIN ({_level1_sql('phase')}) l ON s.phase = l.phase
+       UNION ALL SELECT phase, class, support, round({_F1}, 6), NULL FROM {_classes_sql('labelled_v', by='phase')}""",
+)
+def s15(spark, sf):
+    """The files of an evaluation, read again: a row per phase, a row per phase and class."""
+    parts, path = evaluate(V.labelled(spark, sf), by=("phase",)), fresh_folder(spark, "report")
+    save_evaluation(parts, path)
+    whole, classes = (spark.read.schema(parts[name].schema).json(f"{path}/{name}") for name in ("summary", "classes"))
+    rows = whole.select("phase", F.lit("all").alias("class"), F.col("rows").alias("n"), F.col("f1_weighted").alias("f1"), "level1_f1")
+    rows = rows.unionByName(classes.select("phase", "class", F.col("support").alias("n"), "f1", F.lit(None).cast("double").alias("level1_f1")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("f1", "level1_f1")})
+
+
 @query("A19_class_distribution", "SELECT truth, count(*) AS n, count(*) / max(count(*)) OVER () AS share_of_max FROM labelled_v GROUP BY 1")
 def a19(spark, sf):
     return M.class_distribution(V.labelled(spark, sf), "truth")
