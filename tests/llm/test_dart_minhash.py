@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from vigilflow.llm.dart_minhash import drop_near_duplicates, near_duplicates, shingles, signatures
 
@@ -122,3 +123,15 @@ def test_shingles_of_counts():
     assert len(set(elements[owner == 0]) & set(elements[owner == 1])) == 1
     owner, _ = shingles(column, weighted=True)
     assert np.bincount(owner, minlength=5).tolist() == [11, 1, 0, 1, 0]
+
+
+def test_components_are_whole_or_raise(spark, monkeypatch):
+    from vigilflow.llm import dart_minhash
+
+    chain = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60)]
+    links = spark.createDataFrame(chain, "x long, y long")
+    got = {r["_id"]: r["_root"] for r in dart_minhash.components(links, "x", "y", "chain").collect()}
+    assert got == {**{i: 1 for i in range(1, 31)}, 40: 40, 50: 40, 60: 40}
+    monkeypatch.setattr(dart_minhash, "TURNS", 2)
+    with pytest.raises(RuntimeError):
+        dart_minhash.components(links, "x", "y", "chain")

@@ -22,6 +22,7 @@ ROWS, BANDS = 4, 24
 SIMILARITY = 0.8
 DELTA_BYTES = 1 << 19
 WORTH = 50
+TURNS = 100  # of star steps; their number grows with the logarithm of the nodes
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -265,10 +266,11 @@ def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
     """(_id, _root) of all nodes of ``links``: the smallest id of their component.
 
     Large-star and small-star steps by turns, as joins; each turn is stored, until a turn changes nothing.
+    Raises if ``TURNS`` turns are not enough, as links would be lost.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{label}-0")
     before = None
-    for turn in range(1, 100):
+    for turn in range(1, TURNS + 1):
         every = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = every.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = every.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -282,6 +284,8 @@ def components(links: DataFrame, a: str, b: str, label: str) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {TURNS} turns")
     roots = edges.groupBy(F.col("u").alias("_id")).agg(F.min("v").alias("_root"))
     return roots.union(edges.select(F.col("v").alias("_id"), F.col("v").alias("_root")).distinct())
 
