@@ -58,6 +58,9 @@ def acl_block(src_ip: Column | str, vlan: Column | str) -> Column:
     )
 
 
+# The command texts, marks and action names in the plans below are what the devices and the reports expect.
+
+
 def _port_plan(interface, src_ip, at: Column, mark: str, action: str) -> Column:
     stamp = F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
     return _commands(
