@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vigilflow.llm import toxicity as tox
 
@@ -79,3 +80,18 @@ def test_without_two_labels(spark):
         assert {r["predicted"] for r in tox.score(docs, tox.fit(docs, some)).collect()} == {0}
     assert tox.train(["x"], np.array([1]), 1.0).rate == pytest.approx(0.999)
     assert len(tox.Scorer(tox.Model.fresh()).scores(pa.array([], pa.string()))) == 0
+
+
+def test_the_sample_stays_out_of_the_driver(spark, monkeypatch):
+    rows = [(i, f"idiot moron scum {i}" if i % 3 == 0 else f"the thing is on {i}", i % 3 == 0) for i in range(300)]
+    frame = spark.createDataFrame([(i, text, int(toxic)) for i, text, toxic in rows], "doc_id long, text string, toxic int").repartition(5)
+    seen, collect = [], type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: (seen.append(self.columns), collect(self))[1])
+    model = tox.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert seen and not any("_text" in columns for columns in seen)
+    monkeypatch.undo()
+    order = [r["doc_id"] for r in frame.where(~tox.held_out("doc_id")).orderBy(F.xxhash64("doc_id")).collect()]
+    labels = np.array([int(rows[i][2]) for i in order])
+    want = tox.train([rows[i][1] for i in order], labels, labels.mean())
+    assert all((model.weights[name] == want.weights[name]).all() for name in want.weights)
+    assert (model.char == want.char).all() and (model.head == want.head).all() and model.shift == want.shift and model.rate == want.rate

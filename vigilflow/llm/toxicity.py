@@ -401,7 +401,8 @@ def fit(
     """A model from a bounded sample: of each label ``per_label`` labelled rows (those of the smallest key hashes) that are
     not held out, and of their texts those of up to ``max_chars`` characters.
 
-    The sample is all that reaches the driver.  Null keys, texts and labels are left out; a key with both labels has label 1.
+    One task trains on the sample; the totals by label and the weights (20 MB) are all that reaches the driver.  Null
+    keys, texts and labels are left out; a key with both labels has label 1.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key) & F.col(key).isNotNull())
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
@@ -409,12 +410,23 @@ def fit(
     parts = [known.where(F.col("_label") == v).orderBy(F.xxhash64(key), key).limit(per_label[v]) for v in (0, 1)]
     some = docs.where(F.length(text) <= max_chars).select(F.col(key), F.col(text).alias("_text"))
     joined = some.join(F.broadcast(parts[0].union(parts[1])), key)
-    rows = joined.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(sum(per_label)).select("_text", "_label").collect()
+    sample = joined.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(sum(per_label)).select("_text", "_label")
     base_rate = totals.get(1, 0) / max(1, sum(totals.values()))
-    texts, known = [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64)
-    del rows
-    give_back()
-    model = train(texts, known, base_rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            known += batch.column(1).to_pylist()
+        model = train(texts, np.array(known, np.int64), base_rate)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["_model"])
+        del texts, known, model
+        give_back()
+
+    # The order with its limit leaves one partition, in that order; without rows there may be none.
+    found = sample.mapInArrow(run, "_model binary").collect()
+    model = Model(**pickle.loads(found[0]["_model"])) if found else train([], np.zeros(0, np.int64), base_rate)
+    del found
     give_back()
     return model
 
