@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vigilflow.llm.dart_minhash import drop_near_duplicates, near_duplicates, shingles, signatures
+from vigilflow.llm.dart_minhash import drop_near_duplicates, near_duplicates, prefix_pairs, shingles, signatures
 
 
 def grams(text):
@@ -135,3 +135,24 @@ def test_components_are_whole_or_raise(spark, monkeypatch):
     monkeypatch.setattr(dart_minhash, "TURNS", 2)
     with pytest.raises(RuntimeError):
         dart_minhash.components(links, "x", "y", "chain")
+
+
+def test_few_pairs_of_a_large_group_are_left(spark):
+    """Copies of a center, most of them below the threshold and similar to none: their number of pairs follows that of the similar ones."""
+    r = random.Random(5)
+    center, fresh = set(range(150)), iter(range(1000, 1_000_000))
+    near = [center - set(r.sample(range(150), 8)) | {next(fresh) for _ in range(8)} for _ in range(80)]
+    far = [center - set(r.sample(range(150), n)) | {next(fresh) for _ in range(n)} for n in (r.randint(22, 40) for _ in range(300))]
+    far += [s - set(r.sample(sorted(s), 6)) | {next(fresh) for _ in range(6)} for s in far[:20]]
+    sets = {i: s for i, s in enumerate([*near, *far], 1)}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    name = lambda i: i.to_bytes(4, "big")
+    out = {i: not alike(s, center) for i, s in sets.items()}
+    rows = [
+        (name(0), name(i), name(i if out[i] else 0), name(0), len(s), 150, len(s & center), np.array(sorted(s ^ center), np.uint32).tobytes())
+        for i, s in sets.items()
+    ]
+    groups = spark.createDataFrame(rows, "_center binary, _id binary, _root binary, _main binary, _a long, _b long, _c long, _delta binary")
+    got = {frozenset(int.from_bytes(x[k], "big") for k in ("_id", "_id2")) for x in prefix_pairs(groups, 0.8).collect()}
+    want = {frozenset((i, j)) for i in sets for j in sets if i < j and (out[i] or out[j]) and alike(sets[i], sets[j])}
+    assert want and want <= got and len(got) < 3 * len(want) + len(sets)

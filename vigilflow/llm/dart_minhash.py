@@ -220,7 +220,9 @@ def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     similar only if their differences from C have x >= t(|U| + |V|) + |C| - |U & C| - |V & C| elements in common.  As U is not
     similar to C, x > t|V| + (1 - t)|C| - |V & C| whatever U is; and x >= t(|U| + |C|) - |U & C| whatever V is.  If
     two sets share x elements, any order has a shared one among the first |set| - x + 1 of both.  In the
-    order rising by frequency these prefixes hold rare elements, which few nodes share.
+    order rising by frequency these prefixes hold rare elements, which few nodes share.  And at the first element two nodes
+    share, no more can follow than either has from there on.  Elements of one node alone come before all others, so a pair
+    goes unless both hold x elements that others have, too.
     """
     t = similarity / (1 + similarity)
     size = F.octet_length("_delta") / 4
@@ -228,7 +230,8 @@ def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     loose = F.ceil(F.greatest(F.lit(1.0), t * (F.col("_a") + F.col("_b")) - F.col("_c") - 1e-6))
     nodes = groups.select(
         "_center", "_id", "_root", (F.col("_root") != F.col("_main")).alias("_out"), "_delta",
-        (size - strict).cast("long").alias("_short"), (size - loose + 1).cast("long").alias("_long"),
+        (size - strict).cast("long").alias("_short"), (size - loose + 1).cast("long").alias("_long"), size.cast("long").alias("_size"),
+        (t * F.col("_a") + F.col("_b") / 2 - F.col("_c")).alias("_part"),  # x >= the parts of U and V
     )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,29 +239,27 @@ def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
             deltas = [np.frombuffer(d.as_buffer(), np.uint32) for d in batch.column("_delta")]
             at = pa.array(np.repeat(np.arange(len(deltas)), [len(d) for d in deltas]))
             values = pa.array(np.concatenate([*deltas, np.zeros(0, np.uint32)]).astype(np.int64))
-            columns = ["_center", "_id", "_root", "_out", "_short", "_long"]
+            columns = ["_center", "_id", "_root", "_out", "_short", "_long", "_size", "_part"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), values], [*columns, "_e"])
 
-    schema = "_center binary, _id binary, _root binary, _out boolean, _short long, _long long, _e long"
+    schema = "_center binary, _id binary, _root binary, _out boolean, _short long, _long long, _size long, _part double, _e long"
     rows = stored(nodes.mapInArrow(spread, schema), "differences")
     often = rows.groupBy("_center", "_e").agg(F.count(F.lit(1)).alias("_n"), F.max("_out").alias("_any")).where("_n > 1")
     often = stored(often, "frequencies")
     common = rows.join(often.hint("merge"), ["_center", "_e"])
     # Elements of one node come first in the order but meet nobody.
-    place = Window.partitionBy("_center", "_id").orderBy("_n", "_e")
-    ranked = common.withColumn("_rank", F.row_number().over(place))
-    total = common.groupBy("_center", "_id").agg(F.count(F.lit(1)).alias("_shared"))
-    sizes = groups.select("_center", "_id", size.cast("long").alias("_size"))
-    alone = sizes.join(total.hint("merge"), ["_center", "_id"]).select("_center", "_id", (F.col("_size") - F.col("_shared")).alias("_alone"))
-    ranked = ranked.join(alone.hint("merge"), ["_center", "_id"]).withColumn("_rank", F.col("_rank") + F.col("_alone"))
+    node = Window.partitionBy("_center", "_id")
+    ranked = common.withColumns({"_place": F.row_number().over(node.orderBy("_n", "_e")), "_shared": F.count(F.lit(1)).over(node)})
+    ranked = ranked.withColumns({"_rank": F.expr("_place + _size - _shared"), "_left": F.expr("_shared - _place + 1")})
     reach = F.when(F.col("_out"), F.greatest("_short", "_long")).otherwise(F.col("_short"))
     prefixes = ranked.where(F.col("_any") & (F.col("_rank") <= reach))
-    prefixes = stored(prefixes.select("_center", "_e", "_id", "_root", "_out", (F.col("_rank") <= F.col("_short")).alias("_near")), "prefixes")
+    near = (F.col("_rank") <= F.col("_short")).alias("_near")
+    prefixes = stored(prefixes.select("_center", "_e", "_id", "_root", "_out", near, "_part", "_left"), "prefixes")
     release(rows, often)
     left = prefixes.where("_out")
-    right = prefixes.where("_near").select("_center", "_e", *(F.col(c).alias(f"{c}2") for c in ("_id", "_root", "_out")))
+    right = prefixes.where("_near").select("_center", "_e", *(F.col(c).alias(f"{c}2") for c in ("_id", "_root", "_out", "_part", "_left")))
     pairs = left.join(right.hint("merge"), ["_center", "_e"])
-    pairs = pairs.where("_root <> _root2 and (not _out2 or (_near and _id < _id2))")
+    pairs = pairs.where("_root <> _root2 and (not _out2 or (_near and _id < _id2)) and _part + _part2 - 1e-6 <= least(_left, _left2)")
     return pairs.select("_center", "_id", "_id2").distinct()
 
 
