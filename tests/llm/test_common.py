@@ -1,4 +1,5 @@
 import numpy as np
+import zstandard
 
 from vigilflow.llm import common
 from vigilflow.llm.common import distinct, packed, unpacked
@@ -28,3 +29,14 @@ def test_order_of_hashes_with_equal_leading_bits():
         assert (found == np.unique(values)).all()
         assert (unpacked(packed(found, True), np.uint64, True) == found).all()
         assert (unpacked(packed(places), np.int64) == places).all()
+
+
+def test_planes_are_packed_each_for_itself():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 1023, 1024, 5000):
+        sorted_, small = np.sort(r.integers(0, 1 << 63, n, dtype=np.uint64)) & ~np.uint64(0xFFF), r.integers(0, 3, n).astype(np.uint32)
+        assert (common.unpacked(common.packed(sorted_, True), np.uint64, True) == sorted_).all()
+        assert (common.unpacked(common.packed(small), np.uint32) == small).all()
+    words = np.sort(np.concatenate([sorted_, r.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~np.uint64(0xFF)]))
+    planes = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(len(words), 8).T.tobytes()
+    assert len(common.packed(words, True)) < 0.97 * len(zstandard.ZstdCompressor(level=1).compress(planes))

@@ -1,11 +1,15 @@
+import gc
 import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+import zstandard
 
+from vigilflow.llm import interpolation
 from vigilflow.llm.interpolation import ENOUGH, ROUNDS, cut, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,3 +131,41 @@ def test_better_than_the_base_on_texts_held_out(spark):
     rows = score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
+def test_memory_goes_back_after_each_block(monkeypatch):
+    class Frame:
+        def select(self, columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def block(text):
+        return [0, interpolation.TRAIN, zstandard.ZstdCompressor().compress(text), [len(text)], [0], [True]]
+
+    columns = list(zip(*(block(t) for t in (b"a b c", b"a b d a", b""))))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], interpolation.BLOCK_COLUMNS)
+    alive = []
+    held = lambda: sum(isinstance(x, interpolation.Tokens) for x in gc.get_objects())
+    monkeypatch.setattr(interpolation, "give_back", lambda: alive.append(held()))
+    found = list(interpolation.asked_counts(Frame(), 5)(iter([batch])))
+    assert len(found) == 3 and alive == [0, 0, 0]
+
+
+def test_batches_of_all_steps_are_bounded(spark, monkeypatch):
+    """Rows of blocks and estimates hold megabytes: a batch of many lies beside the heap of its executor."""
+    seen, learn = [], interpolation.learn_weights
+
+    def watched(events, n):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        sizes = [(len(r["_bucket"]), len(r["_parts"])) for r in events.collect()]
+        assert len(sizes) > 1 and all(a <= interpolation.EVENT_TOKENS and b == 16 * a for a, b in sizes)
+        return learn(events, n)
+
+    monkeypatch.setattr(interpolation, "learn_weights", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, "a b c d " * 3000) for i in range(100)]
+    found = score(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [f"{interpolation.BLOCK_BYTES}b"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert {(r["n_tokens"], r["n_known"]) for r in found.collect()} == {(12001, 12001)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from vigilflow.session import checkpoint_root
 SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 TEXT_ROWS = 1000
 
 
@@ -24,21 +26,33 @@ def _file_system(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None = None, size: int | None = None) -> Iterator[None]:
+    """Bounds the Arrow batches of the jobs run inside to ``rows`` rows and about ``size`` bytes; a batch lies beside the heap of its executor."""
+    before = {ARROW_ROWS: spark.conf.get(ARROW_ROWS)}
+    now = {ARROW_ROWS: str(min(int(before[ARROW_ROWS]), rows or int(before[ARROW_ROWS])))}
+    if size:
+        before[ARROW_BYTES], now[ARROW_BYTES] = spark.conf.get(ARROW_BYTES), f"{size}b"
+    try:
+        for key, value in now.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """``df`` written as Parquet to a fresh folder of the shared checkpoint folder, read again.
 
     Cuts the lineage: a lost executor costs the running stage only.  Shuffle files of the steps before
     can go, which a collection of the driver's garbage allows.  The folder goes by ``release`` or when the driver ends.
-    ``batch_rows`` bounds the Arrow batches of this step where rows hold whole texts.
+    ``batch_rows`` and ``batch_bytes`` bound the Arrow batches of this step where rows hold whole texts or more.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    rows = spark.conf.get(ARROW_ROWS)
-    try:
-        spark.conf.set(ARROW_ROWS, str(min(int(rows), batch_rows or int(rows))))
+    with arrow_batches(spark, batch_rows, batch_bytes):
         df.write.parquet(folder)
-    finally:
-        spark.conf.set(ARROW_ROWS, rows)
     files, path = _file_system(spark, folder)
     files.deleteOnExit(path.getParent())
     gc.collect()
@@ -152,13 +166,21 @@ def give_back() -> None:
 
 
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
-    """Integers as zstd of their byte planes; ``rising``: of the differences of sorted unsigned values."""
+    """Integers as zstd of their byte planes; ``rising``: of the differences of sorted unsigned values.
+
+    The planes of many values are blocks of their own in the frame: bytes of one plane are more alike than those of all.
+    """
     import zstandard
 
     if rising:
         values = np.diff(values, prepend=values.dtype.type(0))
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    whole = zstandard.ZstdCompressor(level=1)
+    if len(values) < 1024:
+        return whole.compress(planes.tobytes())
+    frame = whole.compressobj(size=planes.size)
+    parts = [frame.compress(plane.tobytes()) + frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) for plane in planes]
+    return b"".join([*parts, frame.flush()])
 
 
 def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, blocks, distinct, mix, packed, release, span_hashes, stored, unpacked, word_spans
+from vigilflow.llm.common import BLOCK_BYTES, MULTIPLIER, TEXT_ROWS, arrow_batches, blocks, distinct, give_back, mix, packed, release, span_hashes, stored, unpacked, word_spans
 
 TEXT_BYTES = 3 * BLOCK_BYTES  # of the texts of a block
 PART_BYTES = 4 * BLOCK_BYTES  # of the texts whose n-grams one part counts, on average
+EVENT_TOKENS = 1 << 15  # of a row of estimates
 TRAIN, FOLD, TEST = 0, 1, 2
 COMPONENTS = 4  # after two words, after one, after none, uniform
 BUCKETS = 65  # by contexts of two words: 32 and up; of one word, where those are new: below 32; both new: 64
@@ -100,6 +101,8 @@ def text_blocks(rows: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
                         held[kind] = 0
         for kind, pieces in waiting.items():
             yield block(kind, pieces, key_type)
+        waiting.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -124,15 +127,19 @@ class Tokens:
         place = np.arange(len(self.text)) - np.append(0, np.cumsum(counts))[self.text]
         self.asked = place >= np.array(skips, np.int64)[self.text]
         self.first = place == 0
+        del raw, begin, finish, text, words
+        self.keys, places = distinct(self._keys(place))
+        self.places = places.astype(np.int32).reshape(3, len(self.tokens))
+
+    def _keys(self, place: np.ndarray) -> np.ndarray:
+        """Hashes of the words, pairs and triples that end at each token, one after the other."""
         one, two = np.full_like(self.tokens, START), np.full_like(self.tokens, START)
         one[1:], two[2:] = self.tokens[:-1], self.tokens[:-2]
         one[place < 1], two[place < 2] = START, START
         single = mix(self.tokens * MULTIPLIER + FIRST) & HASH | LOW
         pair = mix(mix(one * MULTIPLIER + START) + self.tokens) & HASH
         triple = mix(mix(mix(two * MULTIPLIER + END) + one) + self.tokens) & TRIPLE
-        keys = np.concatenate([single, pair, triple])
-        self.keys, places = distinct(keys)
-        self.places = places.reshape(3, len(self.tokens))
+        return np.concatenate([single, pair, triple])
 
     def own(self) -> np.ndarray:
         """How often each key of the block ends at a token of its own (not of a piece before)."""
@@ -156,7 +163,8 @@ def asked_counts(texts: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(BLOCK_COLUMNS).to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).select(BLOCK_COLUMNS).to_pylist()[0]
                 tokens = Tokens(row["_texts"], row["_ends"], row["_skips"], row["_lasts"])
                 own = tokens.own() if row["_kind"] != TEST else np.zeros(len(tokens.keys), np.uint32)
                 parts, cuts = tokens.parts(bits)
@@ -171,6 +179,8 @@ def asked_counts(texts: DataFrame, bits: int) -> DataFrame:
                     ],
                     ["_block", "_part", "_kind", "_keys", "_own"],
                 )
+                del row, tokens, own, parts, cuts, out
+                give_back()
 
     return texts.select(BLOCK_COLUMNS).mapInArrow(run, "_block long, _part int, _kind int, _keys binary, _own binary")
 
@@ -184,6 +194,7 @@ def counted(asked: DataFrame) -> DataFrame:
     a part: tokens, different words, texts, of all training texts and without the fold."""
 
     def count(table: pa.Table) -> pa.Table:
+        give_back()  # what the part before has left
         rows = table.to_pylist()
         keys = [unpacked(r["_keys"], np.uint64, True) for r in rows]
         own = [unpacked(r["_own"], np.uint32) for r in rows]
@@ -251,6 +262,7 @@ def grouped(texts: DataFrame, known: DataFrame):
 
 def read_block(table: pa.Table, bits: int) -> tuple[dict, Tokens, np.ndarray, np.ndarray]:
     """The block of a group, its tokens and counts."""
+    give_back()  # what the block before has left
     known, row = {}, {}
     for r in table.to_pylist():
         if r["_texts"] is None:
@@ -262,13 +274,15 @@ def read_block(table: pa.Table, bits: int) -> tuple[dict, Tokens, np.ndarray, np
 
 
 def held_out_events(texts: DataFrame, known: DataFrame, bits: int, totals: dict[str, int]) -> DataFrame:
-    """(_bucket, _parts) packed, by block of the fold: what the kept texts say of its tokens."""
+    """(_bucket, _parts) packed, by ``EVENT_TOKENS`` tokens of a block of the fold: what the kept texts say of them."""
     n, words, documents = totals["n_kept"], totals["words_kept"], totals["texts_kept"]
 
     def run(table: pa.Table) -> pa.Table:
         _, tokens, _, kept = read_block(table, bits)
         bucket, parts = estimates(tokens, kept, n, documents, words)
-        return pa.table([pa.array([bucket.astype(np.uint8).tobytes()]), pa.array([parts.astype(np.float32).tobytes()])], ["_bucket", "_parts"])
+        some = [slice(i, i + EVENT_TOKENS) for i in range(0, len(bucket), EVENT_TOKENS)]
+        columns = [bucket[s].astype(np.uint8).tobytes() for s in some], [parts[:, s].astype(np.float32).tobytes() for s in some]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], ["_bucket", "_parts"])
 
     fold = grouped(texts.where(F.col("_kind") == FOLD), known.where("_kept is not null"))
     return fold.applyInArrow(run, "_bucket binary, _parts binary")
@@ -314,12 +328,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     texts = stored(text_blocks(with_kind(docs, key, text), size), "texts", TEXT_ROWS)
     total = texts.agg(F.sum("_size")).first()[0] or 0
     bits = max(5, int(np.ceil(np.log2(max(1, total / PART_BYTES)))))
-    known = stored(counted(asked_counts(texts, bits)), "counts")
+    known = stored(counted(asked_counts(texts, bits)), "counts", batch_bytes=BLOCK_BYTES)
     sums = known.where("_block is null").select(*(F.sum(F.get("_totals", F.lit(i))) for i in range(len(TOTALS)))).first()
     totals = {name: int(x or 0) for name, x in zip(TOTALS, sums)}
-    events = stored(held_out_events(texts, known, bits, totals), "events")
+    events = stored(held_out_events(texts, known, bits, totals), "events", batch_bytes=BLOCK_BYTES)
     n, words, documents = totals["n"], totals["words"], totals["texts"]
-    weights = learn_weights(events, n)
+    with arrow_batches(docs.sparkSession, size=BLOCK_BYTES):
+        weights = learn_weights(events, n)
     release(events)
     key_type = docs.schema[key].dataType.simpleString()
 
