@@ -110,3 +110,16 @@ def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 1)
     encoder = WordEncoder(public_tokenizers.path(PATH))
     assert [x for t in texts for x in encoder.encode([t])] == want
+
+
+def test_words_of_latin_letters_and_signs_are_encoded_together(tokenizer, monkeypatch):
+    r = random.Random(2)
+    letters = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and len(c.lower()) == 1 and c not in "ıĸŉſİ"]
+    words = {r.choice(letters + ["the", "Er"]) + "".join(r.choice("etaoinNSß") for _ in range(r.randint(0, 12))) + r.choice(["", ".", ",###", '"%%%', "-"]) for _ in range(4000)}
+    words |= {"aaaaaaaaa", "<", "a<", "x</w>", "x<|endoftext|>", "don't", "a'", "I'll.", "été's", "ét", "a\x1c", "ab1", "日本."}
+    words, rare, found = sorted(words), [], word_encoder()
+    one_by_one = found._one_by_one
+    monkeypatch.setattr(found, "_one_by_one", lambda some: (rare.extend(some), one_by_one(some)))
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert list(found.encode(words)) == want
+    assert len(rare) < 15 and {"don't", "x<|endoftext|>", "ab1"} <= set(rare)

@@ -9,11 +9,11 @@ evenly, so that two groups of a tier differ by one window at most.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
-from itertools import count
-from unicodedata import is_normalized
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vigilflow.llm.alignment import byte_letters
 from vigilflow.llm.common import TEXT_ROWS, blocks, give_back, stored
 from vigilflow.operators.joins import lookup_join
 
@@ -28,14 +29,50 @@ TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 1 << 17
 CACHE_WORDS = 1_000_000
 CACHE_BYTES = 64 << 20  # of words and ids, about a third of what their entries take
+END_MARK = "</w>"
+# Latin letters of one lower-case letter each, then signs: the tokenizer parts them between the two and nowhere else; a sign that
+# begins a contraction is not among them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ķĹ-ňŊ-ž"
+PLAIN = rf"^[{LETTERS}]+[!-&(-/:-@\[-`{{-~]*$"
+
+
+class WordPieces:
+    """Ids of lower-case pretokens, many at a time, by a faster library: its ranks are the file's merges in their order.
+
+    A line end stands for the end-of-word mark; the ranks before all merges join it to the byte before it.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, vocabulary = byte_letters(), model["vocab"]
+        names = sorted(letters, key=letters.__getitem__)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ranks: dict[bytes, int] = {}
+        self.ids = np.zeros(512 + len(pairs), "<u4")
+        for rank, token in enumerate([*names, *(name + END_MARK for name in names), *(a + b for a, b in pairs)]):
+            body = bytes(letters[c] for c in token.removesuffix(END_MARK))
+            if b"\n" not in body or rank < 512:  # no word has a line end
+                ranks.setdefault(body + b"\n" * token.endswith(END_MARK), rank)
+            self.ids[rank] = vocabulary.get(token, 0)
+        self.ends = np.zeros(len(self.ids), bool)
+        self.ends[[rank for token, rank in ranks.items() if token.endswith(b"\n")]] = True
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pretokens of ``text``, each with a line end after it, and where each ends among the ids."""
+        ranks = np.array(self.encoding.encode_ordinary(text), np.int64)
+        return self.ids[ranks], np.flatnonzero(self.ends[ranks]) + 1
 
 
 class WordEncoder:
     """Token ids of whole texts, kept per blank-separated word.
 
     Exact for tokenizers that drop white space and never look across it: each word has the
-    ids it has in its text.  Words of letters with a final point or comma, most of all words, are
-    encoded many at a time; all others one by one, by the tokenizer itself.  The cache
+    ids it has in its text.  Words of Latin letters with signs after them, most of all words, are
+    encoded many at a time by ``WordPieces``; all others one by one, by the tokenizer itself.  The cache
     is emptied beyond ``CACHE_WORDS`` entries or ``CACHE_BYTES``.
     """
 
@@ -43,53 +80,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces = WordPieces(path)
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
+    def _plain(self, words: pa.Array, known: list[str]) -> None:
+        """Words that match ``PLAIN``, in both forms."""
+        parted = pc.replace_substring_regex(pc.utf8_lower(words), rf"^([{LETTERS}]+)([^{LETTERS}])", "\\1\n\\2")
+        ids, stops = self.pieces.encode("\n".join([*parted.to_pylist(), ""]))
+        last = np.cumsum(1 + pc.not_equal(pc.binary_length(parted), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        if len(stops) != last[-1] or stops[-1] != len(ids):
+            self._one_by_one(known)
+            return
+        raw, ends = ids.tobytes(), (stops[last - 1] * 4).tolist()
+        self.cache.update(zip(known, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
     def _one_by_one(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.cache[word] = np.array(found.ids, "<u4").tobytes()
 
-    def _many(self, words: list[str]) -> None:
-        """Lower-case words of Latin letters: each is one pretoken, so end-of-word marks tell them apart."""
-        for start in range(0, len(words), 5000):
-            part = words[start : start + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
-                self._one_by_one(part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(part, (stops * 4).tolist()):
-                self.cache[word] = raw[begin:stop]
-                begin = stop
-
     def learn(self, words: list[str]) -> None:
-        cache, odd = self.cache, []
-        # One call makes all words lower case; a line end parts them, so each has the form it has by itself.
-        lows = "\n".join(words).lower().split("\n")
-        plain, bases = [], set()
-        for word, whole in zip(words, lows):
-            mark = whole[-1]
-            low = whole[:-1] if mark == "," or mark == "." else whole
-            if low.isascii():
-                known = low.isalpha()
-            else:
-                known = low.isalpha() and max(low) < "\u0250" and len(whole) == len(word) and is_normalized("NFC", word)
-            if not known:
-                odd.append(word)
-                continue
-            bases.add(low)
-            if word != low:  # the others are learnt as bases
-                plain.append((word, low, mark if low is not whole else ""))
-        self._many([low for low in bases if low not in cache])
-        self._one_by_one([*odd, *(m for m in ".," if m not in cache)])
-        ids = {"": b"", ".": cache["."], ",": cache[","]}
-        for word, low, mark in plain:
-            cache[word] = cache[low] + ids[mark]
+        array = pa.array(words, pa.large_string())
+        plain = pc.match_substring_regex(array, PLAIN)
+        known = list(compress(words, plain.to_pylist()))
+        if known:
+            self._plain(array.filter(plain), known)
+        self._one_by_one(array.filter(pc.invert(plain)).to_pylist())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
