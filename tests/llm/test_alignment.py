@@ -1,12 +1,14 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
 import public_tokenizers
 import pyarrow.parquet as pq
 
+from vigilflow.llm import alignment
 from vigilflow.llm.alignment import ByteTokens, PieceTokens, align, merged, text_pieces
 from vigilflow.llm.queries import two_tokenizers
 
@@ -132,3 +134,21 @@ def test_heap_merge():
         want.update(dict(zip(k.tolist(), c.tolist())))
     keys, sums = merged(streams)
     assert dict(zip(keys.tolist(), sums.tolist())) == want and (np.diff(keys.astype(np.int64)) > 0).all()
+
+
+def test_a_merge_does_not_hold_its_streams_as_lists():
+    keys, counts = np.arange(4000, dtype=np.uint64) + np.uint64(1 << 40), np.full(4000, 1000, np.uint64)
+    tracemalloc.start()
+    got = merged([(keys, counts)] * 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == keys).all() and (got[1] == 64_000).all()
+    assert peak < 6e6  # 256000 pairs of numbers take three times that
+
+
+def test_counts_of_a_partition_travel_in_small_batches(spark, libraries, monkeypatch):
+    steps, store = {}, alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df, label, *a, **k: steps.setdefault(label, k) and None or store(df, label, *a, **k))
+    rows = texts()[:40]
+    check(libraries, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, records=300, fan_in=4)
+    assert steps["contributions"] == {"batch_bytes": alignment.BLOCK_BYTES}

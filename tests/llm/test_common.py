@@ -40,3 +40,13 @@ def test_planes_are_packed_each_for_itself():
     words = np.sort(np.concatenate([sorted_, r.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~np.uint64(0xFF)]))
     planes = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(len(words), 8).T.tobytes()
     assert len(common.packed(words, True)) < 0.97 * len(zstandard.ZstdCompressor(level=1).compress(planes))
+
+
+def test_memory_is_given_back_after_the_last_batch(monkeypatch):
+    ended = []
+    monkeypatch.setattr(common, "give_back", lambda: ended.append(len(seen)))
+    seen = []
+    step = common.giving_back(lambda batches: (2 * x for x in batches))
+    for x in step(iter([1, 2, 3])):
+        seen.append(x)
+    assert seen == [2, 4, 6] and ended == [3]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from vigilflow.llm.common import BLOCK_BYTES, TEXT_ROWS, blocks, packed, release, stored, unpacked
+from vigilflow.llm.common import BLOCK_BYTES, TEXT_ROWS, blocks, giving_back, packed, release, stored, unpacked
 
 RADIX_BITS = 6
 RUN_RECORDS = 1 << 21  # links held before a run is written
 RUN_DOCS = 1 << 18
 FAN_IN = 64
+MERGE_STEP = 256  # keys of a stream that the heap takes out at a time
 ID_BITS, DOC_BITS = 18, 20  # a record is one number of 64 bits: partition, rest of the second id, first id, document
 TEXT_PIECE = 1 << 18
 # Between two printable ASCII characters a blank begins a pretoken, and no piece of the second kind goes across it.
@@ -263,15 +265,20 @@ def record_runs(docs: DataFrame, key: str, text: str, tokenizers: Tokenizers, re
             number += 1
             yield written(batch.schema.field("_key").type)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def merged(streams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of equal keys over sorted (keys, counts), by a heap that holds one key of each stream."""
     if len(streams) == 1:
         return streams[0]
-    keys, sums, last = [], [], None
-    for key, n in heapq.merge(*(zip(k.tolist(), c.tolist()) for k, c in streams)):
+
+    def taken(stream: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int]]:
+        for i in range(0, len(stream[0]), MERGE_STEP):
+            yield from zip(*(x[i : i + MERGE_STEP].tolist() for x in stream))
+
+    keys, sums, last = array("Q"), array("Q"), None
+    for key, n in heapq.merge(*map(taken, streams)):
         if key == last:
             sums[-1] += n
         else:
@@ -328,15 +335,22 @@ def pair_counts(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def contributions(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(_run, _at, _best, _sum): of each run and partition what its records give to the documents."""
+    """(_run, _at, _best, _sum): of each run and partition what its records give to the documents.
+
+    Each row brings the counts of its partition, whose rows follow each other: they are unpacked once, and batches must be few rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radix, every, counted, highest = None, None, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                pairs, every = unpacked(row["_pairs"], np.uint64, True), unpacked(row["_all"], np.uint64, True)
+                if row["_radix"] != radix:
+                    radix, every = row["_radix"], unpacked(row["_all"], np.uint64, True)
+                    counted, highest = unpacked(row["_n"], np.uint64).astype(np.int64), unpacked(row["_top"], np.uint8).astype(np.int64)
+                pairs = unpacked(row["_pairs"], np.uint64, True)
                 at = np.searchsorted(every, pairs)
                 sizes, doc = unpacked(row["_sizes"], np.uint32), unpacked(row["_docs"], np.uint32)
-                n, top = unpacked(row["_n"], np.uint64).astype(np.int64)[at], unpacked(row["_top"], np.uint8).astype(np.int64)[at]
+                n, top = counted[at], highest[at]
                 links = unpacked(row["_counts"], np.uint32).astype(np.int64)
                 order = np.argsort(doc, kind="stable")
                 starts = np.flatnonzero(np.diff(doc[order].astype(np.int64), prepend=-1))
@@ -345,8 +359,8 @@ def contributions(runs: DataFrame, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["_run", "_at", "_best", "_sum"])
 
     records = runs.where("_radix is not null").select("_run", "_radix", "_pairs", "_sizes", "_docs", "_counts")
-    both = records.join(counts.hint("merge"), "_radix").drop("_radix")
-    return both.mapInArrow(run, "_run long, _at binary, _best binary, _sum binary")
+    both = records.join(counts.hint("merge"), "_radix")
+    return both.mapInArrow(giving_back(run), "_run long, _at binary, _best binary, _sum binary")
 
 
 def align(
@@ -363,7 +377,7 @@ def align(
     """
     runs = stored(record_runs(docs, key, text, tokenizers, records, size), "runs", TEXT_ROWS)
     counts = pair_counts(runs, fan_in)
-    given = stored(contributions(runs, counts), "contributions")
+    given = stored(contributions(runs, counts), "contributions", batch_bytes=BLOCK_BYTES)
     kind = docs.schema[key].dataType.simpleString()
     lists = runs.where("_radix is null").select("_run", "_keys", "n_a", "n_b", "n_groups", "groups_sha256")
     names = [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

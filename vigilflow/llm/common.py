@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -165,6 +165,16 @@ def give_back() -> None:
         pass
 
 
+def giving_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` over the Arrow batches of a task, with ``give_back`` once it has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
     """Integers as zstd of their byte planes; ``rising``: of the differences of sorted unsigned values.
 
