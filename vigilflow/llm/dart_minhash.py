@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigilflow.llm.common import TEXT_ROWS, blocks, mix, release, span_hashes, stored, utf8, word_spans
+from vigilflow.llm.common import TEXT_ROWS, blocks, giving_back, mix, release, span_hashes, stored, utf8, word_spans
 
 WORDS = 5
 ROWS, BANDS = 4, 24
@@ -125,7 +125,7 @@ def with_bands(texts: DataFrame, text: str, words: int, weighted: bool, rows: in
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), lists], ["_id", "_bands"])
 
-    return texts.mapInArrow(run, "_id binary, _bands array<long>")
+    return texts.mapInArrow(giving_back(run), "_id binary, _bands array<long>")
 
 
 def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) -> DataFrame:
@@ -149,7 +149,7 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
             )
 
     sets = one.join(need.hint("merge"), "_id").select("_id", "_centers", "_text")
-    sets = stored(sets.mapInArrow(elements, "_id binary, _centers array<binary>, _set binary"), "sets", TEXT_ROWS)
+    sets = stored(sets.mapInArrow(giving_back(elements), "_id binary, _centers array<binary>, _set binary"), "sets", TEXT_ROWS)
     pairs = sets.select("_id", "_set", F.explode("_centers").alias("_center")).where(F.col("_id") != F.col("_center"))
     own = F.array_contains("_centers", F.col("_id"))  # every center has itself in its list
     centers = sets.where(own).select(F.col("_id").alias("_center"), F.col("_set").alias("_other"))
@@ -167,7 +167,7 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, weighted: bool) ->
 
     joined = pairs.join(centers.hint("merge"), "_center").select("_center", "_id", "_set", "_other")
     schema = "_center binary, _id binary, _a long, _b long, _c long, _delta binary"
-    out = stored(joined.mapInArrow(compare, schema), "compared", TEXT_ROWS)
+    out = stored(joined.mapInArrow(giving_back(compare), schema), "compared", TEXT_ROWS)
     release(sets)
     return out
 
@@ -192,7 +192,7 @@ def similar_by_delta(pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * (a + a2 - common))
             yield batch.select(["_id", "_id2"]).rename_columns(["_center", "_id"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("_id", "_id2", "_a", "_b", "_c", "_delta", "_a2", "_c2", "_delta2").mapInArrow(similar, "_center binary, _id binary")
+    return pairs.select("_id", "_id2", "_a", "_b", "_c", "_delta", "_a2", "_c2", "_delta2").mapInArrow(giving_back(similar), "_center binary, _id binary")
 
 
 def with_roots(found: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -243,7 +243,7 @@ def prefix_pairs(groups: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), values], [*columns, "_e"])
 
     schema = "_center binary, _id binary, _root binary, _out boolean, _short long, _long long, _size long, _part double, _e long"
-    rows = stored(nodes.mapInArrow(spread, schema), "differences")
+    rows = stored(nodes.mapInArrow(giving_back(spread), schema), "differences")
     often = rows.groupBy("_center", "_e").agg(F.count(F.lit(1)).alias("_n"), F.max("_out").alias("_any")).where("_n > 1")
     often = stored(often, "frequencies")
     common = rows.join(often.hint("merge"), ["_center", "_e"])
