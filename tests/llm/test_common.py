@@ -1,8 +1,13 @@
+import gc
+import re
+import time
+from pathlib import Path
+
 import numpy as np
 import zstandard
 
 from vigilflow.llm import common
-from vigilflow.llm.common import distinct, packed, unpacked
+from vigilflow.llm.common import distinct, packed, release, stored, unpacked
 
 
 def test_span_hashes_do_not_depend_on_blocks_or_places(monkeypatch):
@@ -50,3 +55,23 @@ def test_memory_is_given_back_after_the_last_batch(monkeypatch):
     for x in step(iter([1, 2, 3])):
         seen.append(x)
     assert seen == [2, 4, 6] and ended == [3]
+
+
+def test_a_stored_step_returns_native_memory_of_the_driver(spark):
+    jvm = spark._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def used() -> float:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+
+    release(stored(spark.range(10).toDF("id"), "first"))
+    taken = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(4000)]
+    # Every 20th buffer stays, so the allocator can't give the free memory between them back by itself.
+    left, taken = taken[::20], None
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(1)
+    before = used()
+    release(stored(spark.range(10).toDF("id"), "second"))
+    assert before - used() > 150 and len(left) == 200

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilflow.session import checkpoint_root
@@ -55,8 +56,8 @@ def stored(df: DataFrame, label: str, batch_rows: int | None = None, batch_bytes
         df.write.parquet(folder)
     files, path = _file_system(spark, folder)
     files.deleteOnExit(path.getParent())
-    gc.collect()
-    spark._jvm.System.gc()
+    give_back()
+    give_back_jvm(spark)
     out = spark.read.schema(df.schema).parquet(folder)
     out.stored_at = folder
     return out
@@ -165,6 +166,22 @@ def give_back() -> None:
         pass
 
 
+def give_back_jvm(spark: SparkSession) -> None:
+    """Collects the garbage of the driver's JVM and returns native memory that it has freed, as a session goes on with other queries.
+
+    Compiled plans and threads of many steps leave free memory in its allocator, beside the heap.  JVMs without the command keep it.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    values = new_array(jvm.java.lang.Object, 4)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:
+        pass
+
+
 def giving_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``step`` over the Arrow batches of a task, with ``give_back`` once it has ended."""
 
