@@ -169,7 +169,7 @@ def give_back() -> None:
 def give_back_jvm(spark: SparkSession) -> None:
     """Collects the garbage of the driver's JVM and returns native memory that it has freed, as a session goes on with other queries.
 
-    Compiled plans and threads of many steps leave free memory in its allocator, beside the heap.  JVMs without the command keep it.
+    Many steps leave free memory in its allocator, beside the heap.  JVMs without the command keep it.
     """
     jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
     jvm.System.gc()
