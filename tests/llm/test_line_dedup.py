@@ -2,8 +2,10 @@ from collections import Counter, defaultdict
 from os.path import commonprefix
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tools.check import rows_of
+from vigilflow.llm import line_dedup
 from vigilflow.llm.line_dedup import dedup_lines, suffix_array
 from vigilflow.llm.queries import ORACLES
 
@@ -95,3 +97,25 @@ def test_one_very_long_line_and_one_very_long_document(spark):
     rows = [(1, line), (2, f"x\n{line}"), (3, passage), (4, f"y\n{passage}\nz")]
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (line, 0, 0), 2: ("x", 1, 1), 3: (passage, 0, 0), 4: ("y\nz", 3_000, 1)}
+
+
+def test_words_and_lines_of_odd_blanks(spark):
+    texts = ["", " ", "a", " a", "a ", "a b", "a  b", "a\tb", "a\x0bb", "a\fb", "a\r", "\n", "a\nb c\n", "é\u00a0ü \u2003 x", "日本 語", "a\x00b c", "a b c d"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = F.col("t")
+    got = frame.select("t", line_dedup._words(text), F.regexp_count(text, F.lit(line_dedup.WORD)), line_dedup._n_lines(text)).collect()
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[2], r[0].count("\n") + 1) for r in got]
+
+
+def test_each_text_is_split_once_and_travels_once(spark, monkeypatch):
+    """The cost of the first and of the last step, which read all texts: what they compute of a text and what they shuffle."""
+    plans, stored = {}, line_dedup.stored
+
+    def noted(frame, label):
+        plans[label] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return stored(frame, label)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    out = dedup_lines(spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string"))
+    assert "lambdafunction" not in plans["lines"] and plans["lines"].count("split(") == 1
+    assert "text, text#" not in out._jdf.queryExecution().optimizedPlan().toString()

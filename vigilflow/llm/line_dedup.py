@@ -26,6 +26,19 @@ def _name(*parts: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in zip((1, 2), NAME)]
 
 
+def _words(text: Column) -> Column:
+    """The number of words.  The pattern makes a string of each word, so it is left to texts with other blanks than single inner spaces."""
+    odd = F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for blank in "\t\n\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(blank))
+    by_spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.when(text == "", 0).when(odd, F.regexp_count(text, F.lit(WORD))).otherwise(by_spaces)
+
+
+def _n_lines(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def _dealt(frame: DataFrame, order: list[str], label: str) -> DataFrame:
     """``frame`` stored in range partitions of ``order``, whose numbers are in ``_part``."""
     return stored(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
@@ -46,10 +59,12 @@ def _running(dealt: DataFrame, order: list[str], sums: dict[str, Column]) -> Dat
 def _first_ranks(docs: DataFrame, key: str, text: str, place: list[str], asked) -> DataFrame:
     """(place, _n_lines, _words, _rank, _path, _alone, _done) of the lines that stand at two places or more."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.split(body, "\n"), lambda x: F.struct(*_name(x), F.regexp_count(x, F.lit(WORD)).alias("_words")))
-    rows = docs.select(key, F.xxhash64(body).alias("_h"), lines.alias("_lines")).where(asked(F.col("_lines")))
-    rows = rows.select(key, "_h", F.size("_lines").alias("_n_lines"), F.posexplode("_lines").alias("_line", "_name"))
-    before = stored(rows.select(*place, "_n_lines", "_name.*"), "lines")
+    rows = docs.select(key, body.alias("_body")).where(asked(F.col("_body")))
+    rows = rows.select(key, F.xxhash64("_body").alias("_h"), _n_lines(F.col("_body")).alias("_n_lines"), F.split("_body", "\n").alias("_lines"))
+    # Lines are rows before anything is computed of them: generated code, which functions over arrays are not.  Every text
+    # has a line; the outer form spares a filter that would split the texts once more to find that out.
+    rows = rows.select(key, "_h", "_n_lines", F.posexplode_outer("_lines").alias("_line", "_text"))
+    before = stored(rows.select(*place, "_n_lines", *_name(F.col("_text")), _words(F.col("_text")).alias("_words")), "lines")
     # Counts are combined on the map side; names are stored, so that AQE can split the rows of a hot one in the join.
     shared = before.groupBy(*NAME).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     dealt = _dealt(shared, NAME, "names")
@@ -98,7 +113,7 @@ def _doubled(ranks: DataFrame, place: list[str], shift: int) -> DataFrame:
     return out
 
 
-def suffix_array(docs: DataFrame, key: str, text: str, asked=lambda lines: F.lit(True)) -> DataFrame:
+def suffix_array(docs: DataFrame, key: str, text: str, asked=lambda body: F.lit(True)) -> DataFrame:
     """(key, _h, _line, _n_lines, _words, _rank, _part, _lcp), stored: the array in the order (_part, _rank, key, _h, _line) with the number of
     lines each suffix has in common with the one before it.
 
@@ -154,11 +169,10 @@ def repeated_windows(docs: DataFrame, key: str, text: str, min_lines: int, long_
     """
     place = [key, "_h", "_line"]
 
-    def asked(lines: Column) -> Column:
-        enough = F.size(lines) >= min_lines
-        if long_words is None:
-            return enough
-        return enough | (F.aggregate(lines, F.lit(0), lambda n, x: n + x["_words"]) > long_words)
+    def asked(body: Column) -> Column:
+        # Without the last line break asked for, all of the text comes before it.
+        enough = F.substring_index(body, "\n", min_lines - 1) != body if min_lines > 1 else F.lit(True)
+        return enough if long_words is None else enough | (_words(F.replace(body, F.lit("\n"), F.lit(" "))) > long_words)
 
     array = suffix_array(docs, key, text, asked)
     depths = [min_lines] if long_words is None else list(range(1, min_lines + 1))
@@ -202,13 +216,13 @@ def dedup_lines(
     row goes.  Null texts count as empty and become empty.  Lines of documents never join up.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_row")  # the text travels once
     marked = docs.select(row, F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), body.alias("_text"))
     named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     runs = repeated_runs(repeated_windows(named, "_key", "_text", min_lines, long_words), "_key")
     runs = runs.select(F.col("_key").alias("_rkey"), "_h", F.col("runs").alias("_runs"))
     joined = marked.join(runs.hint("merge"), F.col("_key").eqNullSafe(F.col("_rkey")) & (F.col("_hash") == F.col("_h")), "left")
-    out = joined.withColumn("_lines", F.split("_text", "\n"))
+    out = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split("_text", "\n")))
     # What stays lies before the first run, between two runs, or after the last one.
     froms = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["stop"]))
     tos = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(F.size("_lines")))
@@ -216,7 +230,7 @@ def dedup_lines(
     kept = F.flatten(F.transform(gaps, lambda g: F.slice("_lines", g["a"] + 1, g["b"] - g["a"])))
     rest = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"])
-    counts = {"n_lines": F.size("_lines"), "n_removed": removed, "n_runs": F.size("_runs")}
+    counts = {"n_lines": _n_lines(F.col("_text")), "n_removed": removed, "n_runs": F.size("_runs")}
     return out.select(
         *(rest.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in counts),
         *(F.coalesce(value, F.lit(0)).cast("long").alias(name) for name, value in counts.items()),
