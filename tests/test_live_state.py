@@ -1,4 +1,4 @@
-"""Keyed state across micro-batches: late truths."""
+"""Keyed state across micro-batches: late truths, templates."""
 
 import uuid
 
@@ -43,3 +43,28 @@ def test_truths_meet_their_ids_by_bucket(spark):
     assert seen[1] == sorted([(5, "Bot", "truth", 1), (big, "DDoS", "again", 1), (1000, "No time", "z", 1), (None, "None", "m", 2)], key=repr)
     assert seen[2] == [(9_000, "Far", None, 0)]
     assert seen[3] == sorted([(5, "New", None, 0), (7, "New", "truth", 0)], key=repr)  # forgotten after 30 hours
+
+
+def test_templates_are_kept_between_batches(spark):
+    head = lambda sets: (9).to_bytes(2, "big") + (9).to_bytes(2, "big") + bytes(12) + (7).to_bytes(4, "big") + sets
+    define = lambda name, *sizes: bytes.fromhex(f"0000{8 + 4 * len(sizes):04x}{name:04x}{len(sizes):04x}" + "".join(f"{t:04x}{n:04x}" for t, n in zip((8, 12, 7), sizes)))
+    data = lambda name, n: bytes.fromhex(f"{name:04x}{4 + n:04x}") + bytes(n)
+    batches = [
+        [("e", 10.0, 0, data(256, 8)), ("e", 30.0, 2, data(256, 8)), ("e", 20.0, 1, define(256, 4, 4)), ("e", None, 9, data(256, 8)), (None, 5.0, 3, define(256, 4, 4, 2))],
+        [("e", 7.0, 10, data(256, 8)), (None, 1.0, 11, data(256, 10)), ("e", 50.0, 12, define(256, 4, 4, 2) + data(256, 10)), ("f", 60.0, 13, data(256, 8))],
+        [("e", None, 20, define(257, 4, 4)), ("e", 40.0, 21, data(256, 20) + data(257, 8)), ("e", None, 22, data(257, 8))],
+        [("e", 41.0, 30, data(257, 8))],
+    ]
+    shown = ["exporter", "at", "packet_no", "set_no", "record_no"]
+
+    def run(stream, root):
+        packets = stream.withColumn("recv_ts", F.col("at").cast("timestamp")).drop("at")
+        state.follow_templated(packets, f"{root}/rows", f"{root}/templates", f"{root}/checkpoint", available_now=True).awaitTermination()
+        rows = spark.read.parquet(f"{root}/rows").withColumn("at", F.col("recv_ts").cast("double"))
+        return sorted((tuple(r) for r in rows.where("src_ip = '0.0.0.0'").select(*shown).collect()), key=repr)
+
+    rows = [[(e, at, n, head(sets)) for e, at, n, sets in batch] for batch in batches]
+    seen = list(in_batches(spark, rows, "exporter string, at double, packet_no long, payload binary", run))[-1]
+    want = [("e", 30.0, 2, 0, 0), ("e", None, 9, 0, 0), ("e", 7.0, 10, 0, 0), (None, 1.0, 11, 0, 0), ("e", 50.0, 12, 1, 0)]
+    want += [("e", 40.0, 21, 0, 0), ("e", 40.0, 21, 0, 1), ("e", None, 22, 0, 0), ("e", 41.0, 30, 0, 0)]
+    assert seen == sorted(want, key=repr)

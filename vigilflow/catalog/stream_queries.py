@@ -122,8 +122,10 @@ def t5(spark, sf):
 
 @query("T6_live_templates", _templated_sql())
 def t6(spark, sf):
+    root = _folder(spark)
     packets = templated_packets(_events(spark, sf), F.lit(False))
-    return _finish(state.decode_templated(packets), spark).selectExpr(*_SHOWN)
+    state.follow_templated(packets, f"{root}/rows", f"{root}/templates", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/rows").selectExpr(*_SHOWN)
 
 
 @query(

@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigilflow import lookups as L
 from vigilflow.functions.features import map_netflow
@@ -271,10 +271,13 @@ def decode_sets(ready: DataFrame) -> DataFrame:
 
 def stored_versions(packets: DataFrame) -> DataFrame:
     """The template versions of v9 and IPFIX datagrams, stored in the shared folder."""
-    spark = packets.sparkSession
-    folder = fresh_folder(spark, "templates")
     # The walk's few rows are read several times.
-    found = cut_lineage(spark, split_sets(packets, "templates"))
+    return store_versions(packets.sparkSession, cut_lineage(packets.sparkSession, split_sets(packets, "templates")))
+
+
+def store_versions(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """``template_versions``, stored in the shared folder."""
+    folder = fresh_folder(spark, "templates")
     versions = template_versions(found)
     versions.write.parquet(folder)
     return spark.read.schema(versions.schema).parquet(folder)

@@ -12,11 +12,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from vigilflow.session import cut_lineage
+from vigilflow.streaming.live import exists, start, write_batch
+
 # A call into Python costs milliseconds, so it serves a bucket of keys; slots bound what a call rewrites.
 BUCKETS, SLOTS = 256, 16
 NEVER = np.iinfo("int64").max
+# Times of datagrams without one, and of definitions known before a micro-batch.
+NO_TIME, KNOWN = "TIMESTAMP '2262-01-01'", "TIMESTAMP '0001-01-01'"
 SEEN = pa.schema([("id", pa.string()), ("attack_type", pa.string()), ("version", pa.int64()), ("expires", pa.int64())])
 
 
@@ -185,46 +191,28 @@ def merge_late_truth(stream: DataFrame, keep_hours: int = 24, buckets: int = BUC
     return versions.withColumn("id", F.col("id").cast(kind))
 
 
-class _Templates(StatefulProcessor):
-    """Templates of one (exporter, source id); data before its template is dropped."""
-
-    def __init__(self, names: list[str]):
-        self._names = names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        key = T.StructType([T.StructField("template_id", T.IntegerType())])
-        field = T.StructType([T.StructField(n, T.IntegerType()) for n in ("type", "pos", "len")])
-        value = T.StructType([T.StructField("layout", T.ArrayType(field)), T.StructField("record_size", T.IntegerType())])
-        self._known = handle.getMapState("templates", key, value)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["recv_ts", "packet_no", "set_no"])
-        out = []
-        for row in batch.to_dict("records"):
-            slot = (int(row["template_id"]),)
-            if row["body"] is None:
-                layout = [(int(f["type"]), int(f["pos"]), int(f["len"])) for f in row["layout"]]
-                self._known.updateValue(slot, (layout, int(row["record_size"])))
-            elif self._known.containsKey(slot):
-                layout, size = self._known.getValue(slot)
-                row["layout"] = [dict(zip(("type", "pos", "len"), f)) for f in layout]
-                row["record_size"] = size
-                out.append(row)
-        yield pd.DataFrame(out, columns=self._names)
+def follow_templated(packets: DataFrame, path: str, templates: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Store the records of streamed v9 and IPFIX datagrams, by batch, so that a replay replaces them.
 
-    def close(self) -> None:
-        pass
-
-
-def attach_templates(sets: DataFrame) -> DataFrame:
-    """Streaming form of the template join: data sets with their current layout."""
-    schema = "exporter string, recv_ts timestamp, packet_no long, set_no int, body binary, layout array<struct<type: int, pos: int, len: int>>, record_size int"
-    names = ["exporter", "recv_ts", "packet_no", "set_no", "body", "layout", "record_size"]
-    return sets.groupBy("exporter", "source_id").transformWithStateInPandas(_Templates(names), schema, "Append", "None")
-
-
-def decode_templated(packets: DataFrame) -> DataFrame:
-    """Records of streamed v9 and IPFIX datagrams."""
-    from vigilflow.sources.netflow import decode_sets, split_sets
-
-    return decode_sets(attach_templates(split_sets(packets)))
+    Input: exporter, recv_ts, packet_no, payload.  Within a micro-batch data sets meet the latest definition before them in
+    time order (without a time: after all others), or else the one known from earlier micro-batches; those without any are dropped.
+    ``templates`` keeps the newest definition of each (exporter, source id, template id), one snapshot per batch, so a
+    replayed batch starts from the same one.  No body is gathered by exporter or kept as state.
+    """
+    from vigilflow.sources.netflow import ORDER, TEMPLATE, attach_templates, decode_sets, split_sets, store_versions
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, f"{templates}/batch={batch_id - 1}"
+        rows = batch.withColumn("recv_ts", F.coalesce("recv_ts", F.expr(NO_TIME)))
+        # The walk's few rows are read several times.
+        found = cut_lineage(spark, split_sets(rows, "templates"))
+        if exists(spark, before):
+            known = spark.read.schema(found.select(*TEMPLATE, "layout", "record_size").schema).parquet(before)
+            found = found.unionByName(known.withColumn("recv_ts", F.expr(KNOWN)), allowMissingColumns=True)
+        records = decode_sets(attach_templates(split_sets(rows, "data"), store_versions(spark, found)))
+        write_batch(records.withColumn("recv_ts", F.nullif("recv_ts", F.expr(NO_TIME))), path, batch_id)
+        newest = F.max_by(F.struct("layout", "record_size"), F.struct(*ORDER)).alias("_t")
+        kept = found.where(F.col("layout").isNotNull()).groupBy(*TEMPLATE).agg(newest).select(*TEMPLATE, "_t.*")
+        kept.write.mode("overwrite").parquet(f"{templates}/batch={batch_id}")
+
+    return start(packets, each, checkpoint, available_now)
