@@ -1,11 +1,11 @@
-"""Keyed state across micro-batches: late truths, templates."""
+"""Keyed state across micro-batches: late truths, templates, flows."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
 from vigilflow.session import ROCKSDB, checkpoint_root
-from vigilflow.streaming import live, state
+from vigilflow.streaming import flows, live, state
 
 
 def in_batches(spark, batches, schema, run):
@@ -68,3 +68,29 @@ def test_templates_are_kept_between_batches(spark):
     want = [("e", 30.0, 2, 0, 0), ("e", None, 9, 0, 0), ("e", 7.0, 10, 0, 0), (None, 1.0, 11, 0, 0), ("e", 50.0, 12, 1, 0)]
     want += [("e", 40.0, 21, 0, 0), ("e", 40.0, 21, 0, 1), ("e", None, 22, 0, 0), ("e", 41.0, 30, 0, 0)]
     assert seen == sorted(want, key=repr)
+
+
+def live_rows(spark, batches, schema, keys, **timeouts):
+    def run(stream, root):
+        none = {c: F.lit(None).cast(k) for c, k in (("src_ip", "string"), ("src_port", "int"), ("dst_ip", "string"), ("dst_port", "int")) if c not in stream.columns}
+        packets = live.event_time(stream.withColumn("ts", F.col("at").cast("timestamp")).withColumns(none), "ts", "10 seconds")
+        flows.follow_flows(flows.live_flows(packets, keys, buckets=2, **timeouts), f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+        return flows.current_flows(spark, f"{root}/rows", keys)
+
+    return list(in_batches(spark, batches, schema, run))[-1]
+
+
+def test_conversations_of_a_bucket_are_kept_apart(spark):
+    big = 2**60 + 1
+    batches = [
+        [(0, None, 100.0, 5), (1, big, 100.0, 7), (2, big + 1, 101.0, None), (3, None, 103.0, 1), (4, 9, 90.0, 2)],
+        [(5, big, 104.0, 8), (6, None, 400.0, 3), (7, big + 1, 99.0, 1), (8, 9, 95.0, 4)],
+        [(9, None, 402.0, 3), (10, big, 900.0, 1)],
+    ]
+    found = live_rows(spark, batches, "packet_id long, user_id long, at double, bytes long", ["user_id"], idle=5, active=20)
+    got = sorted((tuple(r) for r in found.select("user_id", "flow_start", "bidirectional_packets", "bidirectional_bytes", "bidirectional_max_piat_ms").collect()), key=repr)
+    want = [
+        (None, 100_000_000, 2, 6, 3000.0), (None, 400_000_000, 2, 6, 2000.0), (big, 100_000_000, 2, 15, 4000.0), (big, 900_000_000, 1, 1, 0.0),
+        (big + 1, 99_000_000, 2, 1, 2000.0), (9, 90_000_000, 2, 6, 5000.0),
+    ]
+    assert got == sorted(want, key=repr)
