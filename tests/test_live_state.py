@@ -94,3 +94,19 @@ def test_conversations_of_a_bucket_are_kept_apart(spark):
         (big + 1, 99_000_000, 2, 1, 2000.0), (9, 90_000_000, 2, 6, 5000.0),
     ]
     assert got == sorted(want, key=repr)
+
+
+def test_ends_of_flows_keep_nulls_and_ages(spark):
+    rows = [(i, 1000.0 + i, "a" if i % 3 else None, None if i % 3 else 7, None if i % 3 else "a", 7 if i % 3 else None, 10 * i, i % 2) for i in range(30)]
+    rows += [(100 + i, 1000.0 + i, "", 1, "x|y", 2, None, None) for i in range(3)]
+    rows = [(*r, "k" if r[0] < 100 else None, 6) for r in rows]
+    schema = "packet_id long, at double, src_ip string, src_port int, dst_ip string, dst_port int, bytes long, syn int, name string, protocol int"
+    found = live_rows(spark, [rows[:10] + rows[30:], rows[10:30]], schema, ["name", "protocol"], idle=5, active=8)
+    shown = ["name", "protocol", "flow_start", "src_ip", "src_port", "dst_ip", "dst_port", "bidirectional_packets", "src2dst_bytes", "dst2src_syn_packets"]
+    got = sorted((tuple(r) for r in found.select(shown).collect()), key=repr)
+    want = [(None, 6, 1_000_000_000, "", 1, "x|y", 2, 3, 0, 0)]
+    for low, high in ((0, 9), (9, 18), (18, 27), (27, 30)):
+        mine = rows[low:high]
+        same = [r for r in mine if r[2:4] == mine[0][2:4]]
+        want.append(("k", 6, (1000 + low) * 1_000_000, *mine[0][2:6], len(mine), sum(r[6] for r in same), sum(r[7] for r in mine if r not in same)))
+    assert got == sorted(want, key=repr)
